@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossweave.functions import patterns as P
 from glossweave.functions.text import strip
 
-_SPLIT = r"\A(\.*[^.].*)(\.[^.]*)\z"
+_SPLIT = r"(?s)\A(\.*[^.].*)(\.[^.]*)\z"
 
 
 def stem(filename: Column) -> Column:
@@ -22,7 +22,7 @@ def extension(filename: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_replace(path, r"\A.*[/\\]", "")
+    return F.regexp_replace(path, r"(?s)\A.*[/\\]", "")
 
 
 def clean_filename(filename: Column) -> Column:

@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from glossweave.functions.text import strip
 
 CONTAINED = 0.8
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; rows that need no ratio come as null."""
     out = []

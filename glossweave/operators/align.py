@@ -107,9 +107,11 @@ def _loose_keys(entries: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", "kind", "k").agg(F.min_by("translated", rank).alias("translated"))
 
 
-def cascade(paragraphs: DataFrame, entries: DataFrame) -> DataFrame:
+def cascade(paragraphs: DataFrame, entries: DataFrame, long_keys: bool = True) -> DataFrame:
     """`(book_id, pos, text, translated, align_method)` for every paragraph looked up.
 
+    `long_keys=False` leaves out prefix and signature, as for navigation labels.
+
     Most paragraphs match exactly, so only the rest go on to the looser keys: they are
     exploded to their candidate keys, joined once, and the first kind that matches wins.
     Keys travel as hashes.
@@ -128,7 +130,7 @@ def cascade(paragraphs: DataFrame, entries: DataFrame) -> DataFrame:
         F.lit(METHODS[1]).alias("align_method"),
     )
 
-    key, loose = F.col("_folded"), F.length("text") > P.LOOSE_MIN
+    key, loose = F.col("_folded"), F.lit(long_keys) & (F.length("text") > P.LOOSE_MIN)
     candidates = F.array_compact(
         F.array(
             F.when(

@@ -58,9 +58,9 @@ def translate_fresh(
         ["book_id", "tier"], "pos", "chars", limit,
     )
     batched = grouped.join(numbers, ["book_id", "tier", "pos"])
-    numbered = row_numbers(batched, keys, "pos", "item_no")
+    numbered = cut(row_numbers(batched, keys, "pos", "item_no"))
 
-    prompts = compose(batched, keys, "pos").withColumn(
+    prompts = compose(numbered, keys, "pos").withColumn(
         "prompt", F.replace(F.lit(instruction), F.lit("{content}"), F.col("prompt"))
     )
     replies = cut(call_model(prompts.select(*keys, "prompt"), model, "prompt"))

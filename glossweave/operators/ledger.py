@@ -153,20 +153,26 @@ def with_cost(usage: DataFrame) -> DataFrame:
     )
 
 
-def token_summary(usage: DataFrame) -> DataFrame:
-    """Per step and in total; costs are summed as decimals, so the order does not matter."""
+def token_summary(usage: DataFrame, book: str | None = None) -> DataFrame:
+    """Per step and in total, over all books or within each book.
+
+    Costs are summed as decimals, so the order of rows does not matter.
+    """
     costed = with_cost(usage).withColumn("cost", F.col("cost").cast("decimal(20,6)"))
-    return (
-        costed.rollup("step")
-        .agg(
-            F.grouping("step").alias("_all"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("total_tokens").alias("total_tokens"),
-            F.sum("cost").cast("double").alias("cost"),
-        )
-        .select(
-            F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col("step")).alias("step"),
-            "input_tokens", "output_tokens", "total_tokens", "cost",
-        )
+    step = F.col("step")
+    grouped = (
+        costed.rollup(step)
+        if book is None
+        else costed.groupingSets([[F.col(book), step], [F.col(book)]], F.col(book), step)
+    )
+    return grouped.agg(
+        F.grouping("step").alias("_all"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.sum("total_tokens").alias("total_tokens"),
+        F.sum("cost").cast("double").alias("cost"),
+    ).select(
+        *([book] if book else []),
+        F.when(F.col("_all") == 1, "TOTAL").otherwise(step).alias("step"),
+        "input_tokens", "output_tokens", "total_tokens", "cost",
     )

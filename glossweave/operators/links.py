@@ -126,11 +126,11 @@ def match_links(
     left = keyed.select(
         "*",
         F.pmod(F.xxhash64("link_id"), F.lit(n_links)).alias("_row"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_titles - 1))).cast("long").alias("_col"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_titles - 1).cast("long"))).alias("_col"),
     )
     right = newest.select(
         "*",
-        F.explode(F.sequence(F.lit(0), F.lit(n_links - 1))).cast("long").alias("_row"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_links - 1).cast("long"))).alias("_row"),
         F.pmod(F.xxhash64("title_key"), F.lit(n_titles)).alias("_col"),
     )
     found = (

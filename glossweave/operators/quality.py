@@ -529,14 +529,15 @@ def overall(
 
 def report_json(report: DataFrame, rows: DataFrame) -> DataFrame:
     """`(book_id, quality_report)`: the nested JSON text of each book's report."""
+
+    def by_name(a: Column, b: Column) -> Column:
+        return F.when(a.dimension < b.dimension, -1).when(a.dimension > b.dimension, 1).otherwise(0)
+
+    entries = F.collect_list(
+        F.struct("dimension", F.struct("score", "issues", "details").alias("r"))
+    )
     nested = rows.groupBy("book_id").agg(
-        F.map_from_entries(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("dimension", F.struct("score", "issues", "details").alias("r"))
-                )
-            )
-        ).alias("dimensions")
+        F.map_from_entries(F.array_sort(entries, by_name)).alias("dimensions")
     )
     return report.join(nested, "book_id", "left").select(
         "book_id",

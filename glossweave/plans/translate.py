@@ -12,6 +12,7 @@ from glossweave.operators.gate import all_empty_books
 from glossweave.operators.inference import Model, translate_fresh
 from glossweave.operators.memory import lookup, upsert
 from glossweave.operators.paragraphs import mark_repeats
+from glossweave.session import cut
 
 
 @dataclass
@@ -37,6 +38,8 @@ def translate_books(
         known = originals.withColumn("translated", F.lit(None).cast("string")).withColumn(
             "hit", F.lit(False)
         )
+    # Everything below reads this table, some of it several times.
+    known = cut(known)
     cached = known.where("hit").select(
         "book_id", "pos", F.col("text").alias("original"), "translated", "tier",
         F.lit("memory").alias("origin"), F.lit(False).alias("failed"),

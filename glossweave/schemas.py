@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import types as T
+
 BOOKS = """book_id string, filename string, title string, author string, isbn string,
 language string, page_count int, file_size long, status string, summary_text string,
 error_message string, created_at timestamp, updated_at timestamp"""
@@ -33,9 +35,20 @@ CONTAINERS = "path string, modificationTime timestamp, length long, content bina
 
 # One parsed element of a page; `text` of a block that holds other blocks is null and
 # its own loose text comes in `bare`; `title` is the untouched text of h1-h3 and title.
-ELEMENTS = """array<struct<tag:string, classes:array<string>, elem_id:string,
-doc_pos:int, has_block:boolean, text:string, bare:array<string>,
-title:string>>"""
+ELEMENTS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("tag", T.StringType()),
+            T.StructField("classes", T.ArrayType(T.StringType())),
+            T.StructField("elem_id", T.StringType()),
+            T.StructField("doc_pos", T.IntegerType()),
+            T.StructField("has_block", T.BooleanType()),
+            T.StructField("text", T.StringType()),
+            T.StructField("bare", T.ArrayType(T.StringType())),
+            T.StructField("title", T.StringType()),
+        ]
+    )
+)
 
 QUALITY_DIMENSIONS = """book_id string, dimension string, score double,
 issues array<string>, details map<string,double>"""

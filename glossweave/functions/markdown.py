@@ -70,7 +70,7 @@ def blocks(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     lines = F.transform(
         F.split(F.col(text), "\n"),
         lambda line: F.regexp_replace(
-            F.regexp_replace(line, rf"{P.SPACE}+\z", ""), "<[^>]+>", ""
+            F.rtrim(line, F.lit(P.SPACE_CHARS)), "<[^>]+>", ""
         ),
     )
     return block_lines(

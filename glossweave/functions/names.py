@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossweave.functions import patterns as P
-from glossweave.functions.text import strip
+from glossweave.functions.text import squeeze, strip
 
 _SPLIT = r"(?s)\A(\.*[^.].*)(\.[^.]*)\z"
 
@@ -42,7 +41,7 @@ def fix_stem(filename: Column, chars: int = 60) -> Column:
 
 def title_from_filename(filename: Column) -> Column:
     spaced = F.regexp_replace(stem(filename), "[-_]+", " ")
-    return strip(F.regexp_replace(spaced, f"{P.SPACE}+", " "))
+    return squeeze(spaced)
 
 
 def short_name(filename: Column) -> Column:

@@ -1,15 +1,18 @@
 """Character classes, word lists and limits that results depend on.
 
-Patterns are written so that Java and RE2 read them the same way: explicit Unicode
-classes instead of \\s, \\d, \\w and no \\b next to non-ASCII text.
+Patterns use explicit Unicode classes instead of \\s, \\d, \\w, and no \\b next to
+non-ASCII text, so that they do not depend on the Java version.
 """
 
 from __future__ import annotations
 
-# White space as Python's str.split() and str.strip() see it.
-SPACE = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# White space as Python's str.split() and str.strip() see it: the Unicode property plus
+# the four separators 1c-1f. The list holds the same characters for trimming.
+SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+NOT_BLANK_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f&&[^ ]]"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"

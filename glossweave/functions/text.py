@@ -11,7 +11,7 @@ from glossweave.functions import patterns as P
 
 def strip(text: Column) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"\A{P.SPACE}+|{P.SPACE}+\z", "")
+    return F.trim(text, F.lit(P.SPACE_CHARS))
 
 
 def is_blank(text: Column) -> Column:
@@ -19,8 +19,11 @@ def is_blank(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Collapse runs of white space to one space and strip the ends."""
-    return F.trim(F.regexp_replace(text, f"{P.SPACE}+", " "))
+    """Collapse runs of white space to one space and strip the ends.
+
+    Single spaces, nearly all there is, are not matched at all.
+    """
+    return F.trim(F.regexp_replace(text, f"{P.SPACE}{{2,}}|{P.NOT_BLANK_SPACE}", " "))
 
 
 def fold(text: Column) -> Column:

@@ -119,8 +119,9 @@ def target_counts(translated: DataFrame, script: str = P.CJK) -> DataFrame:
     """
     text = F.coalesce("translated", F.lit(""))
     blank = is_blank(text)
-    lead = F.regexp_extract(text, rf"\A{P.SPACE}*", 0)
-    trail = F.regexp_extract(text, rf"{P.SPACE}*\z", 0)
+    spaces = F.lit(P.SPACE_CHARS)
+    lead = F.left(text, F.length(text) - F.length(F.ltrim(text, spaces)))
+    trail = F.right(text, F.length(text) - F.length(F.rtrim(text, spaces)))
 
     def weigh(piece: Column) -> Column:
         return F.struct(

@@ -41,7 +41,7 @@ def resolve_prefix(v: Views) -> DataFrame:
         SELECT book_id, title, (SELECT count(*) FROM f) > 1 AS is_ambiguous FROM f""",
 )
 def title_search(v: Views) -> DataFrame:
-    docs = v.table("documents")
+    docs = v.documents
     with_summary = docs.select(
         F.col("doc_id").alias("book_id"), F.left("text", F.lit(40)).alias("title"),
         F.col("text").alias("summary_text"),
@@ -119,7 +119,7 @@ def register_books(v: Views) -> DataFrame:
         FROM t LEFT JOIN r ON r.filename = t.filename AND r.rn = 1""",
 )
 def rename_plan(v: Views) -> DataFrame:
-    short = v.table("documents").where(F.col("n_chars") > 1000).select(
+    short = v.documents.where(F.col("n_chars") > 1000).select(
         F.concat(F.lit("Book_"), F.expr("doc_id div 2").cast("string"), F.lit(".epub")).alias(
             "filename"
         )
@@ -455,7 +455,7 @@ def link_apply(v: Views) -> DataFrame:
 )
 def cover_choice(v: Views) -> DataFrame:
     lang, nth = F.col("lang"), F.col("nth")
-    images = v.table("documents").select(
+    images = v.documents.select(
         F.col("doc_id").alias("book_id"), "n_chars", "lang",
         F.explode(F.sequence(F.lit(0), F.lit(3))).alias("nth"),
     )

@@ -10,9 +10,8 @@ from glossweave.functions.text import tier
 from glossweave.operators import batching, chapters as ch, paragraphs as pg
 from glossweave.plans.scan import first_rows
 from glossweave.workload.registry import query
-from glossweave.workload.views import Views, s_strip, s_tier
+from glossweave.workload.views import Views, W, s_strip, s_tier
 
-W = P.SPACE
 
 
 @query("content_items", "SELECT page_id, item_id, html FROM content_items")
@@ -47,7 +46,7 @@ def _pieces(x: str) -> str:
         f"array_to_string(list_transform(regexp_split_to_array({x}, '<[^>]*>'), "
         f"lambda s: {s_strip('s')}), '')"
     )
-    return f"replace({joined}, '&amp;', '&')"
+    return f"replace(replace({joined}, '&quot;', '\"'), '&amp;', '&')"
 
 
 # The pages' paragraphs, read by their known layout: p and h1 without nested blocks, one
@@ -223,7 +222,7 @@ _FALLBACK = """fallback AS (SELECT *, coalesce(t, '第' || chapter_no || '章')
 
 def _fallback(v: Views) -> DataFrame:
     head = F.get(F.split("text", "\n"), F.lit(0))
-    items = v.table("documents").select(
+    items = v.documents.select(
         F.col("source").alias("book_id"), F.col("doc_id").alias("pos"), "text",
         F.when(F.length(head).between(1, 99), head).alias("title"),
     )

@@ -14,10 +14,9 @@ from glossweave.plans.translate import translate_books as translate
 from glossweave.sources import memory_files
 from glossweave.workload.registry import query
 from glossweave.workload.views import (
-    Views, s_count, s_fold, s_squeeze, s_stand_in, s_strip, s_tier, stand_in,
+    Views, rx, s_count, s_fold, s_squeeze, s_stand_in, s_strip, s_tier, stand_in,
 )
 
-W = P.SPACE
 
 # ---- memory files ---------------------------------------------------------------------
 
@@ -230,7 +229,7 @@ _MAP = f"""raw AS (SELECT *, {s_fold('original')} AS key FROM tm_segments
     tmap AS (SELECT * FROM own UNION ALL SELECT s.* FROM seeds s WHERE NOT EXISTS
         (SELECT 1 FROM own o WHERE o.book_id = s.book_id AND o.key = s.key)),
     loose AS (SELECT *, replace(key, ' ', '') AS ns,
-        replace({s_strip(f"regexp_replace(key, '(?i){P.LEADING_LABEL}', '')")}, ' ', '') AS nl FROM tmap)"""
+        replace({s_strip(f"regexp_replace(key, '(?i){rx(P.LEADING_LABEL)}', '')")}, ' ', '') AS nl FROM tmap)"""
 
 
 def _aligned(asked: str, long_keys: bool = True) -> str:
@@ -332,7 +331,7 @@ _SRC = f"""first_entry AS (SELECT book_id, {s_strip('original')} AS k,
         arg_min({s_strip("coalesce(translated, '')")}, pos) AS target FROM memory GROUP BY 1, 2),
     paired AS (SELECT s.book_id, s.pos, s.text, f.target FROM sources s
         LEFT JOIN first_entry f ON f.book_id = s.book_id AND f.k = {s_strip('s.text')}),
-    src AS (SELECT book_id, count(*) AS n, count(*) FILTER (regexp_matches(text, '{P.LIST_ITEM}')) AS lists,
+    src AS (SELECT book_id, count(*) AS n, count(*) FILTER (regexp_matches(text, '{rx(P.LIST_ITEM)}')) AS lists,
         count(*) FILTER (target <> '') AS ok, count(*) FILTER (target = '') AS empty,
         count(*) FILTER (target IS NULL) AS missing,
         avg(least(length(target) / length(text), 3.0::DOUBLE)) FILTER (target <> '') AS ratio
@@ -354,7 +353,7 @@ _WORDS = (
     "regexp_full_match(w, '[a-zA-Z]{{2,}}') AND NOT starts_with(w, 'http') AND NOT starts_with(w, 'www')))"
 )
 _TGT = f"""whole AS (SELECT book_id, count(*) AS n,
-        count(*) FILTER (regexp_matches(translated, '{P.LIST_ITEM}')) AS lists,
+        count(*) FILTER (regexp_matches(translated, '{rx(P.LIST_ITEM)}')) AS lists,
         {s_strip("string_agg(translated, chr(10) ORDER BY pos)")} AS t FROM targets GROUP BY book_id),
     tgt AS (SELECT *, length(t) AS total, {s_count('t', P.CJK)} AS script, {_WORDS.format(x='t')} AS words,
         {s_count('t', P.WESTERN_DATE)} AS dates, {s_count('t', r'(?i)[0-9]+ *inches')} AS units,

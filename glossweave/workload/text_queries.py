@@ -11,9 +11,8 @@ from glossweave.functions.similarity import similarity as similarity_of
 from glossweave.operators import gate as gates
 from glossweave.operators import replies
 from glossweave.workload.registry import query
-from glossweave.workload.views import Views, s_count, s_fold, s_squeeze, s_strip, s_tier, stand_in
+from glossweave.workload.views import Views, W, rx, s_count, s_fold, s_squeeze, s_strip, s_tier, stand_in
 
-W = P.SPACE
 
 
 @query(
@@ -22,7 +21,7 @@ W = P.SPACE
 )
 def norm_text(v: Views) -> DataFrame:
     norm = text.squeeze(F.col("text"))
-    return v.table("documents").select("doc_id", norm.alias("norm"), F.length(norm).alias("n_chars"))
+    return v.documents.select("doc_id", norm.alias("norm"), F.length(norm).alias("n_chars"))
 
 
 @query(
@@ -55,7 +54,7 @@ def trans_id(v: Views) -> DataFrame:
     r"""SELECT page_id, regexp_replace(url, '[<>:"/\\|?*]', '_', 'g') AS clean FROM pages""",
 )
 def clean_filename(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", names.clean_filename(F.col("url")).alias("clean"))
+    return v.pages.select("page_id", names.clean_filename(F.col("url")).alias("clean"))
 
 
 _STEM_SQL = rf"""
@@ -134,7 +133,7 @@ def book_type(v: Views) -> DataFrame:
         || '类型：通用' || chr(10) || '' || chr(10) || text AS summary FROM documents""",
 )
 def summary_text(v: Views) -> DataFrame:
-    docs = v.table("documents")
+    docs = v.documents
     title = F.left("text", F.lit(40))
     return docs.select(
         "doc_id",
@@ -148,7 +147,7 @@ def summary_text(v: Views) -> DataFrame:
         '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""",
 )
 def html_escape(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", text.html_escape(F.col("html")).alias("escaped"))
+    return v.pages.select("page_id", text.html_escape(F.col("html")).alias("escaped"))
 
 
 _TAGS_SQL = rf"regexp_replace(regexp_replace(html, '(?i)<br{W}*/?>', ' ', 'g'), '<[^>]+>', '', 'g')"
@@ -159,7 +158,7 @@ for _from, _to in ((r"\*\*([^\n]+?)\*\*", r"<b>\1</b>"), (r"\*([^\n]+?)\*", r"<i
 
 @query("strip_tags", f"SELECT page_id, {s_strip(_TAGS_SQL)} AS plain FROM pages")
 def strip_tags(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
+    return v.pages.select("page_id", text.strip_tags(F.col("html")).alias("plain"))
 
 
 @query(
@@ -196,7 +195,7 @@ def ncx_labels(v: Views) -> DataFrame:
             F.lit("</text></navLabel>"),
         ),
     )
-    ncx = v.table("documents").select(
+    ncx = v.documents.select(
         F.col("doc_id").alias("book_id"), F.array_join(label, "\n").alias("ncx")
     )
     return ncx.select("book_id", F.posexplode(text.toc_labels(F.col("ncx"))).alias("nth", "label"))
@@ -210,7 +209,7 @@ def ncx_labels(v: Views) -> DataFrame:
             ELSE substr(p.text, 1, 40) END''')} AS label
         FROM paragraphs p JOIN books b USING (book_id))
     SELECT book_id, pos, label FROM l
-    WHERE label <> '' AND NOT regexp_matches(label, '{P.TOC_SKIP}')
+    WHERE label <> '' AND NOT regexp_matches(label, '{rx(P.TOC_SKIP)}')
         AND NOT regexp_matches(label, '{P.ROMAN}')
         AND NOT regexp_matches(label, '\A[0-9]+\z')
         AND ({s_strip('title')} = '' OR lower(label) <> lower({s_strip('title')}))""",
@@ -397,7 +396,7 @@ def _replies(v: Views) -> DataFrame:
             F.translate(line, "[]", "()"), F.lit(" "),
         ),
     )
-    return v.table("documents").select(
+    return v.documents.select(
         F.col("doc_id").alias("book_id"),
         F.concat(F.lit("Sure: "), F.array_join(numbered, "\n")).alias("reply"),
     )

@@ -16,10 +16,20 @@ from pyspark.sql import functions as F
 from glossweave.functions import patterns as P
 from glossweave.operators.paragraphs import document_paragraphs
 from glossweave.sources.pages import content_items, with_elements
+from glossweave.sources.tables import spread
 
 LETTERS = "etaoinshrdlu "
 SIGNS = "的一是不了人我在有他这中大"
-W = P.SPACE
+# The white-space class in the dialect of the checking engine.
+W = (
+    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
+
+def rx(pattern: str) -> str:
+    """A pattern of the library for the checking engine."""
+    return pattern.replace(P.SPACE, W)
 
 
 def stand_in(text: Column) -> Column:
@@ -49,7 +59,7 @@ def s_stand_in(x: str) -> str:
 
 def s_tier(x: str) -> str:
     return (
-        f"CASE WHEN length({x}) <= 30 AND regexp_matches({x}, '(?i){P.SHORT_FORM}') "
+        f"CASE WHEN length({x}) <= 30 AND regexp_matches({x}, '(?i){rx(P.SHORT_FORM)}') "
         f"THEN 'tier1_short_repeatable' WHEN length({x}) >= 200 THEN 'tier3_long_complex' "
         f"ELSE 'tier2_normal' END"
     )
@@ -235,10 +245,18 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"), "doc_id")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return spread(self.table("pages"), "page_id")
+
     @cached_property
     def books(self) -> DataFrame:
         kind = F.col("doc_id") % 5
-        return self.table("documents").select(
+        return self.documents.select(
             F.col("doc_id").alias("book_id"),
             F.concat(F.lit("Book_"), F.col("doc_id").cast("string"), F.lit("--"), F.col("source"),
                      F.lit(".epub")).alias("filename"),
@@ -253,7 +271,7 @@ class Views:
 
     @cached_property
     def paragraphs(self) -> DataFrame:
-        return document_paragraphs(self.table("documents"), "doc_id", "text")
+        return document_paragraphs(self.documents, "doc_id", "text")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -323,7 +341,7 @@ class Views:
 
     @cached_property
     def content_items(self) -> DataFrame:
-        return content_items(self.table("pages"))
+        return content_items(self.pages)
 
     @cached_property
     def page_elements(self) -> DataFrame:
@@ -427,7 +445,7 @@ class Views:
                 .otherwise(line)
             )
 
-        return self.table("documents").select(
+        return self.documents.select(
             F.col("doc_id").alias("book_id"),
             F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("md"),
         )

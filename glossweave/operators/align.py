@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.functions import patterns as P
@@ -11,6 +11,7 @@ from glossweave.functions.text import (
 )
 from glossweave.plans.scan import first_rows
 
+_LABEL_POS = 1 << 40  # labels come behind all segments of a book
 METHODS = {1: "exact", 2: "prefix", 3: "signature", 4: "no_space", 5: "no_label"}
 
 
@@ -33,13 +34,7 @@ def by_trimmed_source(sources: DataFrame, memory: DataFrame, book: str = "book_i
     ).drop("_key")
 
 
-def label_entries(spark: SparkSession) -> DataFrame:
-    """The fixed admonition labels; 15 rows."""
-    rows = [(en, zh, n) for n, (en, zh) in enumerate(P.ADMONITIONS.items())]
-    return spark.createDataFrame(rows, "original string, translated string, nth int")
-
-
-def translation_map(segments: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def translation_map(segments: DataFrame, labels: bool = True) -> DataFrame:
     """`(book_id, key, first_pos, original, translated)`.
 
     Keys are folded originals. The place of a key is its first segment, its value the
@@ -56,7 +51,7 @@ def translation_map(segments: DataFrame, labels: DataFrame | None = None) -> Dat
         )
         .select("book_id", "key", "first_pos", "v.original", "v.translated")
     )
-    if labels is None:
+    if not labels:
         return entries
     # The label list is fixed and tiny: books x 15 rows, not pairs of table rows.
     books = segments.select("book_id").distinct()
@@ -76,7 +71,7 @@ def translation_map(segments: DataFrame, labels: DataFrame | None = None) -> Dat
     ).select(
         "book_id",
         fold(F.col("l.original")).alias("key"),
-        (F.lit(1 << 40) + F.col("l.nth")).alias("first_pos"),
+        (F.lit(_LABEL_POS) + F.col("l.nth")).alias("first_pos"),
         "l.original",
         "l.translated",
     )
@@ -84,80 +79,132 @@ def translation_map(segments: DataFrame, labels: DataFrame | None = None) -> Dat
     return entries.unionByName(absent)
 
 
-def _loose_keys(entries: DataFrame) -> DataFrame:
-    """Fallback keys of the map: `(book_id, kind, key, translated)`, one winner per key."""
-    key = F.col("key")
-    kinds = F.array(
-        F.struct(F.lit(2).alias("kind"), F.left(key, F.lit(P.PREFIX_CHARS)).alias("k")),
-        F.when(
-            F.length("original") > P.LOOSE_MIN,
-            F.struct(F.lit(3).alias("kind"), signature(F.col("original")).alias("k")),
-        ),
-        F.struct(F.lit(4).alias("kind"), without_spaces(key).alias("k")),
-        F.struct(F.lit(5).alias("kind"), without_spaces(strip_leading_label(key)).alias("k")),
-    )
-    rows = entries.select(
-        "book_id", "first_pos", "translated", F.explode(F.array_compact(kinds)).alias("c")
-    ).select(
-        "book_id", "first_pos", "translated", F.col("c.kind").alias("kind"),
-        F.md5(F.col("c.k")).alias("k"),
-    )
-    # First entry wins, but the last one for signatures.
+def _hash(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _kinds(k1, k2, k3, k4, k5) -> Column:
+    """Keys as (kind, key) pairs, without the kinds that do not apply."""
+    pairs = [
+        F.when(k.isNotNull(), F.struct(F.lit(kind).alias("kind"), k.alias("k")))
+        for kind, k in enumerate((k1, k2, k3, k4, k5), 1)
+    ]
+    return F.array_compact(F.array(*pairs))
+
+
+def _entry_keys(key: Column, original: Column) -> list[Column]:
+    """Hashes of an entry's key: whole, prefix, signature, without spaces, without label."""
+    return [
+        _hash(key),
+        _hash(F.left(key, F.lit(P.PREFIX_CHARS))),
+        F.when(F.length(original) > P.LOOSE_MIN, _hash(signature(original))),
+        _hash(without_spaces(key)),
+        _hash(without_spaces(strip_leading_label(key))),
+    ]
+
+
+def alignment_index(segments: DataFrame, labels: bool = True) -> DataFrame:
+    """`(book_id, kind, k, ref)`: which segment answers each key of a book.
+
+    Rows are narrow: keys are hashes and `ref` is a position, so no text is shuffled. Of
+    equal whole keys the first segment gives the place and the last one the value; of equal
+    loose keys the first entry wins, but the last one for signatures.
+    """
+    key = F.col("_folded")
+    names = [f"k{n}" for n in range(1, 6)]
+    rows = segments.where((F.length("original") > 0) & (F.length("translated") > 0)).select(
+        "book_id", F.col("pos").cast("long").alias("pos"), "original",
+        fold(F.col("original")).alias("_folded"),
+    )
+    keyed = rows.select(
+        "book_id", "pos",
+        *[k.alias(n) for k, n in zip(_entry_keys(key, F.col("original")), names)],
+    )
+    if labels:
+        # The label list is fixed and tiny: fifteen rows per book.
+        fixed = F.array(
+            *[
+                F.struct(
+                    F.lit(_LABEL_POS + nth).alias("pos"),
+                    *[k.alias(n) for k, n in zip(_entry_keys(fold(F.lit(en)), F.lit(en)), names)],
+                )
+                for nth, en in enumerate(P.ADMONITIONS)
+            ]
+        )
+        books = segments.select("book_id").distinct()
+        keyed = keyed.unionByName(
+            books.select("book_id", F.explode(fixed).alias("l")).select("book_id", "l.*")
+        )
+    # A label only counts where the book has no segment of that key.
+    own = F.when(F.col("pos") < _LABEL_POS, F.col("pos"))
+    entries = keyed.groupBy("book_id", "k1").agg(
+        F.min("pos").alias("first_pos"),
+        F.coalesce(F.max(own), F.max("pos")).alias("ref"),
+        F.min("k2").alias("k2"),
+        F.max_by("k3", own).alias("k3"),
+        F.min("k4").alias("k4"),
+        F.min("k5").alias("k5"),
+    )
+    pairs = entries.select(
+        "book_id", "first_pos", "ref", F.explode(_kinds(*[F.col(n) for n in names])).alias("c")
+    ).select("book_id", "first_pos", "ref", "c.kind", "c.k")
     rank = F.when(F.col("kind") == 3, -F.col("first_pos")).otherwise(F.col("first_pos"))
-    return rows.groupBy("book_id", "kind", "k").agg(F.min_by("translated", rank).alias("translated"))
+    return pairs.groupBy("book_id", "kind", "k").agg(F.min_by("ref", rank).alias("ref"))
 
 
-def cascade(paragraphs: DataFrame, entries: DataFrame, long_keys: bool = True) -> DataFrame:
+def cascade(
+    paragraphs: DataFrame, segments: DataFrame, labels: bool = True, long_keys: bool = True
+) -> DataFrame:
     """`(book_id, pos, text, translated, align_method)` for every paragraph looked up.
 
-    `long_keys=False` leaves out prefix and signature, as for navigation labels.
-
-    Most paragraphs match exactly, so only the rest go on to the looser keys: they are
-    exploded to their candidate keys, joined once, and the first kind that matches wins.
-    Keys travel as hashes.
+    Tries the folded text, its 80-character prefix, its signature, the text without
+    spaces, and keys without their leading label; `long_keys=False` leaves out prefix and
+    signature, as for navigation labels. All candidate keys of a paragraph go through one
+    narrow join and the best kind wins; texts are joined back by position once.
     """
-    folded = fold(F.col("text"))
-    asked = paragraphs.select("book_id", "pos", "text", folded.alias("_folded")).where(
-        F.length("_folded") > 1
-    )
-    keyed = asked.withColumn("_key", F.md5("_folded"))
-    exact = entries.select(
-        "book_id", F.md5("key").alias("_key"), F.col("translated").alias("_exact")
-    )
-    stage1 = keyed.join(exact, ["book_id", "_key"], "left")
-    hit = stage1.where(F.col("_exact").isNotNull()).select(
-        "book_id", "pos", "text", F.col("_exact").alias("translated"),
-        F.lit(METHODS[1]).alias("align_method"),
-    )
-
-    key, loose = F.col("_folded"), F.lit(long_keys) & (F.length("text") > P.LOOSE_MIN)
-    candidates = F.array_compact(
-        F.array(
-            F.when(
-                loose,
-                F.struct(F.lit(2).alias("kind"), F.left(key, F.lit(P.PREFIX_CHARS)).alias("k")),
-            ),
-            F.when(
-                loose, F.struct(F.lit(3).alias("kind"), signature(F.col("text")).alias("k"))
-            ),
-            F.struct(F.lit(4).alias("kind"), without_spaces(key).alias("k")),
-            F.struct(F.lit(5).alias("kind"), without_spaces(key).alias("k")),
+    folded, stripped = F.col("_folded"), strip(F.col("text"))
+    # Texts that fold to one character or less are not looked up.
+    asked = paragraphs.select("book_id", "pos", "text").where(
+        (F.length(stripped) > 1) | (stripped == "…")
+    )
+    loose = F.lit(long_keys) & (F.length("text") > P.LOOSE_MIN)
+    names = [f"k{n}" for n in range(1, 6)]
+    no_space = _hash(without_spaces(folded))
+    keyed = (
+        asked.withColumn("_folded", fold(F.col("text")))
+        .select(
+            "book_id", "pos",
+            _hash(folded).alias("k1"),
+            F.when(loose, _hash(F.left(folded, F.lit(P.PREFIX_CHARS)))).alias("k2"),
+            F.when(loose, _hash(signature(F.col("text")))).alias("k3"),
+            no_space.alias("k4"),
         )
+        .withColumn("k5", F.col("k4"))
     )
-    missed = stage1.where(F.col("_exact").isNull()).select("book_id", "pos", "text", "_folded")
     found = (
-        missed.select("book_id", "pos", F.explode(candidates).alias("c"))
-        .select("book_id", "pos", F.col("c.kind").alias("kind"), F.md5(F.col("c.k")).alias("k"))
-        .join(_loose_keys(entries), ["book_id", "kind", "k"])
+        keyed.select("book_id", "pos", F.explode(_kinds(*[F.col(n) for n in names])).alias("c"))
+        .select("book_id", "pos", "c.kind", "c.k")
+        .join(alignment_index(segments, labels), ["book_id", "kind", "k"])
         .groupBy("book_id", "pos")
-        .agg(F.min(F.struct("kind", "translated")).alias("m"))
-    )
-    names = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
-    late = missed.join(found, ["book_id", "pos"], "left").select(
-        "book_id", "pos", "text", F.col("m.translated").alias("translated"),
-        F.coalesce(names[F.col("m.kind")], F.lit("none")).alias("align_method"),
+        .agg(F.min(F.struct("kind", "ref")).alias("m"))
+    )
+    values = segments.select(
+        "book_id", F.col("pos").cast("long").alias("_ref"), F.col("translated").alias("_said")
+    )
+    fixed = F.array(*[F.lit(zh) for zh in P.ADMONITIONS.values()])
+    methods = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
+    placed = asked.join(found, ["book_id", "pos"], "left").withColumn(
+        # Unmatched rows get a place of their own that no segment has: a null or shared
+        # value would gather them all in one partition.
+        "_ref", F.coalesce("m.ref", -1 - F.col("pos"))
+    )
+    return placed.join(values, ["book_id", "_ref"], "left").select(
+        "book_id", "pos", "text",
+        F.coalesce("_said", F.get(fixed, (F.col("_ref") - _LABEL_POS).try_cast("int"))).alias(
+            "translated"
+        ),
+        F.coalesce(methods[F.col("m.kind")], F.lit("none")).alias("align_method"),
     )
-    return hit.unionByName(late)
 
 
 def match_rate(aligned: DataFrame) -> DataFrame:

@@ -80,15 +80,6 @@ class _Cuts:
         made = np.append(made, cuts[0] - 1)
         return np.minimum(leave, over).astype(np.int32), made
 
-    def number(self, level: int) -> np.ndarray:
-        """Cuts made up to each row when the block is entered at `level`."""
-        marks = np.zeros(self.n, dtype=np.int64)
-        at = int(self.next[0] if level == self.limit + 2 else self.first(level))
-        while at < self.n:
-            marks[at] = 1
-            at = int(self.next[at])
-        return np.cumsum(marks)
-
 
 def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Whole runs of equal keys from a sorted partition, also across Arrow batches."""
@@ -206,10 +197,25 @@ def char_batches(
     )
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(frames, [*keys, "_block"]):
-            marks = _Cuts(run["_chars"].to_numpy(), limit).number(int(run["enter"].iloc[0]))
-            out = run[[*keys, order]].copy()
-            out["batch_no"] = run["base"].to_numpy() + marks
+        # One frame in, one frame out: groups are small, frames are not.
+        current, fill, batch = None, 0, 0
+        for frame in frames:
+            groups = zip(*[frame[k].tolist() for k in [*keys, "_block"]])
+            entered, bases = frame["enter"].tolist(), frame["base"].tolist()
+            numbers = []
+            for n, (group, size) in enumerate(zip(groups, frame["_chars"].tolist())):
+                if group != current:
+                    current, fill, batch = group, entered[n], bases[n]
+                    if fill == none:
+                        fill = 0
+                    elif fill + size > limit:
+                        fill, batch = 0, batch + 1
+                elif fill + size > limit:
+                    fill, batch = 0, batch + 1
+                fill += size
+                numbers.append(batch)
+            out = frame[[*keys, order]].copy()
+            out["batch_no"] = numbers
             yield out
 
     return (

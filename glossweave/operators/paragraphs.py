@@ -26,80 +26,111 @@ def is_excluded(tag: Column, classes: Column, elem_id: Column) -> Column:
 
 def elements(items: DataFrame, keys: list[str]) -> DataFrame:
     """One row per element with its exclusion flag."""
-    one = items.select(*keys, F.explode("elements").alias("e")).select(*keys, "e.*")
-    return one.withColumn(
+    one = items.select(*keys, F.explode_outer("elements").alias("e")).select(*keys, "e.*")
+    return one.where(F.col("tag").isNotNull()).withColumn(
         "excluded", is_excluded(F.col("tag"), F.col("classes"), F.col("elem_id"))
     )
 
 
-def page_paragraphs(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Paragraphs of pages with element arrays (`sources.pages.with_elements`).
+def paragraph_arrays(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Add to pages with element arrays (`sources.pages.with_elements`) the array `ps` of
+    their paragraphs and the counts of content elements, seen and excluded.
 
-    Numbers run by tag priority, then by place in the page. A page is one row, so its
-    elements are filtered, ordered and numbered inside the row: no shuffle. Short
-    repeatable texts point at their first occurrence in the page.
+    Paragraphs are ordered by tag priority, then by place in the page; `first` is the
+    place of the first equal short text. A page is one row, so its elements are filtered,
+    ordered and compared inside the row: no shuffle.
     """
-    kept = F.filter(
-        F.col("elements"),
-        lambda e: e.tag.isin(P.CONTENT_TAGS)
-        & ~is_excluded(e.tag, e.classes, e.elem_id),
+    content = F.filter(F.col("elements"), lambda e: e.tag.isin(P.CONTENT_TAGS))
+    marked = items.select(
+        *keys,
+        F.size(content).cast("long").alias("total_tags"),
+        F.filter(content, lambda e: ~is_excluded(e.tag, e.classes, e.elem_id)).alias("_kept"),
     )
     texts = F.flatten(
         F.transform(
-            kept,
+            "_kept",
             lambda e: F.transform(
                 F.when(e.has_block, e.bare).otherwise(F.array(e.text)),
                 lambda t: F.struct(
-                    tag_priority(e.tag).alias("rank"),
-                    e.doc_pos.alias("doc_pos"),
-                    e.tag.alias("tag"),
-                    t.alias("text"),
-                    tier(t).alias("tier"),
+                    tag_priority(e.tag).alias("rank"), e.doc_pos.alias("doc_pos"),
+                    e.tag.alias("tag"), t.alias("text"),
                 ),
             ),
         )
     )
-    long_enough = F.filter(texts, lambda p: F.length(p.text) >= P.MIN_TEXT)
     # Loose texts of one block share rank and place; `nth` keeps them in page order.
     ordered = F.array_sort(
         F.transform(
-            long_enough,
+            F.filter(texts, lambda p: F.length(p.text) >= P.MIN_TEXT),
             lambda p, i: F.struct(
                 p.rank.alias("rank"), p.doc_pos.alias("doc_pos"), i.alias("nth"),
-                p.tag.alias("tag"), p.text.alias("text"), p.tier.alias("tier"),
+                p.tag.alias("tag"), p.text.alias("text"), tier(p.text).alias("tier"),
             ),
         )
     )
-    arrays = items.select(*keys, ordered.alias("ps"))
-    shorts = F.transform(
-        F.filter(
-            F.transform(
-                F.col("ps"), lambda p, i: F.struct(p.text.alias("text"), p.tier.alias("tier"), i.alias("i"))
-            ),
-            lambda p: p.tier == schemas.TIER_SHORT,
+    shorts = F.filter(
+        F.transform(
+            "_ordered",
+            lambda p, i: F.struct(p.text.alias("text"), i.alias("i"), p.tier.alias("tier")),
+        ),
+        lambda p: p.tier == schemas.TIER_SHORT,
+    )
+    numbered = F.transform(
+        "_ordered",
+        lambda p, i: F.struct(
+            p.doc_pos.alias("doc_pos"), p.tag.alias("tag"), p.text.alias("text"),
+            p.tier.alias("tier"),
+            F.when(
+                p.tier == schemas.TIER_SHORT,
+                F.get(F.col("_shorts.i"), F.array_position("_shorts.text", p.text).cast("int") - 1),
+            ).otherwise(i).alias("first"),
         ),
-        lambda p: F.struct(p.text.alias("text"), p.i.alias("i")),
-    )
-    rows = arrays.withColumn("shorts", shorts).select(
-        *keys, F.col("shorts.text").alias("_texts"), F.col("shorts.i").alias("_at"),
-        F.posexplode("ps").alias("idx", "p"),
-    )
-    first = F.when(
-        F.col("p.tier") == schemas.TIER_SHORT,
-        F.get(F.col("_at"), F.array_position("_texts", F.col("p.text")).cast("int") - 1),
-    ).otherwise(F.col("idx"))
-    item = F.col("item_id")
-    return rows.select(
+    )
+    return (
+        marked.withColumn("excluded_tags", F.col("total_tags") - F.size("_kept"))
+        .withColumn("_ordered", ordered)
+        .withColumn("_shorts", shorts)
+        .select(*keys, "total_tags", "excluded_tags", numbered.alias("ps"))
+    )
+
+
+def page_paragraphs(items: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per paragraph of pages with element arrays; `keys` hold `item_id`.
+
+    Short repeatable texts point at their first occurrence in the page.
+    """
+    item, idx, first = F.col("item_id"), F.col("idx"), F.col("p.first")
+    # The outer form keeps the optimizer from testing the array's size beforehand, which
+    # would build the array twice.
+    rows = paragraph_arrays(items, keys).select(*keys, F.posexplode_outer("ps").alias("idx", "p"))
+    return rows.where(idx.isNotNull()).select(
         *keys,
-        F.concat_ws("_", item, F.col("idx")).alias("id"),
+        F.concat_ws("_", item, idx).alias("id"),
         trans_id(item, F.col("p.text")).alias("trans_id"),
-        F.col("idx").cast("long").alias("idx"),
+        idx.cast("long").alias("idx"),
         F.col("p.doc_pos").alias("doc_pos"),
         F.col("p.tag").alias("tag"),
         F.col("p.text").alias("text"),
         F.col("p.tier").alias("tier"),
-        (first < F.col("idx")).alias("is_duplicate"),
-        F.when(first < F.col("idx"), F.concat_ws("_", item, first)).alias("original_id"),
+        (first < idx).alias("is_duplicate"),
+        F.when(first < idx, F.concat_ws("_", item, first)).alias("original_id"),
+    )
+
+
+def extraction_stats(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Per page: elements seen and excluded, duplicates, paragraphs per tier."""
+
+    def count(test) -> Column:
+        return F.size(F.filter("ps", test)).cast("long")
+
+    return paragraph_arrays(items, keys).select(
+        *keys,
+        "total_tags",
+        "excluded_tags",
+        count(lambda p, i: p.first < i).alias("duplicates"),
+        count(lambda p: p.tier == schemas.TIER_SHORT).alias("tier1"),
+        count(lambda p: p.tier == schemas.TIER_NORMAL).alias("tier2"),
+        count(lambda p: p.tier == schemas.TIER_LONG).alias("tier3"),
     )
 
 
@@ -150,21 +181,6 @@ def mark_repeats(paragraphs: DataFrame, item: str, order: str, text: str = "text
     )
 
 
-def extraction_stats(elements: DataFrame, paragraphs: DataFrame, item: str) -> DataFrame:
-    """Per item: elements seen and excluded, duplicates, paragraphs per tier."""
-    seen = elements.where(F.col("tag").isin(P.CONTENT_TAGS)).groupBy(item).agg(
-        F.count(F.lit(1)).alias("total_tags"),
-        F.count_if("excluded").alias("excluded_tags"),
-    )
-    kept = paragraphs.groupBy(item).agg(
-        F.count_if("is_duplicate").alias("duplicates"),
-        F.count_if(F.col("tier") == schemas.TIER_SHORT).alias("tier1"),
-        F.count_if(F.col("tier") == schemas.TIER_NORMAL).alias("tier2"),
-        F.count_if(F.col("tier") == schemas.TIER_LONG).alias("tier3"),
-    )
-    return seen.join(kept, item, "left").fillna(0)
-
-
 def first_headings(items: DataFrame, keys: list[str]) -> DataFrame:
     """First non-empty h1-h3 or title shorter than 100 characters, per page."""
     titles = F.filter(

@@ -33,25 +33,24 @@ def compose(batches: DataFrame, keys: list[str], order: str, text: str = "text")
     )
 
 
-def parse(reply: Column) -> Column:
-    """Map from item number to text; the last of equal numbers wins, no mark gives null."""
-    numbers = F.regexp_extract_all(reply, F.lit(_MARK), 1)
-    # The text before the first mark is no item.
-    texts = F.slice(F.split(reply, _MARK), F.lit(2), F.size(numbers))
-    pairs = F.transform(
-        F.arrays_zip(numbers.alias("n"), texts.alias("t")),
-        lambda p: F.struct(p.n.try_cast("int").alias("n"), strip(p.t).alias("t")),
-    )
-    return F.when(F.size(numbers) > 0, pairs)
-
-
 def parse_replies(replies: DataFrame, keys: list[str]) -> DataFrame:
-    """`(keys, item_no, translated)` from `(keys, reply)`; replies without marks give none."""
-    rows = replies.select(*keys, F.posexplode(parse(F.col("reply"))).alias("_at", "p"))
+    """`(keys, item_no, translated)` from `(keys, reply)`; replies without marks give none.
+
+    The text before the first mark is no item; of equal numbers the last one wins.
+    """
+    marked = replies.select(
+        *keys, "reply", F.regexp_extract_all("reply", F.lit(_MARK), 1).alias("_numbers")
+    )
+    texts = F.slice(F.split("reply", _MARK), F.lit(2), F.size("_numbers"))
+    rows = marked.select(
+        *keys, F.posexplode(F.arrays_zip(F.col("_numbers").alias("n"), texts.alias("t"))).alias("_at", "p")
+    ).select(
+        *keys, "_at", F.col("p.n").try_cast("int").alias("item_no"), strip(F.col("p.t")).alias("t")
+    )
     return (
-        rows.where(F.col("p.n").isNotNull())
-        .groupBy(*keys, F.col("p.n").alias("item_no"))
-        .agg(F.max_by("p.t", "_at").alias("translated"))
+        rows.where(F.col("item_no").isNotNull())
+        .groupBy(*keys, "item_no")
+        .agg(F.max_by("t", "_at").alias("translated"))
     )
 
 

@@ -167,6 +167,11 @@ def html_elements(html: pd.Series) -> pd.Series:
     return html.map(read_elements)
 
 
+# Reading is the dear step. Declared non-deterministic, it stays where it is put: the
+# optimizer neither copies it into a filter below nor runs it twice.
+html_elements = html_elements.asNondeterministic()
+
+
 def item_id(name: Column) -> Column:
     return F.regexp_replace(name, r"[/\\]", "_")
 

@@ -105,11 +105,7 @@ def page_paragraphs(v: Views) -> DataFrame:
     FROM seen LEFT JOIN kept USING (page_id)""",
 )
 def extraction_stats(v: Views) -> DataFrame:
-    return pg.extraction_stats(
-        pg.elements(v.page_elements, ["page_id"]),
-        pg.page_paragraphs(v.page_elements, ["page_id", "item_id"]),
-        "page_id",
-    )
+    return pg.extraction_stats(v.page_elements, ["page_id"])
 
 
 @query(

@@ -253,17 +253,13 @@ def _aligned(asked: str, long_keys: bool = True) -> str:
         LEFT JOIN by_nl l ON l.book_id = q.book_id AND l.k = q.ns)"""
 
 
-def _map(v: Views) -> DataFrame:
-    return align.translation_map(v.tm_segments, align.label_entries(v.spark))
-
-
 def _align(v: Views) -> DataFrame:
-    return align.cascade(v.asked, _map(v))
+    return align.cascade(v.asked, v.tm_segments)
 
 
 @query("label_seed", f"WITH {_MAP} SELECT book_id, key, translated FROM tmap")
 def label_seed(v: Views) -> DataFrame:
-    return _map(v).select("book_id", "key", "translated")
+    return align.translation_map(v.tm_segments).select("book_id", "key", "translated")
 
 
 @query(
@@ -311,7 +307,7 @@ _HEADS = "(SELECT book_id, pos, text FROM nodes WHERE tag = 'h1') heads"
 )
 def toc_translate(v: Views) -> DataFrame:
     heads = v.nodes.where(F.col("tag") == "h1").select("book_id", "pos", "text")
-    return align.translate_labels(align.cascade(heads, _map(v), long_keys=False))
+    return align.translate_labels(align.cascade(heads, v.tm_segments, long_keys=False))
 
 
 # ---- quality --------------------------------------------------------------------------

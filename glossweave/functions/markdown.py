@@ -11,7 +11,8 @@ from glossweave.plans.scan import BLOCK_ROWS, scan
 
 # A fence line, the lines up to the closing fence, and that fence (or the end). The
 # reluctant dot keeps the match iterative, so long blocks do not deepen the stack.
-_FENCED = rf"(?ms)^(?:(?!\n){P.SPACE})*```[^\n]*(?:\n.*?^(?:(?!\n){P.SPACE})*```[^\n]*|.*?\z)(?:\n|\z)"
+_INDENT = r"[\p{IsWhite_Space}\x1c-\x1f&&[^\n]]*"
+_FENCED = rf"(?ms)^{_INDENT}```[^\n]*(?:\n.*?^{_INDENT}```[^\n]*|.*?\z)(?:\n|\z)"
 
 
 def without_fences(text: Column) -> Column:

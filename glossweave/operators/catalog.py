@@ -38,14 +38,14 @@ def resolve_prefix(books: DataFrame, prefix: str) -> DataFrame:
 def title_search(books: DataFrame, word: str) -> DataFrame:
     """Books with a summary whose title holds `word`; flags an ambiguous search.
 
-    The count of matches is a one-row aggregate joined back, not a window over all rows.
+    The count of matches is a scalar subquery, not a window over all rows.
     """
     found = books.where(
         (F.length(F.coalesce("summary_text", F.lit(""))) > 0)
         & F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower(F.lit(word)))
     )
     total = found.agg((F.count(F.lit(1)) > 1).alias("is_ambiguous"))
-    return found.join(F.broadcast(total))
+    return found.withColumn("is_ambiguous", total.scalar())
 
 
 def sku_prices(requests: DataFrame, skus: DataFrame) -> DataFrame:

@@ -19,11 +19,17 @@ from glossweave.session import cut
 Model = Callable[[str], str]
 
 
-def call_model(rows: DataFrame, model: Model, prompt: str, reply: str = "reply") -> DataFrame:
+def call_model(
+    rows: DataFrame, keys: list[str], model: Model, prompt: str, reply: str = "reply",
+    tasks: int | None = None,
+) -> DataFrame:
     """Send each row's prompt to the model; a call that fails gives a null reply.
 
-    Rows are spread evenly first: calls are slow, so tasks should hold equal numbers.
+    Calls are slow and rows are small, so rows are spread by their whole key over a fixed
+    number of tasks (the shuffle partitions unless given); left to the size rule, many
+    calls would be merged into one task.
     """
+    tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,7 +44,7 @@ def call_model(rows: DataFrame, model: Model, prompt: str, reply: str = "reply")
             out[reply] = pd.Series(replies, index=frame.index, dtype=object)
             yield out
 
-    return rows.repartition(*rows.columns[:2]).mapInPandas(call, f"{schema}, `{reply}` string")
+    return rows.repartition(tasks, *keys).mapInPandas(call, f"{schema}, `{reply}` string")
 
 
 def translate_fresh(
@@ -63,7 +69,7 @@ def translate_fresh(
     prompts = compose(numbered, keys, "pos").withColumn(
         "prompt", F.replace(F.lit(instruction), F.lit("{content}"), F.col("prompt"))
     )
-    replies = cut(call_model(prompts.select(*keys, "prompt"), model, "prompt"))
+    replies = cut(call_model(prompts.select(*keys, "prompt"), keys, model, "prompt"))
     answered = replies.where(F.coalesce("reply", F.lit("")).rlike(rf"\[{P.DIGIT}+\]"))
     parsed = parse_replies(answered, keys)
     done = (
@@ -78,7 +84,9 @@ def translate_fresh(
         "book_id", "pos", "text", "tier"
     )
     single = cut(
-        call_model(alone.unionByName(unanswered), model, "text", "translated")
+        call_model(
+            alone.unionByName(unanswered), ["book_id", "pos"], model, "text", "translated"
+        )
     )
     checked = gate(
         done.unionByName(single).withColumnRenamed("text", "original")
@@ -91,7 +99,7 @@ def retry(checked: DataFrame, model: Model) -> DataFrame:
     again = cut(
         call_model(
             checked.where(F.col("action") == "retry").select("book_id", "pos", "original"),
-            model, "original", "again",
+            ["book_id", "pos"], model, "original", "again",
         )
     )
     new = F.col("again")

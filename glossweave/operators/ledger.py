@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.functions import patterns as P
-from glossweave.plans.scan import BLOCK_ROWS, scan
+from glossweave.plans.scan import scan
+
+LOG_BLOCK = 1 << 22
 
 
 def _publish_errors(logs: DataFrame) -> DataFrame:
@@ -108,11 +110,12 @@ def seconds(later: Column, earlier: Column) -> Column:
     ) / F.lit(1000000.0)
 
 
-def stage_durations(logs: DataFrame, order: str = "id", rows: int = BLOCK_ROWS) -> DataFrame:
+def stage_durations(logs: DataFrame, order: str = "id", rows: int = LOG_BLOCK) -> DataFrame:
     """Time from each start entry to the next entry of the book's stage, per book and stage.
 
     `order` numbers the entries in time. A book may hold any number of entries, so the
-    previous one is found by a blocked scan.
+    previous one is found by a blocked scan. The numbers run over all books, so a block
+    holds more of them than a block of one book's positions.
     """
     place = F.struct("status", "created_at")
     paired = scan(logs, ["book_id", "stage"], order, last={"_before": place}, rows=rows)

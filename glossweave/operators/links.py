@@ -15,7 +15,7 @@ from glossweave.functions.text import strip
 
 MIN_SCORE = 0.5
 SLICE_LINKS = 5_000
-SLICE_TITLES = 2_000
+SLICE_TITLES = 100_000
 _FOUND = "link_id long, score double, created_seq long, book_id long"
 
 

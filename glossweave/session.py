@@ -27,11 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and go on from there.
 
     Used after steps that must not run twice (calls of a user's model). The folder is
-    the one the cluster names; a temporary one is set only where none is set.
+    the one the cluster names; a temporary one is set only in local mode.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get(CHECKPOINT_SETTING, None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossweave-checkpoint-"))
+        if named is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+            named = tempfile.mkdtemp(prefix="glossweave-checkpoint-")
+        context.setCheckpointDir(named)
     return df.checkpoint()

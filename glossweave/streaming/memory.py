@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glossweave.functions.text import is_blank, source_hash
-from glossweave.operators.memory import upsert
+
+DELTA = "source_hash string, source_text string, translated_text string, batch long"
 
 
 def first_entries(entries: DataFrame, ttl: str = "30 days") -> DataFrame:
@@ -23,28 +24,37 @@ def first_entries(entries: DataFrame, ttl: str = "30 days") -> DataFrame:
 
 
 def upsert_stream(
-    entries: DataFrame, snapshots: str, checkpoint: str, available_now: bool = True
+    entries: DataFrame, deltas: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Last-wins memory: every micro-batch writes a new snapshot `batch=<n>`.
+    """Last-wins memory: every micro-batch adds its own changes as `batch=<n>`.
 
-    A snapshot is built from the one before it, so a batch that is run again gives the
-    same files.
+    Only the changes are written, folded to one row per source text. A batch that is run
+    again replaces its own files, so the result is the same.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            memory = spark.createDataFrame(
-                [], "source_hash string, source_text string, translated_text string"
+        latest = (
+            batch.where(~is_blank(F.col("translated_text")))
+            .withColumn("source_hash", source_hash(F.col("source_text")))
+            .groupBy("source_hash")
+            .agg(
+                F.max_by(
+                    F.struct("source_text", "translated_text"), F.struct("ts", "translated_text")
+                ).alias("e")
             )
-        else:
-            memory = spark.read.parquet(f"{snapshots}/batch={batch_id - 1}")
-        updates = batch.where(~is_blank(F.col("translated_text"))).select(
-            "source_text", "translated_text", F.struct("ts", "translated_text").alias("seq")
-        )
-        upsert(memory, updates, "seq").drop("change").write.mode("overwrite").parquet(
-            f"{snapshots}/batch={batch_id}"
+            .select("source_hash", "e.*")
         )
+        latest.write.mode("overwrite").parquet(f"{deltas}/batch={batch_id}")
 
     writer = entries.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current(spark: SparkSession, deltas: str) -> DataFrame:
+    """The memory after all batches: the entry of the latest batch per source text."""
+    rows = spark.read.schema(DELTA).parquet(deltas)
+    return (
+        rows.groupBy("source_hash")
+        .agg(F.max_by(F.struct("source_text", "translated_text"), "batch").alias("e"))
+        .select("source_hash", "e.*")
+    )

@@ -147,11 +147,10 @@ def test_memory_streams(spark, tmp_path):
         availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("first_tm").count() == 3
-    snapshots = str(tmp_path / "snap")
+    deltas = str(tmp_path / "deltas")
     one = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    memory.upsert_stream(one, snapshots, str(tmp_path / "cp")).awaitTermination(120)
-    last = max(int(r.batch) for r in spark.read.parquet(snapshots).select("batch").distinct().collect())
-    got = {r.source_text: r.translated_text for r in spark.read.parquet(f"{snapshots}/batch={last}").collect()}
+    memory.upsert_stream(one, deltas, str(tmp_path / "cp")).awaitTermination(120)
+    got = {r.source_text: r.translated_text for r in memory.current(spark, deltas).collect()}
     assert got["b"] == "3" and got["a"] in ("1", "2") and "c" not in got
 
 

@@ -126,6 +126,14 @@ def first_of(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
+def metadata_author(authors: Column, creators: Column) -> Column:
+    """First author; the creators count only where no author is given at all."""
+    return first_of(
+        F.when(F.size(F.coalesce(authors, F.array().cast("array<string>"))) > 0, authors)
+        .otherwise(creators)
+    )
+
+
 def toc_labels(ncx: Column) -> Column:
     return F.regexp_extract_all(ncx, F.lit("<text>([^<]+)</text>"), 1)
 

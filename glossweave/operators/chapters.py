@@ -33,19 +33,20 @@ def chapters(lines: DataFrame, book: str, order: str) -> DataFrame:
     A chapter may hold any number of rows, so only rows that start within its first 5000
     characters are gathered; `chapter_lines` keeps the whole text.
     """
-    content = lines.where(~F.col("is_heading") & (F.length("text") > 0))
-    titles = lines.where("is_heading").select(
-        book, "chapter_no", strip(F.col("text")).alias("title")
-    )
-    sizes = content.groupBy(book, "chapter_no").agg(
-        F.min(order).alias("start_pos"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.length("text") + 1).alias("n_chars"),
+    filled = ~F.col("is_heading") & (F.length("text") > 0)
+    sizes = (
+        lines.groupBy(book, "chapter_no")
+        .agg(
+            F.max(F.when(F.col("is_heading"), strip(F.col("text")))).alias("title"),
+            F.min(F.when(filled, F.col(order))).alias("start_pos"),
+            F.count_if(filled).alias("n_lines"),
+            F.sum(F.when(filled, F.length("text") + 1)).alias("n_chars"),
+        )
+        .where(F.col("n_lines") > 0)
     )
-    heads = chapter_heads(content, book, order)
+    heads = chapter_heads(lines.where(filled), book, order)
     return (
-        sizes.join(titles, [book, "chapter_no"], "left")
-        .join(heads, [book, "chapter_no"], "left")
+        sizes.join(heads, [book, "chapter_no"], "left")
         .select(
             book,
             "chapter_no",

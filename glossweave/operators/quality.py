@@ -55,7 +55,7 @@ def source_counts(sources: DataFrame, memory: DataFrame) -> DataFrame:
     )
 
 
-def fidelity(counts: DataFrame) -> DataFrame:
+def _fidelity() -> list[Column]:
     n, ratio = F.col("n_source"), F.col("length_ratio")
     score = F.least(
         F.lit(100.0),
@@ -64,8 +64,7 @@ def fidelity(counts: DataFrame) -> DataFrame:
         + F.coalesce(F.least(F.lit(30.0), ratio / 0.45 * 30), F.lit(0.0)),
     )
     missing = F.col("n_missing")
-    return counts.select(
-        "book_id",
+    return [
         F.when(n == 0, 100.0).otherwise(F.round(score, 1)).alias("score"),
         missing.alias("missing_count"),
         F.col("n_empty").alias("empty_count"),
@@ -82,13 +81,16 @@ def fidelity(counts: DataFrame) -> DataFrame:
                 F.concat(F.lit("译文/原文长度比例异常: "), _number(ratio, 2)),
             ),
         ).alias("issues"),
-    )
+    ]
 
 
-def completeness(counts: DataFrame) -> DataFrame:
+def fidelity(counts: DataFrame) -> DataFrame:
+    return counts.select("book_id", *_fidelity())
+
+
+def _completeness() -> list[Column]:
     n, missing = F.col("n_source"), F.col("n_missing")
-    return counts.select(
-        "book_id",
+    return [
         F.when(n == 0, 100.0)
         .otherwise(F.round(F.col("n_translated") / n * 100, 1))
         .alias("score"),
@@ -104,7 +106,11 @@ def completeness(counts: DataFrame) -> DataFrame:
             ),
             _count_issue(("有 ", " 个段落译文为空"), F.col("n_empty")),
         ).alias("issues"),
-    )
+    ]
+
+
+def completeness(counts: DataFrame) -> DataFrame:
+    return counts.select("book_id", *_completeness())
 
 
 # ---- target side: fluency, cultural adaptation, format -------------------------------
@@ -168,7 +174,7 @@ def target_counts(translated: DataFrame, script: str = P.CJK) -> DataFrame:
     )
 
 
-def fluency(counts: DataFrame) -> DataFrame:
+def _fluency() -> list[Column]:
     total, script, words = F.col("total_chars"), F.col("script_chars"), F.col("words")
     ratio = F.when(F.col("all_blank"), 1.0).otherwise(F.try_divide(script, total))
     density = script / F.greatest(F.lit(1), total - words * 5)
@@ -178,8 +184,7 @@ def fluency(counts: DataFrame) -> DataFrame:
         + F.greatest(F.lit(0), 20 - words * 5)
     )
     live = ~F.col("all_blank")
-    return counts.select(
-        "book_id",
+    return [
         F.when(F.col("all_blank"), 100.0)
         .otherwise(F.round(F.least(F.lit(100.0), score), 1))
         .alias("score"),
@@ -192,13 +197,16 @@ def fluency(counts: DataFrame) -> DataFrame:
             ),
             F.when(live, _count_issue(("发现 ", " 个遗留英文词汇"), words)),
         ).alias("issues"),
-    )
+    ]
 
 
-def cultural(counts: DataFrame) -> DataFrame:
+def fluency(counts: DataFrame) -> DataFrame:
+    return counts.select("book_id", *_fluency())
+
+
+def _cultural() -> list[Column]:
     n = F.col("dates") + F.col("units") + F.col("currency")
-    return counts.select(
-        "book_id",
+    return [
         F.greatest(F.lit(0.0), 100.0 - n * 20).alias("score"),
         F.col("dates").alias("western_date_count"),
         F.col("units").alias("imperial_units"),
@@ -208,16 +216,18 @@ def cultural(counts: DataFrame) -> DataFrame:
             _count_issue(("发现 ", " 处英制度量衡，建议适配公制单位"), F.col("units")),
             _count_issue(("发现 ", " 处西式货币符号"), F.col("currency")),
         ).alias("issues"),
-    )
+    ]
 
 
-def format_integrity(source: DataFrame, target: DataFrame) -> DataFrame:
-    """From the counts of both sides; a book that lacks one side counts it as empty."""
-    both = source.select("book_id", "n_source", "source_lists").join(
-        target.select("book_id", "n_target", "target_lists"), "book_id", "full"
-    ).fillna(0)
-    s, t = F.col("n_source"), F.col("n_target")
-    sl, tl = F.col("source_lists"), F.col("target_lists")
+def cultural(counts: DataFrame) -> DataFrame:
+    return counts.select("book_id", *_cultural())
+
+
+def _format() -> list[Column]:
+    s, t, sl, tl = (
+        F.coalesce(c, F.lit(0).cast("long"))
+        for c in ("n_source", "n_target", "source_lists", "target_lists")
+    )
     score = (
         F.when(s == t, 40.0).otherwise(0.0)
         + F.when(s > 0, F.least(s, t) / F.greatest(s, F.lit(1)) * 30).otherwise(0.0)
@@ -232,8 +242,7 @@ def format_integrity(source: DataFrame, target: DataFrame) -> DataFrame:
                      b.cast("string"), F.lit(f" {unit}")),
         )
 
-    return both.select(
-        "book_id",
+    return [
         F.when((s == 0) & (t == 0), 100.0)
         .otherwise(F.round(F.least(F.lit(100.0), score), 1))
         .alias("score"),
@@ -245,7 +254,15 @@ def format_integrity(source: DataFrame, target: DataFrame) -> DataFrame:
         _issues(
             mismatch("段落数不匹配", s, t, "段"), mismatch("列表项数不匹配", sl, tl, "个")
         ).alias("issues"),
+    ]
+
+
+def format_integrity(source: DataFrame, target: DataFrame) -> DataFrame:
+    """From the counts of both sides; a book that lacks one side counts it as empty."""
+    both = source.select("book_id", "n_source", "source_lists").join(
+        target.select("book_id", "n_target", "target_lists"), "book_id", "full"
     )
+    return both.select("book_id", *_format())
 
 
 # ---- memory side: consistency, terminology -------------------------------------------
@@ -411,15 +428,29 @@ def toc_links(entries: DataFrame, editions: DataFrame) -> DataFrame:
 # ---- report ---------------------------------------------------------------------------
 
 
-def _long(dimension: str, scores: DataFrame, details: list[str]) -> DataFrame:
-    pairs = [x for name in details for x in (F.lit(name), F.col(name).cast("double"))]
-    return scores.select(
-        "book_id",
-        F.lit(dimension).alias("dimension"),
-        "score",
-        "issues",
-        (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")).alias(
-            "details"
+DETAILS = {
+    "fidelity": ["missing_count", "empty_count", "avg_length_ratio"],
+    "fluency": ["chinese_ratio", "english_word_count"],
+    "consistency": ["total_terms", "inconsistent_terms"],
+    "format": ["para_count_match", "source_paragraphs", "translated_paragraphs"],
+    "terminology": ["matched_count", "incorrect_count"],
+    "cultural": ["western_date_count", "imperial_units"],
+    "completeness": [
+        "source_paragraphs", "translated_paragraphs", "missing_count", "empty_paragraphs",
+    ],
+    "pdf_toc_links": ["toc_entries", "valid_links", "broken_links"],
+}
+
+
+def _scored(dimension: str, present: Column) -> Column:
+    """One dimension of a book from its column of scores; null when it does not apply."""
+    scores = F.col(f"_{dimension}")
+    pairs = [x for d in DETAILS[dimension] for x in (F.lit(d), scores[d].cast("double"))]
+    return F.when(
+        present,
+        F.struct(
+            F.lit(dimension).alias("dimension"), scores["score"].alias("score"),
+            scores["issues"].alias("issues"), F.create_map(*pairs).alias("details"),
         ),
     )
 
@@ -435,36 +466,44 @@ def dimensions(
 
     Present dimensions only: the memory-based ones for books with memory entries, the
     target-based ones for books with translated paragraphs, contents where entries exist.
+    Texts are read once per side: the counts of a book are put on one row, all its scores
+    are worked out there, and the row is unfolded at the end.
     """
     spark = sources.sparkSession
-    source = source_counts(sources, memory)
-    target = target_counts(translated, script)
-    rows = [
-        _long("fidelity", fidelity(source), ["missing_count", "empty_count", "avg_length_ratio"]),
-        _long("fluency", fluency(target), ["chinese_ratio", "english_word_count"]),
-        _long("consistency", consistency(memory), ["total_terms", "inconsistent_terms"]),
-        _long(
-            "format", format_integrity(source, target),
-            ["para_count_match", "source_paragraphs", "translated_paragraphs"],
-        ),
-        _long(
-            "terminology", terminology(memory, glossary(spark)),
-            ["matched_count", "incorrect_count"],
-        ),
-        _long("cultural", cultural(target), ["western_date_count", "imperial_units"]),
-        _long(
-            "completeness", completeness(source),
-            ["source_paragraphs", "translated_paragraphs", "missing_count", "empty_paragraphs"],
-        ),
-    ]
+
+    def packed(scores: DataFrame, name: str) -> DataFrame:
+        columns = [c for c in scores.columns if c != "book_id"]
+        return scores.select("book_id", F.struct(*columns).alias(f"_{name}"))
+
+    wide = (
+        source_counts(sources, memory)
+        .join(target_counts(translated, script), "book_id", "full")
+        .join(packed(consistency(memory), "consistency"), "book_id", "full")
+        .join(packed(terminology(memory, glossary(spark)), "terminology"), "book_id", "full")
+    )
+    has_source, has_target = F.col("n_source").isNotNull(), F.col("n_target").isNotNull()
+    present = {
+        "fidelity": has_source,
+        "fluency": has_target,
+        "consistency": F.col("_consistency").isNotNull(),
+        "format": has_source | has_target,
+        "terminology": F.col("_terminology").isNotNull(),
+        "cultural": has_target,
+        "completeness": has_source,
+    }
     if toc is not None:
-        rows.append(
-            _long("pdf_toc_links", toc_links(*toc), ["toc_entries", "valid_links", "broken_links"])
-        )
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+        wide = wide.join(packed(toc_links(*toc), "pdf_toc_links"), "book_id", "full")
+        present["pdf_toc_links"] = F.col("_pdf_toc_links").isNotNull()
+    scored = wide.select(
+        "*",
+        F.struct(*_fidelity()).alias("_fidelity"),
+        F.struct(*_fluency()).alias("_fluency"),
+        F.struct(*_format()).alias("_format"),
+        F.struct(*_cultural()).alias("_cultural"),
+        F.struct(*_completeness()).alias("_completeness"),
+    )
+    rows = F.array_compact(F.array(*[_scored(name, test) for name, test in present.items()]))
+    return scored.select("book_id", F.explode(rows).alias("d")).select("book_id", "d.*")
 
 
 def grade(score: Column, limits: dict[str, float] = P.GRADE_LIMITS) -> Column:

@@ -349,27 +349,35 @@ class Views:
 
     @cached_property
     def memory(self) -> DataFrame:
-        book, n = F.col("book_id"), F.length("translated")
-        held = self.segments.where(n <= 1500).select(
-            "book_id", "pos", "original",
+        book, pos, n = F.col("book_id"), F.col("pos"), F.length("translated")
+        quarter, third = book % 4, book % 3
+
+        def entry(at: Column, original: Column, translated: Column) -> Column:
+            return F.struct(
+                at.alias("pos"), original.alias("original"), translated.alias("translated")
+            )
+
+        held = entry(
+            pos, F.col("original"),
             F.when(n < 250, "  ").when(book % 2 == 0, stand_in(F.col("translated")))
-            .otherwise(F.col("translated")).alias("translated"),
+            .otherwise(F.col("translated")),
         )
-        quarter, third = book % 4, book % 3
-        first = self.segments.select(
-            "book_id", (F.col("pos") + 100000).alias("pos"),
+        first = entry(
+            pos + 100000,
             F.when(quarter == 0, "API ").when(quarter == 1, "Database")
-            .when(quarter == 2, "Server").otherwise("Widget").alias("original"),
-            F.when(third == 0, "API").when(third == 1, "数据库").otherwise("服务器")
-            .alias("translated"),
+            .when(quarter == 2, "Server").otherwise("Widget"),
+            F.when(third == 0, "API").when(third == 1, "数据库").otherwise("服务器"),
         )
-        second = self.segments.select(
-            "book_id", (F.col("pos") + 200000).alias("pos"),
+        second = entry(
+            pos + 200000,
             F.when(quarter == 0, "api").when(quarter == 1, "Module")
-            .when(quarter == 2, " server").otherwise("Widget").alias("original"),
-            F.lit("模块").alias("translated"),
+            .when(quarter == 2, " server").otherwise("Widget"),
+            F.lit("模块"),
+        )
+        entries = F.array_compact(F.array(F.when(n <= 1500, held), first, second))
+        return self.segments.select("book_id", F.explode(entries).alias("e")).select(
+            "book_id", "e.*"
         )
-        return held.unionByName(first).unionByName(second)
 
     @cached_property
     def sources(self) -> DataFrame:

@@ -167,3 +167,22 @@ def test_live_totals(spark, tmp_path):
     usage = spark.createDataFrame([("b", "s", 1000000, 1000000)],
                                   "book_id string, step string, input_tokens long, output_tokens long")
     assert float(status.live_tokens(usage).first().cost) == 3.0
+
+
+def test_link_sheet(spark, tmp_path):
+    from glossweave.sources.tables import read_link_sheet
+
+    (tmp_path / "links.csv").write_text(
+        "文件名,分享链接,提取码,备注\nDeep_Work.epub,https://s/1,ab12,\n,https://s/2,,x\n", encoding="utf-8")
+    rows = read_link_sheet(spark, str(tmp_path / "links.csv")).collect()
+    assert {(r.filename, r.share_url, r.extract_code) for r in rows} == {
+        ("Deep_Work.epub", "https://s/1", "ab12"), (None, "https://s/2", None)}
+
+
+def test_archiving_stream(spark, tmp_path):
+    folder, archive = shelf(tmp_path), tmp_path / "done"
+    files = ingest.container_stream(spark, str(folder), str(archive), files_per_batch=1)
+    ingest.ingest(files, str(tmp_path / "b"), str(tmp_path / "c")).awaitTermination(120)
+    moved = [p.name for p in archive.rglob("*.epub")]
+    left = [p.name for p in folder.glob("*.epub")]
+    assert moved and sorted(moved + left) == ["bad.epub", "no_html.epub", "one .epub", "two_x.epub"]

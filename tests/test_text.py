@@ -110,3 +110,11 @@ def test_page_replies(spark):
     content = replies.summary_content(F.col("t"))
     assert one(spark, content, t='x {"content": "c"} y') == "c"
     assert one(spark, content, t="# head") == "# head"
+
+
+def test_metadata_values(spark):
+    df = spark.createDataFrame(
+        [(["A", "B"], ["C"]), ([], ["C"]), (None, None)], "a array<string>, c array<string>"
+    )
+    got = [r.x for r in df.select(text.metadata_author(F.col("a"), F.col("c")).alias("x")).collect()]
+    assert got == ["A", "C", None]

@@ -72,16 +72,21 @@ def translate_fresh(
     replies = cut(call_model(prompts.select(*keys, "prompt"), keys, model, "prompt"))
     answered = replies.where(F.coalesce("reply", F.lit("")).rlike(rf"\[{P.DIGIT}+\]"))
     parsed = parse_replies(answered, keys)
+    # The first item of a batch stands for its call, so calls add up over any grouping.
+    opens = (F.col("item_no") == 1).cast("int")
     done = (
         numbered.join(answered.select(*keys), keys, "left_semi")
         .join(parsed, [*keys, "item_no"], "left")
-        .select("book_id", "pos", "text", "tier", F.coalesce("translated", F.lit("")).alias("translated"))
+        .select(
+            "book_id", "pos", "text", "tier", F.coalesce("translated", F.lit("")).alias("translated"),
+            opens.alias("calls"),
+        )
     )
     unanswered = numbered.join(answered.select(*keys), keys, "left_anti").select(
-        "book_id", "pos", "text", "tier"
+        "book_id", "pos", "text", "tier", (opens + 1).alias("calls")
     )
     alone = paragraphs.where(F.col("tier") == schemas.TIER_LONG).select(
-        "book_id", "pos", "text", "tier"
+        "book_id", "pos", "text", "tier", F.lit(1).alias("calls")
     )
     single = cut(
         call_model(
@@ -113,4 +118,5 @@ def retry(checked: DataFrame, model: Model) -> DataFrame:
             F.col("action").isin("keep_original", "keep")
             | ((F.col("action") == "retry") & ~accepted)
         ).alias("failed"),
+        (F.col("calls") + (F.col("action") == "retry").cast("int")).alias("calls"),
     )

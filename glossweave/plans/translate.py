@@ -43,7 +43,7 @@ def translate_books(
     cached = known.where("hit").select(
         "book_id", "pos", F.col("text").alias("original"), "translated", "tier",
         F.lit("memory").alias("origin"), F.lit(False).alias("failed"),
-        F.lit("ok").alias("action"),
+        F.lit("ok").alias("action"), F.lit(0).alias("calls"),
     )
     fresh = translate_fresh(
         known.where(~F.col("hit")).select("book_id", "pos", "text", "tier"), model
@@ -66,6 +66,7 @@ def translate_books(
     ).select(
         "book_id", "pos", F.col("text").alias("original"), "translated", "tier",
         F.lit("repeat").alias("origin"), "failed", F.lit("ok").alias("action"),
+        F.lit(0).alias("calls"),
     )
     segments = done.unionByName(copied)
     # The model's word goes to the memory, not the original kept in its place.
@@ -86,6 +87,7 @@ def run_stats(segments: DataFrame, by: list[str]) -> DataFrame:
             "hit_pct"
         ),
         F.count_if(origin == "model").alias("translated"),
+        F.sum("calls").cast("long").alias("api_calls"),
         F.count_if(origin == "repeat").alias("repeats"),
         F.count_if(F.col("action") == "retry").alias("retried"),
         F.count_if(F.coalesce("failed", F.lit(False))).alias("failed"),
@@ -93,3 +95,13 @@ def run_stats(segments: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(tier == schemas.TIER_NORMAL).alias("tier2"),
         F.count_if(tier == schemas.TIER_LONG).alias("tier3"),
     )
+
+
+def with_token_rate(stats: DataFrame, usage: DataFrame, by: list[str]) -> DataFrame:
+    """Add the tokens used and their average per translated paragraph."""
+    used = usage.groupBy(*by).agg(
+        F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens")
+    )
+    return stats.join(used, by, "left").withColumn(
+        "avg_tokens", F.round(F.try_divide("total_tokens", "translated"), 1)
+    )

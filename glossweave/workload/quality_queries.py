@@ -183,9 +183,10 @@ def run_stats(v: Views) -> DataFrame:
         "language", "tier",
         F.when(F.col("is_duplicate"), "repeat").when(F.col("hit"), "memory").otherwise("model")
         .alias("origin"),
-        F.lit("ok").alias("action"), F.lit(False).alias("failed"),
+        F.lit("ok").alias("action"), F.lit(False).alias("failed"), F.lit(0).alias("calls"),
     )
-    return stats_of(run, ["language"])
+    # No model runs here, so there are no calls to count.
+    return stats_of(run, ["language"]).drop("api_calls")
 
 
 def stub_model(prompt: str) -> str:
@@ -210,6 +211,33 @@ def translate_books(v: Views) -> DataFrame:
     )
 
 
+@query(
+    "translation_stats",
+    f"""WITH RECURSIVE {_RUN},
+        todo AS (SELECT book_id, tier, pos, length(text) AS n,
+            row_number() OVER (PARTITION BY book_id, tier ORDER BY pos) AS rn
+            FROM looked WHERE NOT hit AND NOT is_duplicate),
+        walk AS (SELECT book_id, tier, rn, n AS fill, 1 AS opens FROM todo
+            WHERE rn = 1 AND tier <> 'tier3_long_complex'
+            UNION ALL
+            SELECT t.book_id, t.tier, t.rn, CASE WHEN w.fill + t.n > 1800 THEN t.n ELSE w.fill + t.n END,
+                CASE WHEN w.fill + t.n > 1800 THEN 1 ELSE 0 END
+            FROM walk w JOIN todo t ON t.book_id = w.book_id AND t.tier = w.tier AND t.rn = w.rn + 1),
+        calls AS (SELECT tier, sum(opens) AS n FROM walk GROUP BY tier
+            UNION ALL SELECT tier, count(*) FROM todo WHERE tier = 'tier3_long_complex' GROUP BY tier)
+        SELECT l.tier, count(*) AS paragraphs, count(*) FILTER (hit) AS cache_hits,
+            count(*) FILTER (is_duplicate) AS repeats,
+            count(*) FILTER (NOT hit AND NOT is_duplicate) AS translated,
+            CAST(max(coalesce(c.n, 0)) AS BIGINT) AS api_calls
+        FROM looked l LEFT JOIN calls c USING (tier) GROUP BY l.tier""",
+)
+def translation_stats(v: Views) -> DataFrame:
+    run = translate(v.nodes.select("book_id", "pos", "text"), v.tm, stub_model)
+    return stats_of(run.segments, ["tier"]).select(
+        "tier", "paragraphs", "cache_hits", "repeats", "translated", "api_calls"
+    )
+
+
 # ---- alignment ------------------------------------------------------------------------
 
 _SIG = "regexp_replace(lower(substr({x}, 1, 200)), '[^\\p{{L}}\\p{{N}}]', '', 'g')"

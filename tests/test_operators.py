@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossweave.operators import align, catalog, chapters, gate, ledger, links, memory
 from glossweave.operators.covers import choose
 from glossweave.operators.paragraphs import mark_repeats, number_elements
-from glossweave.plans.translate import run_stats, translate_books
+from glossweave.plans.translate import run_stats, translate_books, with_token_rate
 
 
 def test_memory_upsert(spark):
@@ -180,7 +180,11 @@ def test_translation_run(spark):
     assert learned["plain words"] == "译plain words" and "long" * 60 not in learned
     assert run.failed_books.count() == 0
     made = calls.value
-    assert run_stats(run.segments, []).first().failed == 1
+    stats = run_stats(run.segments, []).first()
+    assert stats.failed == 1 and stats.api_calls == made
+    usage = spark.createDataFrame([("b", 70, 30)], "book_id string, input_tokens long, output_tokens long")
+    rate = with_token_rate(run_stats(run.segments, ["book_id"]), usage, ["book_id"])
+    assert {r.book_id: r.avg_tokens for r in rate.collect()} == {"b": 33.3, "c": None}
     assert calls.value == made  # nothing was sent again
 
 

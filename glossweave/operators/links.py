@@ -37,6 +37,18 @@ class _Letters:
         return np.divide(2.0 * shared, total, out=np.ones(len(total)), where=total > 0)
 
 
+def _common_length(places: dict[str, int], full: int, title: str) -> int:
+    """Length of the longest common subsequence, one bit per letter of the link.
+
+    The matching blocks of a ratio are a common subsequence, so this bounds it.
+    """
+    rest = full
+    for letter in title:
+        hit = rest & places.get(letter, 0)
+        rest = ((rest + hit) | (rest - hit)) & full
+    return full.bit_count() - rest.bit_count()
+
+
 def _best_in(
     link: str, link_counts: np.ndarray, titles: list[str], letters: _Letters, floor: float,
     fuzzy: bool, ranks: list[tuple],
@@ -55,6 +67,10 @@ def _best_in(
             best, at = score, n
     if fuzzy:
         bounds = letters.bounds(link_counts, len(link))
+        places: dict[str, int] = {}
+        for n, letter in enumerate(link):
+            places[letter] = places.get(letter, 0) | 1 << n
+        full = (1 << len(link)) - 1
         for n in np.argsort(-bounds, kind="stable"):
             bound = bounds[n]
             if bound < best or bound < floor:
@@ -62,11 +78,11 @@ def _best_in(
             title = titles[n]
             if title in link or link in title:
                 continue
-            # The first argument is the link, as the ratio is not symmetric.
-            matcher = SequenceMatcher(None, link, title)
-            if matcher.quick_ratio() < max(best, floor):
+            shared = _common_length(places, full, title)
+            if 2.0 * shared / (len(link) + len(title)) < max(best, floor):
                 continue
-            score = matcher.ratio()
+            # The first argument is the link, as the ratio is not symmetric.
+            score = SequenceMatcher(None, link, title).ratio()
             if score > best or (score == best and at >= 0 and ranks[n] < ranks[at]):
                 best, at = score, int(n)
     return (best, at) if at >= 0 and best >= floor else None

@@ -95,11 +95,10 @@ def main() -> None:
         try:
             df = run(spark, args.d)
             if name in sqls:
-                found = differences(df, con, sqls[name])
+                found, n = differences(df, con, sqls[name]), 0
                 note = "; ".join(found) if found else "ok"
             else:
-                found, note = [], "rows only"
-            n = df.count()
+                found, note, n = [], "rows only", df.count()
         except Exception as e:  # noqa: BLE001
             found, note, n = ["error"], f"{type(e).__name__}: {str(e)[:1500]}", -1
         if found:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import bpe, langid, mixing, pii, secrets, simhash
+from glossweave.llm import bpe, langid, mixing, pii, quality_crf, secrets, simhash
 from glossweave.llm.common import held_out, table
 from glossweave.llm.spans import count_of, listed
 
@@ -124,3 +124,14 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN before + size / 2.0 < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM placed
 """
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality_crf.fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)))
+    found = quality_crf.score(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )

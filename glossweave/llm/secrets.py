@@ -26,7 +26,7 @@ WINDOW = 20
 #: Candidates that are no secrets: one case of letters only (words), paths and host names,
 #: identifiers of words joined by signs, runs of one sign, and well-known placeholders.
 ALLOWED = (
-    r"^[a-z_=/+-]+$|^[A-Z_=/+-]+$|^[A-Z]?[a-z]+(?:[A-Z][a-z]+)*$"
+    r"^[a-z_=/+-]+$|^[A-Z_=/+-]+$|^(?:[A-Z]*+[a-z]{2,}+)++[A-Z]*$"
     r"|^(?:[A-Za-z]+[_/=-])+[A-Za-z]*$|^(.)\1*$|(?i:example|placeholder|changeme|x{6,}|0123456789|abcdefgh)"
 )
 
@@ -52,34 +52,37 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
     which entropy is log2(window) - sum / window. Shorter strings are one window.
     """
     chars = F.filter(F.split(value, ""), lambda c: c != "")
-    size = F.least(F.lit(window), F.size(chars))
+    none = F.array_repeat(F.lit(None).cast("string"), window)
+    moves = F.arrays_zip(chars.alias("enters"), F.concat(none, chars).alias("leaves"))
 
     def weighed(count: Column) -> Column:
         return F.when(count > 0, count * F.log2(count)).otherwise(F.lit(0.0))
 
-    def moved(state: Column, char: Column, by: int) -> Column:
-        old = F.coalesce(F.element_at(state["counts"], char), F.lit(0))
-        kept = F.map_filter(state["counts"], lambda k, _: k != char)
+    def moved(counts: Column, total: Column, char: Column, by: int) -> Column:
+        old = F.coalesce(F.element_at(counts, char), F.lit(0))
+        kept = F.map_filter(counts, lambda k, _: k != char)
         return F.struct(
             F.map_concat(kept, F.create_map(char, old + by)).alias("counts"),
-            (state["total"] + weighed(old + by) - weighed(old)).alias("total"),
-            state["best"].alias("best"),
+            (total + weighed(old + by) - weighed(old)).alias("total"),
         )
 
-    def step(state: Column, i: Column) -> Column:
-        added = moved(state, F.element_at(chars, i), 1)
-        left = F.when(i > size, moved(added, F.element_at(chars, F.greatest(i - size, F.lit(1))), -1)).otherwise(added)
+    def step(state: Column, move: Column) -> Column:
+        added = moved(state["counts"], state["total"], move["enters"], 1)
+        left = F.when(
+            move["leaves"].isNotNull(), moved(added["counts"], added["total"], move["leaves"], -1)
+        ).otherwise(added)
+        size = F.least(state["size"] + 1, F.lit(window))
         bits = F.log2(size) - left["total"] / size
-        return F.struct(
-            left["counts"].alias("counts"), left["total"].alias("total"),
-            F.when(i >= size, F.greatest(left["best"], bits)).otherwise(left["best"]).alias("best"),
-        )
+        return F.when(move["enters"].isNull(), state).otherwise(F.struct(
+            left["counts"].alias("counts"), left["total"].alias("total"), size.alias("size"),
+            F.when(size == window, F.greatest(state["best"], bits)).otherwise(bits).alias("best"),
+        ))
 
     begin = F.struct(
-        F.create_map().cast("map<string,int>").alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
+        F.create_map().cast("map<string,int>").alias("counts"), F.lit(0.0).alias("total"),
+        F.lit(0).alias("size"), F.lit(0.0).alias("best"),
     )
-    places = F.sequence(F.lit(1), F.size(chars))
-    return F.aggregate(places, begin, step, lambda state: state["best"])
+    return F.aggregate(moves, begin, step, lambda state: state["best"])
 
 
 def entropy_spans(text: Column, allowed: str = ALLOWED) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import bpe, langid, mixing, pii, quality_crf, secrets, simhash
+from glossweave.llm import ann, bpe, langid, licenses, mixing, pii, pq, quality_crf, secrets, simhash
 from glossweave.llm.common import held_out, table
 from glossweave.llm.spans import count_of, listed
 
@@ -35,6 +35,13 @@ def tokens(docs: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return tokens(table(spark, folder, "documents"))
@@ -49,6 +56,31 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents under paths source/shelf/box/file, by their ids.
+
+    The table has no paths. Texts that are little more than a licence line stand for the
+    licence files of a shelf, as they do in a repository.
+    """
+    line = F.regexp_extract("text", r"(?m)^.*(?i:licen[cs]e).*$", 0)
+    is_licence = (F.length(line) > 0) & (F.length("text") - F.length(line) <= 100)
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    shelf = F.concat(F.lit("shelf"), F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("")))
+    box = F.concat(F.lit("box"), F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("")))
+    name = F.when(is_licence, F.concat(F.lit("LICENSE."), number)).otherwise(
+        F.concat(box, F.lit("/"), number, F.lit(".txt"))
+    )
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), shelf, name)
+    return docs.select("doc_id", "text", path.alias("path"))
+
+
+@query
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    files = as_files(table(spark, folder, "documents"))
+    found = licenses.licences(files).withColumn("doc_id", F.regexp_extract("path", r"([0-9]+)(?:\.txt)?$", 1).cast("long"))
+    return found.select("doc_id", "path", "licence", "cosine", "inherited_from")
+
+
 @query
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.personal_spans(table(spark, folder, "documents").select("doc_id", "text"))
@@ -59,6 +91,15 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_pq(spark: SparkSession, folder: str) -> DataFrame:
+    found = pq.near_duplicates(table(spark, folder, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept")
+    )
+
+
 @query
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.secret_spans(table(spark, folder, "documents").select("doc_id", "text"))

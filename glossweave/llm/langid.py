@@ -14,7 +14,7 @@ WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 #: Words scored side by side, and words a worker remembers.
 CHUNK = 4096
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: What a piece never seen in a language counts as, in expected uses.
 FLOOR = 0.05
 
@@ -31,30 +31,53 @@ def read_pieces(path: str) -> list[str]:
 class Lattice:
     """All ways to cut words into pieces of a fixed vocabulary.
 
-    A character that is no piece can stand alone as the unknown piece, number V.
+    A character that is no piece can stand alone as the unknown piece, number V. Pieces are
+    found by 64-bit rolling hashes of all substrings of many words at a time.
     """
 
+    BASE, MIX, SLOTS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 18
+
     def __init__(self, pieces: list[str]):
-        self.number = {p: n for n, p in enumerate(pieces)}
         self.unknown = len(pieces)
         self.longest = max(map(len, pieces), default=1)
+        self.sizes = np.array([*map(len, pieces), 1])
+        marks = np.zeros(len(pieces), np.uint64)
+        with np.errstate(over="ignore"):
+            for n, piece in enumerate(pieces):
+                for c in piece:
+                    marks[n] = marks[n] * self.BASE + np.uint64(ord(c))
+        # Pieces whose slot is taken go to a further table.
+        self.tables, left = [], np.arange(len(pieces))
+        while len(left):
+            slot = self._slot(marks[left], len(self.tables))
+            _, first = np.unique(slot, return_index=True)
+            number, mark = np.full(1 << self.SLOTS, -1, np.int32), np.zeros(1 << self.SLOTS, np.uint64)
+            number[slot[first]], mark[slot[first]] = left[first], marks[left[first]]
+            self.tables.append((number, mark))
+            left = np.delete(left, first)
+
+    def _slot(self, marks: np.ndarray, level: int) -> np.ndarray:
+        return ((marks ^ (marks >> np.uint64(29 + level))) * self.MIX) >> np.uint64(64 - self.SLOTS)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths of the marked words and [word, end, size - 1] -> piece number, or -1."""
         marked = ["▁" + w for w in words]
         sizes = np.array([len(w) for w in marked])
-        reach = min(self.longest, int(sizes.max()))
-        table = np.full((len(marked), int(sizes.max()) + 1, reach), -1, np.int32)
-        number, unknown = self.number, self.unknown
-        for n, word in enumerate(marked):
-            row = table[n]
-            for end in range(1, len(word) + 1):
-                for size in range(1, min(reach, end) + 1):
-                    piece = number.get(word[end - size : end])
-                    if piece is not None:
-                        row[end, size - 1] = piece
-                if row[end, 0] < 0:
-                    row[end, 0] = unknown
+        wide, reach = int(sizes.max()), min(self.longest, int(sizes.max()))
+        codes = np.zeros((len(marked), wide), np.uint64)
+        inside = np.arange(wide) < sizes[:, None]
+        codes[inside] = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        table = np.full((len(marked), wide + 1, reach), -1, np.int32)
+        rolled = np.zeros((len(marked), wide + 1), np.uint64)
+        for size in range(1, reach + 1):
+            rolled = rolled[:, :-1] * self.BASE + codes[:, size - 1 :]
+            found = table[:, size:, size - 1]
+            for level, (number, mark) in enumerate(self.tables):
+                slot = self._slot(rolled, level)
+                found[:] = np.where(mark[slot] == rolled, number[slot], found)
+            found[~inside[:, size - 1 :]] = -1
+        alone = table[:, 1:, 0]
+        alone[(alone < 0) & inside] = self.unknown
         return sizes, table
 
 
@@ -90,12 +113,30 @@ def _chunks(words: list[str]):
 
 
 def word_scores(lattice: Lattice, logp: np.ndarray, words: list[str]) -> np.ndarray:
-    """Log probability of each word in each language."""
+    """Log probability of each word in each language.
+
+    Sums are of plain probabilities, raised by a factor per character so that they keep their
+    size; where a long word still leaves the range of doubles, logarithms are summed.
+    """
     out = np.empty((len(words), logp.shape[1]))
+    per_char = np.log(16.0)
+    raised = np.vstack([np.exp(logp + per_char * lattice.sizes[:, None]), np.zeros((1, logp.shape[1]))])
     for part in _chunks(words):
         sizes, table = lattice.edges([words[n] for n in part])
-        alpha = forward(table, logp)
-        out[part] = alpha[np.arange(len(part)), sizes]
+        rows, ends, reach = table.shape
+        alpha = np.zeros((rows, ends, logp.shape[1]))
+        alpha[:, 0] = 1
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            for end in range(1, ends):
+                k = min(reach, end)
+                alpha[:, end] = np.einsum(
+                    "nkl,nkl->nl", alpha[:, end - k : end][:, ::-1], raised[table[:, end, :k]]
+                )
+            found = np.log(alpha[np.arange(rows), sizes]) - per_char * sizes[:, None]
+        lost = np.flatnonzero(~np.isfinite(found).all(axis=1))
+        if len(lost):
+            found[lost] = forward(table[lost], logp)[np.arange(len(lost)), sizes[lost]]
+        out[part] = found
     return out
 
 
@@ -194,8 +235,39 @@ def _improved(counts: DataFrame, pieces: list[str], place: dict[str, int], logp:
     return np.log(uses / uses.sum(axis=0))
 
 
-#: Scores of words that this worker has seen, by model.
-_SEEN: dict[object, tuple[dict, list]] = {}
+class Memory:
+    """Scores of the words that a worker has seen; emptied when full."""
+
+    def __init__(self, model: tuple):
+        self.langs, self.logp, self.prior = model[1:]
+        self.lattice = Lattice(model[0])
+        self.forget(1)
+
+    def forget(self, room: int) -> None:
+        self.place: dict[str, int] = {}
+        self.values = np.empty((max(room, 1 << 12), self.logp.shape[1]))
+
+    def totals(self, words: list[list[str]]) -> np.ndarray:
+        """Per list of words (none empty) the sum of their scores."""
+        flat = [w for ws in words for w in ws]
+        place = self.place
+        new = list({w for w in flat if w not in place})
+        if len(place) + len(new) > REMEMBERED:
+            self.forget(len(set(flat)))
+            place, new = self.place, list(set(flat))
+        if new:
+            begin, end = len(place), len(place) + len(new)
+            if end > len(self.values):
+                self.values = np.vstack([self.values, np.empty((end, self.values.shape[1]))])
+            self.values[begin:end] = word_scores(self.lattice, self.logp, new)
+            place.update(zip(new, range(begin, end), strict=True))
+        rows = self.values[np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))]
+        begins = np.cumsum([0, *map(len, words[:-1])])
+        return np.add.reduceat(rows, begins, axis=0)
+
+
+#: This worker's memory, by the model it was sent.
+_SEEN: dict[int, tuple[object, Memory]] = {}
 
 
 def classify(
@@ -216,29 +288,24 @@ def classify(
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), f"`{lang_name}` string", f"`{score_name}` double"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces, langs, logp, prior = sent.value
-        if id(logp) not in _SEEN:
+        model = sent.value
+        if id(model) not in _SEEN:
             _SEEN.clear()
-            _SEEN[id(logp)] = ({}, Lattice(pieces))
-        seen, lattice = _SEEN[id(logp)]
+            _SEEN[id(model)] = (model, Memory(model))
+        memory = _SEEN[id(model)][1]
         found, score = [], []
         for texts in _stretches(batch.column(batch.schema.get_field_index(given))):
             words = [WORD.findall(t.lower()) for t in texts]
-            new = list({w for ws in words for w in ws if w not in seen}) if langs else []
-            values = dict(zip(new, word_scores(lattice, logp, new), strict=True)) if new else {}
-            for ws in words:
-                if not ws or not langs:
-                    found.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                parts = [values[w] if w in values else seen[w] for w in ws]
-                total = prior + np.sum(parts, axis=0)
-                best = int(total.argmax())
-                found.append(langs[best])
-                score.append(float(1 / np.exp(total - total[best]).sum()))
-            if len(seen) + len(values) > REMEMBERED:
-                seen.clear()
-            seen.update(values)
+            known = [n for n, ws in enumerate(words) if ws and memory.langs]
+            names, chance = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            if known:
+                total = memory.prior + memory.totals([words[n] for n in known])
+                best = total.argmax(axis=1)
+                sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                for n, b, p in zip(known, best.tolist(), sure.tolist(), strict=True):
+                    names[n], chance[n] = memory.langs[b], p
+            found += names
+            score += chance
         columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
         made = [pa.array(found, pa.string()), pa.array(score, pa.float64())]
         return pa.RecordBatch.from_arrays([*columns, *made], [*kept, lang_name, score_name])

@@ -97,10 +97,21 @@ def disclosing_terms(
     near = docs.where(F.size("spans") > 0).select(key, "text", F.explode("spans").alias("span"))
     terms = F.explode(_near_terms(F.col("text"), F.col("span"), reach)).alias("term")
     pairs = cut(near.select(F.xxhash64("span.value").alias("entity"), "text_key", terms).distinct())
+    texts = docs.select(F.xxhash64("text")).distinct().count()
+    by_text = pairs.select("entity", "text_key").distinct()
+    entities = by_text.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    beside = pairs.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("least_with"))
+    information = -F.log(F.col("with_entity") / texts)
+
+    def mutual(with_term: str) -> Column:
+        return F.log(F.col("together") * texts / (F.col("with_entity") * F.col(with_term)))
+
+    # A term is in at least as many texts as have it beside an entity, which already rules out
+    # the common words before words are counted over all texts.
     joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("together"))
-    joint = written(joint.where(F.col("together") >= support))
-    entities = pairs.select("entity", "text_key").distinct().groupBy("entity").agg(
-        F.count("*").alias("with_entity")
+    joint = written(
+        joint.where(F.col("together") >= support).join(entities, "entity").join(beside, "term")
+        .where((information > 0) & (mutual("least_with") >= generalise_at * information))
     )
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     in_all = (
@@ -108,15 +119,9 @@ def disclosing_terms(
         .join(joint.select("term").distinct(), "term", "left_semi")
         .groupBy("term").agg(F.count_distinct("text_key").alias("with_term"))
     )
-    total = docs.agg(F.count_distinct(F.xxhash64("text")).alias("texts"))
-    information = -F.log(F.col("with_entity") / F.col("texts"))
-    mutual = F.log(
-        F.col("together") * F.col("texts") / (F.col("with_entity") * F.col("with_term"))
-    )
     found = (
-        joint.join(entities, "entity").join(in_all, "term").crossJoin(F.broadcast(total))
-        .where((information > 0) & (mutual >= generalise_at * information))
-        .select("entity", "term", (mutual >= remove_at * information).alias("removed"))
+        joint.join(in_all, "term").where(mutual("with_term") >= generalise_at * information)
+        .select("entity", "term", (mutual("with_term") >= remove_at * information).alias("removed"))
     )
     return pairs.join(found, ["entity", "term"]).groupBy("text_key", "term").agg(
         F.max("removed").alias("removed")

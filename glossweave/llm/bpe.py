@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from glossweave.llm.common import fresh, over_batches
 
 #: Pieces whose ids a worker remembers in each of two generations, and states it keeps.
-REMEMBERED = 1 << 19
-STATES = 1 << 18
+REMEMBERED = 1 << 18
+STATES = 1 << 17
+MADE_AT = 4
 #: Texts longer than this are matched piece by piece instead of into one list.
 LONG_TEXT = 1 << 20
 
@@ -61,9 +63,9 @@ class Transducer:
     one more token behind the encoding of a shorter prefix, and which one follows from
     neighbours alone. A prefix matters only while the bytes after it may still grow into a
     token; what all of these prefixes share is emitted. A state is what is left: its last
-    certain token and the bytes since. An arc and its state are made the second time they are
-    asked for; the first time, the rest of the piece is only simulated, so that what occurs
-    once (most of the pieces of a large corpus) leaves no state behind.
+    certain token and the bytes since. An arc and its state are made when they are asked for
+    the MADE_AT-th time; before, the rest of the piece is only simulated, so that what is rare
+    (most of the different pieces of a large corpus) leaves no state behind.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -190,10 +192,10 @@ class Transducer:
         out: list[int] = []
         state = self.begin
         for at, byte in enumerate(piece):
-            arc = state.arcs.get(byte)
-            if arc is None:
-                if byte not in state.arcs:
-                    state.arcs[byte] = None
+            arc = state.arcs.get(byte, 1)
+            if arc.__class__ is int:
+                if arc < MADE_AT:
+                    state.arcs[byte] = arc + 1
                     return out + self._simulated(state, piece[at:])
                 arc = state.arcs[byte] = self._arc(state, byte)
             if arc[0]:
@@ -230,6 +232,8 @@ class Encoder:
     """Splits texts by a pattern and encodes each match; repeated pieces are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        # States are many small objects that stay; looking for cycles among them often is wasted.
+        gc.set_threshold(200_000, 20, 100)
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
@@ -253,8 +257,8 @@ class Encoder:
         return b"".join(iter(lambda: self._joined(islice(matches, 1 << 16)), b""))
 
     def _joined(self, pieces: Iterable[str]) -> bytes:
-        packed = self._packed
-        return b"".join([self.known.get(p) or packed(p) for p in pieces])
+        known, packed = self.known.get, self._packed
+        return b"".join([known(p) or packed(p) for p in pieces])
 
 
 #: Well-formed UTF-8: first byte's range, then the range of the second byte and how many follow.

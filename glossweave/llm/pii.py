@@ -94,26 +94,28 @@ def disclosing_terms(
     texts, and no group is gathered.
     """
     key = F.xxhash64("text").alias("text_key")
-    near = docs.where(F.size("spans") > 0).select(key, "text", F.explode("spans").alias("span"))
+    held = cut(docs.where(F.size("spans") > 0).select(key, "text", "spans"))
+    near = held.select("text_key", "text", F.explode("spans").alias("span"))
     terms = F.explode(_near_terms(F.col("text"), F.col("span"), reach)).alias("term")
     pairs = cut(near.select(F.xxhash64("span.value").alias("entity"), "text_key", terms).distinct())
     texts = docs.select(F.xxhash64("text")).distinct().count()
     by_text = pairs.select("entity", "text_key").distinct()
     entities = by_text.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    beside = pairs.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("least_with"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    in_held = held.select("text_key", F.explode(words).alias("term")).distinct()
+    in_held = in_held.groupBy("term").agg(F.count("*").alias("least_with"))
     information = -F.log(F.col("with_entity") / texts)
 
     def mutual(with_term: str) -> Column:
         return F.log(F.col("together") * texts / (F.col("with_entity") * F.col(with_term)))
 
-    # A term is in at least as many texts as have it beside an entity, which already rules out
-    # the common words before words are counted over all texts.
+    # A term is in at least as many texts as have both it and an entity, which already rules
+    # out the common words before words are counted over all texts.
     joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("together"))
     joint = written(
-        joint.where(F.col("together") >= support).join(entities, "entity").join(beside, "term")
+        joint.where(F.col("together") >= support).join(entities, "entity").join(in_held, "term")
         .where((information > 0) & (mutual("least_with") >= generalise_at * information))
     )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     in_all = (
         docs.select(key, F.explode(words).alias("term"))
         .join(joint.select("term").distinct(), "term", "left_semi")

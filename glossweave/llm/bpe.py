@@ -94,7 +94,7 @@ class Transducer:
     def _fit(self, left: bytes | None, right: bytes) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= STATES * 8:
+            if len(self.fits) >= STATES:
                 self.fits.clear()
             known = self.fits[left, right] = self._stays(left, right)
         return known

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: Rows handled at a time in a task.
+STRETCH = 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,14 +78,14 @@ def written(df: DataFrame) -> DataFrame:
 def over_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
-    """Apply `work` to each Arrow batch of `df`; one batch is in memory at a time."""
+    """Apply `work` to stretches of the Arrow batches of `df`; one is in memory at a time."""
 
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            for begin in range(0, batch.num_rows, STRETCH):
+                yield work(batch.slice(begin, STRETCH))
 
     return df.mapInArrow(run, schema)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import gc
 import struct
-from collections.abc import Callable, Iterable, Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -14,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import fresh, over_batches
+from glossweave.llm.common import fresh, kept, over_batches
 
 #: Pieces whose ids a worker remembers in each of two generations, and states it keeps.
 REMEMBERED = 1 << 18
@@ -336,16 +337,6 @@ class Decoder:
         yield machine.finish()
 
 
-#: Encoders and decoders of this worker, by what they were made from.
-_MADE: dict[tuple, object] = {}
-
-
-def _made(key: tuple, make: Callable[[], object]):
-    if key not in _MADE:
-        _MADE[key] = make()
-    return _MADE[key]
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
     """`docs` with the columns ids (binary, little-endian unsigned 32-bit) and n_tokens.
 
@@ -359,7 +350,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
 def _encoder(pattern: str):
     def work(ranks, key, texts):
-        encoder = _made(("encoder", pattern, key), lambda: Encoder(ranks(), pattern))
+        encoder = kept("encoder", (pattern, key), lambda: Encoder(ranks(), pattern))
         packed = [encoder.encode(t or "") for t in texts]
         return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
 
@@ -370,28 +361,28 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> Da
     """`docs` with the column decoded: the text of the ids (null ids: empty)."""
 
     def work(ranks, key, packed):
-        decoder = _made(("decoder", key), lambda: Decoder(ranks()))
+        decoder = kept("decoder", key, lambda: Decoder(ranks()))
         return [pa.array(["".join(decoder.pieces(p or b"")) for p in packed], pa.string())]
 
     return _mapped(docs, ranks, ids_col, {"decoded": "string"}, work)
 
 
 def _mapped(docs: DataFrame, ranks: dict[bytes, int], column: str, adds: dict[str, str], work) -> DataFrame:
-    kept = [c for c in docs.columns if c not in adds or c == column]
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(ranks)
+    names = [c for c in docs.columns if c not in adds or c == column]
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    vocabulary = (len(ranks), zlib.crc32(b"\n".join(ranks)), sum(ranks.values()))
     given = fresh(docs, "given")[0]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias(given))
-    kept = [c for c in kept if c not in adds]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{column}`").alias(given))
+    names = [c for c in names if c not in adds]
     schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept]
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names]
         + [f"{n} {t}" for n, t in adds.items()]
     )
 
     def batch_work(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = batch.column(batch.schema.get_field_index(given)).to_pylist()
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-        made = work(lambda: sent.value, sent.id if hasattr(sent, "id") else id(sent), values)
-        return pa.RecordBatch.from_arrays([*columns, *made], [*kept, *adds])
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+        made = work(lambda: sent.value, vocabulary, values)
+        return pa.RecordBatch.from_arrays([*columns, *made], [*names, *adds])
 
-    return over_batches(rows, batch_work, schema)
+    return over_batches(rows, batch_work, schema, ("encoder", "decoder"))

@@ -75,14 +75,39 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: What this worker process keeps between tasks: kind -> (key, object).
+_KEPT: dict[str, tuple[object, object]] = {}
+
+
+def kept(kind: str, key: object, make: Callable[[], object]) -> object:
+    """The worker's one object of a kind; made anew when `key` is another one."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT.pop(kind, None)
+        _KEPT[kind] = (key, make())
+    return _KEPT[kind][1]
+
+
+def drop_kept(*but: str) -> None:
+    """Free what a worker process, which outlives its tasks, keeps for other operators."""
+    for kind in set(_KEPT) - set(but):
+        del _KEPT[kind]
+
+
 def over_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    df: DataFrame,
+    work: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str,
+    keeps: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Apply `work` to stretches of the Arrow batches of `df`; one is in memory at a time."""
+    """Apply `work` to stretches of the Arrow batches of `df`; one is in memory at a time.
+
+    `keeps` names the kinds of objects that `work` asks of kept().
+    """
 
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(*keeps)
         for batch in batches:
             for begin in range(0, batch.num_rows, STRETCH):
                 yield work(batch.slice(begin, STRETCH))

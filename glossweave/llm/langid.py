@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import cut, fresh, over_batches, ship
+from glossweave.llm.common import cut, fresh, kept, over_batches, ship
 
 WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 #: Words scored side by side, and words a worker remembers.
 CHUNK = 4096
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: What a piece never seen in a language counts as, in expected uses.
 FLOOR = 0.05
 
@@ -266,10 +268,6 @@ class Memory:
         return np.add.reduceat(rows, begins, axis=0)
 
 
-#: This worker's memory, by the model it was sent.
-_SEEN: dict[int, tuple[object, Memory]] = {}
-
-
 def classify(
     docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score"
 ) -> DataFrame:
@@ -281,36 +279,33 @@ def classify(
     Whole texts are read; rows need no shuffle; columns of these names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.pieces, model.langs, model.logp, model.prior))
+    mark = (len(model.pieces), tuple(model.langs), zlib.crc32(model.logp.tobytes()))
     (given,) = fresh(docs, "given")
-    kept = [c for c in docs.columns if c not in (lang_name, score_name)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias(given))
+    names = [c for c in docs.columns if c not in (lang_name, score_name)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias(given))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), f"`{lang_name}` string", f"`{score_name}` double"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), f"`{lang_name}` string", f"`{score_name}` double"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = sent.value
-        if id(model) not in _SEEN:
-            _SEEN.clear()
-            _SEEN[id(model)] = (model, Memory(model))
-        memory = _SEEN[id(model)][1]
+        memory = kept("languages", mark, lambda: Memory(sent.value))
         found, score = [], []
         for texts in _stretches(batch.column(batch.schema.get_field_index(given))):
             words = [WORD.findall(t.lower()) for t in texts]
             known = [n for n, ws in enumerate(words) if ws and memory.langs]
-            names, chance = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            labels, chance = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if known:
                 total = memory.prior + memory.totals([words[n] for n in known])
                 best = total.argmax(axis=1)
                 sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 for n, b, p in zip(known, best.tolist(), sure.tolist(), strict=True):
-                    names[n], chance[n] = memory.langs[b], p
-            found += names
+                    labels[n], chance[n] = memory.langs[b], p
+            found += labels
             score += chance
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
         made = [pa.array(found, pa.string()), pa.array(score, pa.float64())]
-        return pa.RecordBatch.from_arrays([*columns, *made], [*kept, lang_name, score_name])
+        return pa.RecordBatch.from_arrays([*columns, *made], [*names, lang_name, score_name])
 
-    return over_batches(rows, work, schema)
+    return over_batches(rows, work, schema, ("languages",))
 
 
 def _stretches(column: pa.Array, most: int = 1 << 22):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import ship
+from glossweave.llm.common import drop_kept, ship
 
 #: Groups up to this size are compared all at once by shifting; larger ones row by row.
 SMALL = 24
@@ -69,6 +69,7 @@ def spanning_links(
             yield _arrays(rest), np.array([0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for columns, begins in groups(batches):
             found = list(_links(columns, begins, near))
             a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1)) if found else ([], [])

@@ -346,7 +346,7 @@ def glossary_hits(memory: DataFrame, terms: DataFrame) -> DataFrame:
     return (
         memory.select("book_id", "pos", term.alias("term"), said.alias("said"))
         .where(F.length("said") > 0)
-        .join(F.broadcast(terms), "term")
+        .join(terms, "term")
         .select(
             "book_id", "pos", "term", "said", "expected",
             (F.contains(F.col("said"), expected) | F.contains(expected, F.col("said"))).alias(

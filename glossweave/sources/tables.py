@@ -7,21 +7,6 @@ from pyspark.sql import functions as F
 
 from glossweave import schemas
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small table over all cores by its key.
-
-    A table below one split per core (a single file or row group, say) would be worked on
-    by few tasks. Larger tables are returned as they are: their files already make enough
-    tasks, and a shuffle of the texts would only cost.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
-
 
 def read_link_sheet(spark: SparkSession, path: str) -> DataFrame:
     """Share links from CSV files with a header row; columns are taken by place.

@@ -29,7 +29,7 @@ def _memory_json(v: Views) -> DataFrame:
     ts = F.lit(1700000000.0) + ((F.col("book_id") * 7 + F.col("pos")) % 60) * F.lit(86400.0)
     entry = F.struct(
         F.col("original").alias("source"),
-        F.when(F.length("translated") < 250, "").otherwise(F.col("translated")).alias("translated"),
+        F.when((F.col("book_id") * 7 + F.col("pos")) % 5 == 0, "").otherwise(F.col("translated")).alias("translated"),
         ts.alias("timestamp"),
     )
     file = F.to_json(F.struct(F.create_map(F.md5("original"), entry).alias("cache")))
@@ -37,7 +37,7 @@ def _memory_json(v: Views) -> DataFrame:
 
 
 _ENTRIES = f"""e AS (SELECT md5(original) AS source_hash, original AS source_text,
-    CASE WHEN length(translated) < 250 THEN '' ELSE translated END AS translated_text, {_TS} AS ts
+    CASE WHEN (book_id * 7 + pos) % 5 = 0 THEN '' ELSE translated END AS translated_text, {_TS} AS ts
     FROM segments)"""
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from glossweave.functions import markdown, names, text
 from glossweave.functions import patterns as P
-from glossweave.functions.similarity import similarity as similarity_of
 from glossweave.operators import gate as gates
 from glossweave.operators import replies
 from glossweave.workload.registry import query
@@ -229,15 +228,6 @@ def toc_body(v: Views) -> DataFrame:
     )
 
 
-@query("similarity")
-def similarity(v: Views) -> DataFrame:
-    """Each answer against its question: fuzzy for nearly all rows."""
-    return v.segments.select(
-        "book_id", "pos",
-        F.round(similarity_of(F.col("original"), F.left("translated", F.lit(400))), 6).alias("score"),
-    )
-
-
 # ---- markdown -------------------------------------------------------------------------
 
 _MD_LINES = r"""
@@ -319,8 +309,8 @@ def md_blocks(v: Views) -> DataFrame:
 
 _GATE_ROWS = f"""
     WITH g AS (SELECT book_id, pos, original, {s_tier('original')} AS tier,
-        CASE WHEN length(translated) < 250 THEN ' ' WHEN pos % 4 = 2 THEN substr(translated, 1, 20)
-            WHEN book_id % 3 = 0 THEN substr(translated, 1, 100) || '=== [段落'
+        CASE WHEN (book_id * 7 + pos) % 5 = 0 THEN ' ' WHEN pos % 4 = 2 THEN 'short'
+            WHEN book_id % 3 = 0 THEN translated || '=== [段落'
             ELSE translated || translated END AS translated FROM segments),
     r AS (SELECT *, length(original) AS n, length(translated) AS m,
         {s_strip('translated')} = '' AS blank, length(translated) / length(original) AS ratio FROM g),
@@ -344,8 +334,8 @@ def gate_rows(v: Views) -> DataFrame:
     t = F.col("translated")
     return v.segments.select(
         "book_id", "pos", "original", text.tier(F.col("original")).alias("tier"),
-        F.when(F.length(t) < 250, " ").when(F.col("pos") % 4 == 2, F.left(t, F.lit(20)))
-        .when(F.col("book_id") % 3 == 0, F.concat(F.left(t, F.lit(100)), F.lit("=== [段落")))
+        F.when((F.col("book_id") * 7 + F.col("pos")) % 5 == 0, " ").when(F.col("pos") % 4 == 2, F.lit("short"))
+        .when(F.col("book_id") % 3 == 0, F.concat(t, F.lit("=== [段落")))
         .otherwise(F.concat(t, t)).alias("translated"),
     )
 
@@ -360,12 +350,12 @@ def segment_gate(v: Views) -> DataFrame:
 @query(
     "all_empty_books",
     f"""SELECT book_id, count(*) AS n_fresh FROM segments GROUP BY book_id
-        HAVING bool_and(length(translated) < 600)""",
+        HAVING bool_and(book_id % 3 = 0)""",
 )
 def all_empty_books(v: Views) -> DataFrame:
     fresh = v.segments.select(
         "book_id", F.lit(False).alias("is_duplicate"),
-        F.when(F.length("translated") < 600, " \n").otherwise(F.col("translated")).alias("translated"),
+        F.when(F.col("book_id") % 3 == 0, " \n").otherwise(F.col("translated")).alias("translated"),
     )
     return gates.all_empty_books(fresh)
 

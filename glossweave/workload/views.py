@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from glossweave.functions import patterns as P
 from glossweave.operators.paragraphs import document_paragraphs
 from glossweave.sources.pages import content_items, with_elements
-from glossweave.sources.tables import spread
 
 LETTERS = "etaoinshrdlu "
 SIGNS = "的一是不了人我在有他这中大"
@@ -119,14 +118,14 @@ SQL_VIEWS: dict[str, str] = {
         FROM events""",
     "content_items": r"""
         SELECT page_id, regexp_replace(url, '[/\\]', '_', 'g') AS item_id, html FROM pages""",
-    # What a book's translation memory holds: long answers are missing, short ones blank,
+    # What a book's translation memory holds: each sixth answer is missing, each fifth blank,
     # every second book is in the target script; each book adds two glossary entries.
     "memory": f"""
         SELECT book_id, pos, original,
-            CASE WHEN length(translated) < 250 THEN '  '
+            CASE WHEN (book_id * 7 + pos) % 5 = 0 THEN '  '
                 WHEN book_id % 2 = 0 THEN {s_stand_in('translated')}
                 ELSE translated END AS translated
-        FROM segments WHERE length(translated) <= 1500
+        FROM segments WHERE (book_id * 7 + pos) % 6 <> 5
         UNION ALL
         SELECT book_id, pos + 100000,
             CASE book_id % 4 WHEN 0 THEN 'API ' WHEN 1 THEN 'Database' WHEN 2 THEN 'Server'
@@ -144,7 +143,7 @@ SQL_VIEWS: dict[str, str] = {
         FROM segments""",
     "targets": f"""
         SELECT book_id, pos,
-            CASE WHEN length(translated) < 250 THEN '  '
+            CASE WHEN (book_id * 7 + pos) % 5 = 0 THEN '  '
                 WHEN book_id % 3 = 0 THEN '  1. ' || {s_stand_in('translated')} || ' 15 inches $'
                 WHEN book_id % 3 = 1 THEN {s_stand_in('translated')} || ' 12/05/2024, http '
                 ELSE translated END AS translated
@@ -247,11 +246,11 @@ class Views:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     @cached_property
     def pages(self) -> DataFrame:
-        return spread(self.table("pages"), "page_id")
+        return self.table("pages")
 
     @cached_property
     def books(self) -> DataFrame:
@@ -349,7 +348,7 @@ class Views:
 
     @cached_property
     def memory(self) -> DataFrame:
-        book, pos, n = F.col("book_id"), F.col("pos"), F.length("translated")
+        book, pos = F.col("book_id"), F.col("pos")
         quarter, third = book % 4, book % 3
 
         def entry(at: Column, original: Column, translated: Column) -> Column:
@@ -359,7 +358,7 @@ class Views:
 
         held = entry(
             pos, F.col("original"),
-            F.when(n < 250, "  ").when(book % 2 == 0, stand_in(F.col("translated")))
+            F.when((book * 7 + pos) % 5 == 0, "  ").when(book % 2 == 0, stand_in(F.col("translated")))
             .otherwise(F.col("translated")),
         )
         first = entry(
@@ -374,7 +373,7 @@ class Views:
             .when(quarter == 2, " server").otherwise("Widget"),
             F.lit("模块"),
         )
-        entries = F.array_compact(F.array(F.when(n <= 1500, held), first, second))
+        entries = F.array_compact(F.array(F.when((book * 7 + pos) % 6 != 5, held), first, second))
         return self.segments.select("book_id", F.explode(entries).alias("e")).select(
             "book_id", "e.*"
         )
@@ -391,7 +390,7 @@ class Views:
         third, made = F.col("book_id") % 3, stand_in(F.col("translated"))
         return self.segments.select(
             "book_id", "pos",
-            F.when(F.length("translated") < 250, "  ")
+            F.when((F.col("book_id") * 7 + F.col("pos")) % 5 == 0, "  ")
             .when(third == 0, F.concat(F.lit("  1. "), made, F.lit(" 15 inches $")))
             .when(third == 1, F.concat(made, F.lit(" 12/05/2024, http ")))
             .otherwise(F.col("translated")).alias("translated"),

@@ -16,7 +16,7 @@ WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 #: Words scored side by side, and words a worker remembers.
 CHUNK = 4096
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: What a piece never seen in a language counts as, in expected uses.
 FLOOR = 0.05
 
@@ -308,7 +308,7 @@ def classify(
     return over_batches(rows, work, schema, ("languages",))
 
 
-def _stretches(column: pa.Array, most: int = 1 << 22):
+def _stretches(column: pa.Array, most: int = 1 << 20):
     """The texts of a column in lists of about `most` characters."""
     part, size = [], 0
     for value in column:

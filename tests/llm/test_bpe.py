@@ -4,6 +4,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from glossweave.llm import bpe
 from glossweave.llm.queries import QUERIES, RANKS
@@ -62,6 +63,12 @@ def test_any_vocabulary():
             assert machine.encode(piece) == want and machine.encode(piece) == want
 
 
+def test_decode_is_the_way_back(make_docs, ranks):
+    docs = make_docs([None, "", "naïve 😀 text", "a a"]).withColumn("decoded", F.lit(1))
+    made = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    assert {r.decoded for r in made.collect()} == {"", "naïve 😀 text", "a a"}
+
+
 def test_streaming_decode(ranks):
     text = "naïve 😀 文字 \U0010ffff é"
     decoder = bpe.Decoder(ranks)

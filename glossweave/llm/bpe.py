@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from glossweave.llm.common import fresh, kept, over_batches
 
 #: Pieces whose ids a worker remembers in each of two generations, and states it keeps.
-REMEMBERED = 3 << 16
-STATES = 1 << 17
+REMEMBERED = 1 << 17
+STATES = 3 << 15
 MADE_AT = 4
 #: Texts longer than this are matched piece by piece instead of into one list.
 LONG_TEXT = 1 << 20

@@ -338,7 +338,8 @@ class Decoder:
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", decoded: bool = False
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", decoded: bool = False,
+    keep_text: bool = True,
 ) -> DataFrame:
     """`docs` with the columns ids (binary, little-endian unsigned 32-bit) and n_tokens.
 
@@ -347,11 +348,11 @@ def encode(
 
     Each match of `pattern` in a whole text is encoded separately, without special tokens; a
     match that is itself a token stays whole. Null and empty texts give no ids. All other
-    columns are kept; a column that is called ids or n_tokens is replaced. The vocabulary is
-    broadcast (its size does not depend on the data); rows need no shuffle.
+    columns are kept (the text itself only with `keep_text`); a column that is called ids or
+    n_tokens is replaced. The vocabulary is broadcast (its size does not depend on the data); rows need no shuffle.
     """
     adds = {"ids": "binary", "n_tokens": "long"} | ({"decoded": "string"} if decoded else {})
-    return _mapped(docs, ranks, text_col, adds, _encoder(pattern, decoded))
+    return _mapped(docs, ranks, text_col, adds, _encoder(pattern, decoded), () if keep_text else (text_col,))
 
 
 def _encoder(pattern: str, decoded: bool):
@@ -375,13 +376,16 @@ def _decoded(ranks, key, packed) -> list[pa.Array]:
     return [pa.array(["".join(decoder.pieces(p or b"")) for p in packed], pa.string())]
 
 
-def _mapped(docs: DataFrame, ranks: dict[bytes, int], column: str, adds: dict[str, str], work) -> DataFrame:
-    names = [c for c in docs.columns if c not in adds or c == column]
+def _mapped(
+    docs: DataFrame, ranks: dict[bytes, int], column: str, adds: dict[str, str], work, drops: tuple[str, ...] = ()
+) -> DataFrame:
+    names = [c for c in docs.columns if c not in adds and c not in drops]
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     vocabulary = (len(ranks), zlib.crc32(b"\n".join(ranks)), sum(ranks.values()))
-    given = fresh(docs, "given")[0]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{column}`").alias(given))
-    names = [c for c in names if c not in adds]
+    # Whole texts are large: one that is kept anyway is sent once.
+    given = column if column in names else fresh(docs, "given")[0]
+    read = [] if given == column else [F.col(f"`{column}`").alias(given)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], *read)
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names]
         + [f"{n} {t}" for n, t in adds.items()]

@@ -27,7 +27,7 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 def tokens(docs: DataFrame) -> DataFrame:
     """Encoded and decoded texts as digests, one row per document."""
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
-    made = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded=True)
+    made = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded=True, keep_text=False)
     return made.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),

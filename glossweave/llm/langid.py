@@ -280,10 +280,13 @@ def classify(
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.pieces, model.langs, model.logp, model.prior))
     mark = (len(model.pieces), tuple(model.langs), zlib.crc32(model.logp.tobytes()))
-    (given,) = fresh(docs, "given")
     names = [c for c in docs.columns if c not in (lang_name, score_name)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias(given))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    # Whole texts are large: one that is kept anyway is sent once.
+    sent_once = text_col in names and types[text_col] == "string"
+    given = text_col if sent_once else fresh(docs, "given")[0]
+    read = [] if sent_once else [F.col(f"`{text_col}`").cast("string").alias(given)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], *read)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), f"`{lang_name}` string", f"`{score_name}` double"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -7,6 +7,7 @@ the array, inside the row, without a shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -40,7 +41,7 @@ _TITLES = {*P.HEADING_TAGS, "title"}
 
 
 class _Node:
-    __slots__ = ("tag", "classes", "elem_id", "pos", "has_block", "pieces", "bare", "raw")
+    __slots__ = ("tag", "classes", "elem_id", "pos", "has_block", "texts", "raws", "hidden", "bare")
 
     def __init__(self, tag: str, attrs: dict, pos: int):
         self.tag = tag
@@ -48,43 +49,53 @@ class _Node:
         self.elem_id = attrs.get("id") or ""
         self.pos = pos
         self.has_block = False
-        self.pieces: list[str] = []
+        # Where the element begins and ends in the page's lists of texts.
+        self.texts: list[int | None] = [0, None]
+        self.raws: list[int | None] = [0, None]
+        self.hidden: list[str] | None = None
         self.bare: list[str] = []
-        self.raw: list[str] | None = [] if tag in _TITLES else None
 
 
 class _PageReader(HTMLParser):
-    """Collects elements with their text; end tags that pages leave out are implied."""
+    """Collects elements with their text; end tags that pages leave out are implied.
+
+    A text is kept once for the page and an element has the range of its texts, so open
+    elements cost nothing per text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[_Node] = []
+        self.open_tags: Counter[str] = Counter()
         self.found: list[_Node] = []
         self.count = 0
         self.text: list[str] = []
+        self.texts: list[str] = []
+        self.raws: list[str] = []
+        self.hidden: _Node | None = None
 
     def _end_text(self):
-        """Give the finished text node to every open element."""
+        """Put the finished text node into the lists that open elements have a range of."""
         if not self.text:
             return
         piece = "".join(self.text)
         self.text = []
-        hidden = next((n for n in self.open if n.tag in _HIDDEN), None)
-        if hidden is None:
-            for node in self.open:
-                if node.raw is not None:
-                    node.raw.append(piece)
+        if self.hidden is None:
+            self.raws.append(piece)
         stripped = piece.strip()
         if not stripped:
             return
-        for node in self.open:
-            if hidden is None or node is hidden:
-                node.pieces.append(stripped)
+        (self.texts if self.hidden is None else self.hidden.hidden).append(stripped)
         if self.open:
             self.open[-1].bare.append(" ".join(piece.split()))
 
     def _close_down_to(self, depth: int):
         self._end_text()
+        for node in self.open[depth:]:
+            node.texts[1], node.raws[1] = len(self.texts), len(self.raws)
+            self.open_tags[node.tag] -= 1
+            if node is self.hidden:
+                self.hidden = None
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
@@ -93,21 +104,29 @@ class _PageReader(HTMLParser):
             self._end_paragraph()
         if tag in _SIBLINGS:
             ended, bounds = _SIBLINGS[tag]
-            for depth in range(len(self.open) - 1, -1, -1):
+            last = len(self.open) - 1 if any(self.open_tags[t] for t in ended) else -1
+            for depth in range(last, -1, -1):
                 if self.open[depth].tag in bounds:
                     break
                 if self.open[depth].tag in ended:
                     self._close_down_to(depth)
                     break
         if tag in _BLOCKS:
-            for node in self.open:
+            for node in reversed(self.open):
+                if node.has_block:
+                    # Then so has every element around it.
+                    break
                 node.has_block = True
         node = _Node(tag, dict(attrs), self.count)
+        node.texts[0], node.raws[0] = len(self.texts), len(self.raws)
         self.count += 1
         if tag in _WANTED:
             self.found.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.open_tags[tag] += 1
+            if tag in _HIDDEN and self.hidden is None:
+                self.hidden, node.hidden = node, []
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -116,6 +135,8 @@ class _PageReader(HTMLParser):
 
     def _end_paragraph(self):
         """A block start ends an open paragraph and the inline tags inside it."""
+        if not self.open_tags["p"]:
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             tag = self.open[depth].tag
             if tag == "p":
@@ -125,6 +146,8 @@ class _PageReader(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
+        if not self.open_tags[tag]:
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth].tag == tag:
                 self._close_down_to(depth)
@@ -136,8 +159,11 @@ class _PageReader(HTMLParser):
     def handle_comment(self, data):
         self._end_text()
 
+    def _inside(self, node: _Node) -> str:
+        return "".join(self.texts[slice(*node.texts)] if node.hidden is None else node.hidden)
+
     def elements(self) -> list[dict]:
-        self._end_text()
+        self._close_down_to(0)
         return [
             {
                 "tag": n.tag,
@@ -145,9 +171,9 @@ class _PageReader(HTMLParser):
                 "elem_id": n.elem_id,
                 "doc_pos": n.pos,
                 "has_block": n.has_block,
-                "text": None if n.has_block else " ".join("".join(n.pieces).split()),
+                "text": None if n.has_block else " ".join(self._inside(n).split()),
                 "bare": n.bare if n.has_block else [],
-                "title": None if n.raw is None else "".join(n.raw).strip(),
+                "title": "".join(self.raws[slice(*n.raws)]).strip() if n.tag in _TITLES else None,
             }
             for n in self.found
         ]

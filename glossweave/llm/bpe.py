@@ -19,8 +19,8 @@ from glossweave.llm.common import fresh, kept, over_batches
 
 #: Pieces whose ids a worker remembers in each of two generations, and states it keeps.
 REMEMBERED = 1 << 17
-STATES = 3 << 15
-MADE_AT = 4
+STATES = 1 << 15
+MADE_AT = 6
 #: Texts longer than this are matched piece by piece instead of into one list.
 LONG_TEXT = 1 << 20
 

@@ -158,15 +158,13 @@ def fold_status(events: DataFrame) -> DataFrame:
 def upsert_outputs(outputs: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     """Apply column changes `(book_id, seq, column, value)`; the last change per column
     wins, also when it sets null. Unknown columns are left out, missing rows created."""
-    known = changes.where(F.col("column").isin(columns))
-    wanted = known.groupBy("book_id").agg(
+    # A book whose changes are all unknown still gets its row.
+    touched = changes.groupBy("book_id").agg(
         *[
             F.max_by(F.struct("value"), F.when(F.col("column") == c, F.col("seq"))).alias(f"_{c}")
             for c in columns
         ]
     )
-    # A book whose changes are all unknown still gets its row.
-    touched = changes.select("book_id").distinct().join(wanted, "book_id", "left")
     return outputs.join(touched, "book_id", "full").select(
         "book_id",
         *[

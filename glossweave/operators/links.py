@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.functions.names import link_words
@@ -14,6 +14,8 @@ from glossweave.functions.similarity import CONTAINED
 from glossweave.functions.text import strip
 
 MIN_SCORE = 0.5
+#: Texts of at least so many letters are looked for by a part of that length.
+GRAM = 6
 SLICE_LINKS = 5_000
 SLICE_TITLES = 100_000
 _FOUND = "link_id long, score double, created_seq long, book_id long"
@@ -51,44 +53,34 @@ def _common_length(places: dict[str, int], full: int, title: str) -> int:
 
 def _best_in(
     link: str, link_counts: np.ndarray, titles: list[str], letters: _Letters, floor: float,
-    fuzzy: bool, ranks: list[tuple],
+    ranks: list[tuple],
 ) -> tuple[float, int] | None:
-    """Best title for one link: highest score, then first by `ranks`."""
+    """Best fuzzy title for one link: highest score, then first by `ranks`."""
     best, at = 0.0, -1
-    # Containment scores by rule, whatever the letters say.
-    for n, title in enumerate(titles):
-        if title == link:
-            score = 1.0
-        elif title in link or link in title:
-            score = CONTAINED
-        else:
+    bounds = letters.bounds(link_counts, len(link))
+    places: dict[str, int] = {}
+    for n, letter in enumerate(link):
+        places[letter] = places.get(letter, 0) | 1 << n
+    full = (1 << len(link)) - 1
+    for n in np.argsort(-bounds, kind="stable"):
+        bound = bounds[n]
+        if bound < best or bound < floor:
+            break
+        title = titles[n]
+        # Containment scores by rule, whatever the ratio is.
+        if title in link or link in title:
             continue
-        if score > best or (score == best and ranks[n] < ranks[at]):
-            best, at = score, n
-    if fuzzy:
-        bounds = letters.bounds(link_counts, len(link))
-        places: dict[str, int] = {}
-        for n, letter in enumerate(link):
-            places[letter] = places.get(letter, 0) | 1 << n
-        full = (1 << len(link)) - 1
-        for n in np.argsort(-bounds, kind="stable"):
-            bound = bounds[n]
-            if bound < best or bound < floor:
-                break
-            title = titles[n]
-            if title in link or link in title:
-                continue
-            shared = _common_length(places, full, title)
-            if 2.0 * shared / (len(link) + len(title)) < max(best, floor):
-                continue
-            # The first argument is the link, as the ratio is not symmetric.
-            score = SequenceMatcher(None, link, title).ratio()
-            if score > best or (score == best and at >= 0 and ranks[n] < ranks[at]):
-                best, at = score, int(n)
+        shared = _common_length(places, full, title)
+        if 2.0 * shared / (len(link) + len(title)) < max(best, floor):
+            continue
+        # The first argument is the link, as the ratio is not symmetric.
+        score = SequenceMatcher(None, link, title).ratio()
+        if score > best or (score == best and at >= 0 and ranks[n] < ranks[at]):
+            best, at = score, int(n)
     return (best, at) if at >= 0 and best >= floor else None
 
 
-def _match_cell(floor: float, fuzzy: bool):
+def _match_cell(floor: float):
     """Best title per link inside one cell of the grid."""
 
     def match(links: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
@@ -100,7 +92,7 @@ def _match_cell(floor: float, fuzzy: bool):
         link_letters = _Letters(wanted)
         rows = []
         for n, link_id in enumerate(links["link_id"].tolist()):
-            best = _best_in(wanted[n], link_letters.counts[n], keys, letters, floor, fuzzy, ranks)
+            best = _best_in(wanted[n], link_letters.counts[n], keys, letters, floor, ranks)
             if best:
                 rows.append((link_id, best[0], seqs[best[1]], ids[best[1]]))
         return pd.DataFrame(rows, columns=["link_id", "score", "created_seq", "book_id"])
@@ -112,30 +104,89 @@ def _slice_count(rows: int, size: int, wanted: int) -> int:
     return max(-(-rows // size), min(wanted, rows // 64 + 1), 1)
 
 
-def match_links(
-    links: DataFrame, books: DataFrame, floor: float = MIN_SCORE, fuzzy: bool = True,
-    slice_links: int = SLICE_LINKS, slice_titles: int = SLICE_TITLES,
-) -> DataFrame:
-    """Best completed book per link: `(links.*, score, book_id, title)`.
+def _parts(text: Column, size: Column | int) -> Column:
+    """The parts of `size` letters of a text that has as many."""
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.transform(starts, lambda at: F.substring(text, at, size))
 
-    `links` holds `(link_id, filename)`. No key can rule out a fuzzy match, so every link
-    has to meet every title, but no pair becomes a row: equal titles are folded to their
-    newest book, links and titles are hashed into slices of bounded size, and a task
-    compares one slice with one slice and gives back one winner per link. Upper bounds
-    from letter counts skip most ratio computations without changing the result.
-    `fuzzy=False` looks for equality and containment only.
+
+def _small_parts(text: Column) -> Column:
+    """All different parts of fewer than GRAM letters, the empty one too."""
+    sizes = F.sequence(F.lit(0), F.least(F.lit(GRAM - 1), F.length(text)))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda size: _parts(text, size))))
+
+
+def _inside(inner: DataFrame, inner_key: str, outer: DataFrame, outer_key: str) -> DataFrame:
+    """Pairs of different texts, the first (of GRAM letters at least) a part of the second.
+
+    The key of an inner text is that of its grams which the fewest outer texts have.
     """
-    titled = books.where(F.col("status") == "completed").select(
-        "book_id", "created_seq", F.lower(F.coalesce("title", F.lit(""))).alias("title_key")
-    ).withColumn("title_key", strip(F.col("title_key")))
-    newest = titled.groupBy("title_key").agg(
-        F.max_by("book_id", F.struct("created_seq", -F.col("book_id"))).alias("book_id"),
-        F.max("created_seq").alias("created_seq"),
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        long = df.where(F.length(key) >= GRAM)
+        return long.select(key, F.explode(F.array_distinct(_parts(F.col(key), GRAM))).alias("_gram"))
+
+    held = grams(outer, outer_key)
+    often = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        grams(inner, inner_key)
+        .join(often, "_gram", "left")
+        .groupBy(inner_key)
+        .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
     )
-    keyed = links.where(F.length(F.coalesce("filename", F.lit(""))) > 0).select(
-        "link_id", link_words(F.col("filename")).alias("link_key")
+    met = rarest.join(held, "_gram")
+    return met.where(F.contains(outer_key, inner_key)).select(inner_key, outer_key)
+
+
+def _best(found: DataFrame, key: str) -> DataFrame:
+    """Of each key the highest score, then the newest book, then the smallest id."""
+    order = F.struct("score", "created_seq", -F.col("book_id"))
+    winner = F.max_by(F.struct("score", "created_seq", "book_id"), order)
+    return found.groupBy(key).agg(winner.alias("_w")).select(key, "_w.*")
+
+
+def keyed_matches(keyed: DataFrame, newest: DataFrame) -> DataFrame:
+    """Best equal or containing or contained title per link: `(link_id, score, …)`.
+
+    Equal texts meet by key. A text of fewer than GRAM letters meets the small parts of the
+    others; where many titles hold one small link, only the best of them is kept before the
+    join. Longer texts meet by their rarest gram.
+    """
+    wanted = keyed.select("link_key").distinct()
+    contained = [F.lit(CONTAINED).alias("score"), "created_seq", "book_id"]
+    equal = wanted.join(newest, F.col("link_key") == F.col("title_key")).select(
+        "link_key", F.lit(1.0).alias("score"), "created_seq", "book_id"
+    )
+    small_titles = (
+        wanted.select("link_key", F.explode(_small_parts(F.col("link_key"))).alias("title_key"))
+        .join(newest.where(F.length("title_key") < GRAM), "title_key")
+        .select("link_key", *contained)
+    )
+    titles_in = (
+        _inside(newest, "title_key", wanted, "link_key")
+        .join(newest, "title_key")
+        .select("link_key", *contained)
+    )
+    small_links = _best(
+        newest.select(F.explode(_small_parts(F.col("title_key"))).alias("link_key"), *contained),
+        "link_key",
+    ).join(wanted.where(F.length("link_key") < GRAM), "link_key")
+    links_in = (
+        _inside(wanted, "link_key", newest, "title_key")
+        .join(newest, "title_key")
+        .select("link_key", *contained)
     )
-    tasks = links.sparkSession.sparkContext.defaultParallelism
+    found = equal.unionByName(small_titles).unionByName(titles_in)
+    found = _best(found.unionByName(small_links).unionByName(links_in), "link_key")
+    return keyed.join(found, "link_key").select("link_id", "score", "created_seq", "book_id")
+
+
+def _fuzzy_matches(
+    keyed: DataFrame, newest: DataFrame, floor: float, slice_links: int, slice_titles: int
+) -> DataFrame:
+    """Best title of every cell of the grid of links and titles."""
+    tasks = keyed.sparkSession.sparkContext.defaultParallelism
     n_links = _slice_count(keyed.count(), slice_links, 1)
     n_titles = _slice_count(newest.count(), slice_titles, tasks)
     left = keyed.select(
@@ -148,15 +199,44 @@ def match_links(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_links - 1).cast("long"))).alias("_row"),
         F.pmod(F.xxhash64("title_key"), F.lit(n_titles)).alias("_col"),
     )
-    found = (
+    return (
         left.groupBy("_row", "_col")
         .cogroup(right.groupBy("_row", "_col"))
-        .applyInPandas(_match_cell(floor, fuzzy), _FOUND)
+        .applyInPandas(_match_cell(floor), _FOUND)
+    )
+
+
+def match_links(
+    links: DataFrame, books: DataFrame, floor: float = MIN_SCORE, fuzzy: bool = True,
+    slice_links: int = SLICE_LINKS, slice_titles: int = SLICE_TITLES,
+) -> DataFrame:
+    """Best completed book per link: `(links.*, score, book_id, title)`.
+
+    `links` holds `(link_id, filename)`. Equality and containment are found by keys (see
+    `keyed_matches`); `fuzzy=False` stops there. No key can rule out a fuzzy match, so every
+    link without an equal title has to meet every title, but no pair becomes a row: equal
+    titles are folded to their newest book, links and titles are hashed into slices of
+    bounded size, and a task compares one slice with one slice and gives back one winner per
+    link. Upper bounds from letter counts skip most ratio computations without changing the
+    result.
+    """
+    titled = books.where(F.col("status") == "completed").select(
+        "book_id", "created_seq", F.lower(F.coalesce("title", F.lit(""))).alias("title_key")
+    ).withColumn("title_key", strip(F.col("title_key")))
+    newest = titled.groupBy("title_key").agg(
+        F.max_by("book_id", F.struct("created_seq", -F.col("book_id"))).alias("book_id"),
+        F.max("created_seq").alias("created_seq"),
     )
-    best = found.groupBy("link_id").agg(
-        F.max_by("book_id", F.struct("score", "created_seq", -F.col("book_id"))).alias("book_id"),
-        F.max("score").alias("score"),
+    keyed = links.where(F.length(F.coalesce("filename", F.lit(""))) > 0).select(
+        "link_id", link_words(F.col("filename")).alias("link_key")
     )
+    found = keyed_matches(keyed, newest).where(F.col("score") >= floor)
+    if fuzzy:
+        unequal = keyed.join(newest, F.col("link_key") == F.col("title_key"), "left_anti")
+        found = found.unionByName(
+            _fuzzy_matches(unequal, newest, floor, slice_links, slice_titles)
+        )
+    best = _best(found, "link_id").select("link_id", "book_id", "score")
     titles = books.select("book_id", "title")
     return links.join(best.join(titles, "book_id"), "link_id", "left")
 

@@ -22,7 +22,7 @@ def container_stream(
     reader = (
         spark.readStream.format("binaryFile")
         .schema(schemas.CONTAINERS)
-        .option("pathGlobFilter", "*.epub")
+        .option("pathGlobFilter", "*.[eE][pP][uU][bB]")
         .option("maxFilesPerTrigger", files_per_batch)
     )
     if archive:
@@ -68,5 +68,7 @@ def _known_books(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     try:
         table = read_table(spark, path, BOOK_ROWS + ", batch long")
         return table.where(F.col("batch") < batch_id).drop("batch")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], BOOK_ROWS)

@@ -417,9 +417,13 @@ def link_match(v: Views) -> DataFrame:
     return found.select("link_id", "filename", "book_id", "title", F.round("score", 6).alias("score"))
 
 
-@query("link_report")
+@query(
+    "link_report",
+    f"""WITH {_CONTAINED} SELECT count(*) AS total, count(book_id) AS matched,
+        count(*) - count(book_id) AS unmatched FROM matched""",
+)
 def link_report(v: Views) -> DataFrame:
-    return links.link_report(links.match_links(_links(v), v.books))
+    return links.link_report(links.match_links(_links(v), v.books, fuzzy=False))
 
 
 @query(

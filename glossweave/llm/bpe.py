@@ -79,6 +79,7 @@ class Transducer:
         self.fits: dict[tuple[bytes | None, bytes], bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.states: dict[tuple[bytes | None, bytes], State] = {}
+        self.emptied = False
         self.begin = State(None, b"", (0,), ())
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -173,6 +174,7 @@ class Transducer:
         if known is None:
             if len(self.states) >= STATES:
                 self.states.clear()
+                self.emptied = True
                 self.begin = State(None, b"", (0,), ())
             known = self.states[root, tail] = State(root, tail, sizes, live)
         return known
@@ -245,6 +247,10 @@ class Encoder:
         if packed is None:
             ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
             packed = struct.pack(f"<{len(ids)}I", *ids)
+            if self.transducer.emptied:
+                # The old states point at each other; only the collector frees them.
+                self.transducer.emptied = False
+                gc.collect()
         if len(self.known) >= REMEMBERED:
             self.known, self.older = {}, self.known
         self.known[piece] = packed

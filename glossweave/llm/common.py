@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -89,8 +90,13 @@ def kept(kind: str, key: object, make: Callable[[], object]) -> object:
 
 def drop_kept(*but: str) -> None:
     """Free what a worker process, which outlives its tasks, keeps for other operators."""
-    for kind in set(_KEPT) - set(but):
+    stale = set(_KEPT) - set(but)
+    for kind in stale:
         del _KEPT[kind]
+    if stale:
+        # States of an encoder point at each other; only the collector frees them.
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def over_batches(

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import cut, fresh, kept, over_batches, ship
+from glossweave.llm.common import cut, drop_kept, fresh, kept, over_batches, ship
 
 WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
@@ -219,6 +219,7 @@ def _improved(counts: DataFrame, pieces: list[str], place: dict[str, int], logp:
     schema = pa.schema([("piece", pa.int32()), ("lang", pa.int32()), ("uses", pa.float64())])
 
     def run(batches):
+        drop_kept()
         pieces, place, logp = sent.value
         lattice, uses = Lattice(pieces), np.zeros_like(logp)
         for batch in batches:

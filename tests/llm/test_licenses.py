@@ -73,3 +73,30 @@ def test_edges(spark):
     assert len(rows) == len(files)
     _same(rows, _plain(files))
     assert licenses.licences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, licence", [
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", "CC-BY-NC-SA-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("Licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("// SPDX-License-Identifier: Zlib", "unknown"),
+    ("Licensed under the BSD License.", "unknown"), ("Licensed under the Zlib License.", "unknown"),
+    ("This work is licensed under the GNU General Public License.", "unknown"),
+    ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+])
+def test_notices(declared_as, text, licence):
+    assert declared_as[text] == (licence, None)
+
+
+@pytest.fixture(scope="module")
+def declared_as(spark, request):
+    """Each text of test_notices, below a licence file of another kind: its licence and where it is from."""
+    texts = [p[0] for m in test_notices.pytestmark for p in m.args[1]]
+    files = [("LICENSE", licenses.TEMPLATES["ISC"][0])] + [(f"f{n}.py", t) for n, t in enumerate(texts)]
+    files += [(f"other{n}.py", f"plain code {n}") for n in range(100)]
+    rows = licenses.licences(spark.createDataFrame(files, "path string, text string")).collect()
+    got = {r.path: (r.licence, r.inherited_from) for r in rows}
+    assert got["other0.py"] == ("ISC", "")
+    return {t: got[f"f{n}.py"] for n, t in enumerate(texts)}

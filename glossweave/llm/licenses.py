@@ -283,7 +283,9 @@ def declared(
     """Columns path, licence and cosine of the files whose text declares a licence.
 
     What is compared with the templates by the cosine of sparse TF-IDF vectors: each line that holds one of
-    MARKS, whole. Of words that tell near templates apart (versions, kinds,
+    MARKS, whole; and, line ends or not, each stretch of words as long as a template that lies on the text
+    with its first anchor word on the same word of the text. So a wrapped notice and a licence file are
+    compared as wholes, wherever they begin. Of words that tell near templates apart (versions, kinds,
     names) text and template must say the same. A word's document frequency is counted over all files; words
     outside the templates' vocabulary weigh as much as a word that no file has. The best cosine decides,
     WEAK templates only without another; ties go to the licence that sorts first. An SPDX tag of one
@@ -303,15 +305,25 @@ def declared(
     idf = {w: math.log((many + 1) / (found.get(w, 0) + 1)) + 1 for w in vocabulary}
     other = math.log(many + 1) + 1
     marked = files.where(text.rlike(MARKS)).select(F.col(path_col).alias("path"), text.alias("text"))
+    longest = max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
 
     lines = marked.select("path", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(MARKS))
     lines = lines.select("path", _words_of(F.col("line")).alias("words"), F.lit(None).cast("int").alias("at"))
+    places = F.filter(
+        F.transform("words", lambda w, k: F.when(w.isin(*ANCHORS), k)), lambda k: k.isNotNull()
+    )
+    # Around a place only as many words as a template can reach.
+    laid = (
+        marked.select("path", _words_of(F.col("text")).alias("words")).select("path", "words", F.explode(places).alias("k"))
+        .withColumn("first", F.greatest(F.col("k") - longest, F.lit(0)))
+        .select("path", F.slice("words", F.col("first") + 1, F.lit(2 * longest)).alias("words"), (F.col("k") - F.col("first")).alias("at"))
+    )
     weights = F.expr(_map(idf, "double"))
     weighed = F.transform(
         "words", lambda w: F.struct(w.alias("word"), F.coalesce(F.try_element_at(weights, w), F.lit(other)).alias("idf"))
     )
     here = F.when(F.col("at").isNull(), F.lit(None).cast("string")).otherwise(F.get("words", F.col("at")))
-    units = lines.distinct().select("path", "at", here.alias("anchor"), weighed.alias("words"))
+    units = lines.union(laid).distinct().select("path", "at", here.alias("anchor"), weighed.alias("words"))
     of = F.explode(F.filter(
         _templates(idf), lambda t: F.col("anchor").isNull() | ((t["anchor"] == F.col("anchor")) & (t["before"] <= F.col("at")))
     ))

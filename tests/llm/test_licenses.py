@@ -75,6 +75,49 @@ def test_edges(spark):
     assert licenses.licences(df.limit(0)).count() == 0
 
 
+MIT = """Copyright (c) 2021 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Copyright (c) 2020, A. Person. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+NEITHER = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+import os"""
+GPL_TEXT = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed."""
+APACHE = """/* Copyright 2019 A. Person
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *     http://www.apache.org/licenses/LICENSE-2.0 */"""
+
+
 @pytest.mark.parametrize("text, licence", [
     ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
     ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
@@ -85,6 +128,8 @@ def test_edges(spark):
     ("Licensed under the BSD License.", "unknown"), ("Licensed under the Zlib License.", "unknown"),
     ("This work is licensed under the GNU General Public License.", "unknown"),
     ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+    (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + NEITHER, "BSD-3-Clause"), (GPL.format(2), "GPL-2.0"), (GPL.format(3), "GPL-3.0"),
+    (GPL.format(3).replace("GNU General", "GNU Affero General"), "AGPL-3.0"), (GPL_TEXT, "GPL-3.0"), (APACHE, "Apache-2.0"),
 ])
 def test_notices(declared_as, text, licence):
     assert declared_as[text] == (licence, None)

@@ -1,4 +1,6 @@
 import math
+import random
+import string
 from collections import Counter
 
 import pytest
@@ -65,3 +67,25 @@ def test_masked(make_docs):
     docs = make_docs(["a token=abcdef b", "clean"])
     got = secrets.secret_spans(docs).select(secrets.masked(F.col("text"), F.col("spans")).alias("t")).collect()
     assert [r.t for r in got] == ["a [SECRET] b", "clean"]
+
+
+@pytest.mark.parametrize("signs, length", [
+    ("0123456789", 20), ("0123456789abcdef", 20), ("abcdefghijklmnopqrstuvwxyz", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20),
+    ("abcdefghijklmnopqrstuvwxyz0123456789", 24), (string.ascii_letters, 20), (string.ascii_letters + string.digits, 20),
+    (string.ascii_letters + string.digits + "+/", 32),
+])
+def test_random_strings_are_found(spark, signs, length):
+    draw = random.Random(5)
+    rows = [("".join(draw.choices(signs, k=length)),) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "t string")
+    found = df.where(F.size(secrets.entropy_spans(F.col("t"))) > 0).count()
+    assert found >= 2000 * 0.985
+
+
+def test_words_are_not_found(spark):
+    words = [
+        "internationalization", "some_long_identifier_of_many_words", "HTMLParserFactoryBuilderFromThings", "anticonstitutionnellement",
+        "Donaudampfschifffahrtsgesellschaft", "one_two_three_four_five", "home/user/documents/reports", "=" * 30,
+    ]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    assert [r.t for r in df.where(F.size(secrets.entropy_spans(F.col("t"))) > 0).collect()] == []

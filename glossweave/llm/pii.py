@@ -82,7 +82,7 @@ def disclosing_terms(
     generalise_at: float = 0.7,
     remove_at: float = 0.95,
 ) -> DataFrame:
-    """Columns text_key, term and removed: per text, the terms that give its entities away.
+    """Columns text_key, term and removed: per text, its terms that give an entity of the corpus away.
 
     `docs` has text (not null) and spans. An entity is the value of a base span. How much a
     term t reveals of an entity c is their pointwise mutual information over the information
@@ -90,7 +90,8 @@ def disclosing_terms(
     c. The probabilities are shares of all different texts of the corpus (exact copies count
     once). Terms are plain words within `reach` words of the entity that stand beside it in
     at least `support` different texts; from `generalise_at` on a term is generalised, from
-    `remove_at` on removed. Pairs are counted before their shuffle, word counts cover all
+    `remove_at` on removed, the stronger where it reveals several entities, in every text that has it,
+    also without the entity. Pairs are counted before their shuffle, word counts cover all
     texts, and no group is gathered.
     """
     key = F.xxhash64("text").alias("text_key")
@@ -116,18 +117,16 @@ def disclosing_terms(
         joint.where(F.col("together") >= support).join(entities, "entity").join(in_held, "term")
         .where((information > 0) & (mutual("least_with") >= generalise_at * information))
     )
-    in_all = (
+    in_all = cut(
         docs.select(key, F.explode(words).alias("term"))
-        .join(joint.select("term").distinct(), "term", "left_semi")
-        .groupBy("term").agg(F.count_distinct("text_key").alias("with_term"))
+        .join(joint.select("term").distinct(), "term", "left_semi").distinct()
     )
-    found = (
-        joint.join(in_all, "term").where(mutual("with_term") >= generalise_at * information)
-        .select("entity", "term", (mutual("with_term") >= remove_at * information).alias("removed"))
-    )
-    return pairs.join(found, ["entity", "term"]).groupBy("text_key", "term").agg(
-        F.max("removed").alias("removed")
+    counted = in_all.groupBy("term").agg(F.count("*").alias("with_term"))
+    found = written(
+        joint.join(counted, "term").where(mutual("with_term") >= generalise_at * information)
+        .groupBy("term").agg(F.max(mutual("with_term") >= remove_at * information).alias("removed"))
     )
+    return in_all.join(found, "term").select("text_key", "term", "removed")
 
 
 def personal_spans(docs: DataFrame, text_col: str = "text", spans_name: str = "spans", **limits) -> DataFrame:

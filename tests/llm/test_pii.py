@@ -50,3 +50,12 @@ def test_revealing_terms(make_docs):
         assert "zor@" not in texts[n] and "[EMAIL]" in texts[n] and "Zorblatt" not in texts[n]
         assert "always" in texts[n]
     assert texts[35] == "Zorblatt" and texts[10] == "always says nothing 5"
+
+
+def test_revealing_terms_in_all_texts(make_docs):
+    told = [f"text {n} says Quillon uses quill@example.com always" for n in range(10)]
+    apart = [f"here {n} Quillon alone" for n in range(5)]
+    docs = make_docs(told + apart + [f"always says nothing {n}" for n in range(3000)])
+    clean = pii.personal_spans(docs).select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("t"))
+    texts = {r.doc_id: r.t for r in clean.where("doc_id < 20").collect()}
+    assert all("Quillon" not in texts[n] for n in range(15)) and texts[15] == "always says nothing 0"

@@ -63,17 +63,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    shared_folder(spark)
+    base = str(spark.sparkContext.getCheckpointDir()).rstrip("/")
+    return f"{base}/table-{uuid.uuid4()}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like cut, but as a Parquet table, so that the planner knows its real size.
 
     A join with it is a broadcast only if that size is below the session's threshold.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    base = str(spark.sparkContext.getCheckpointDir()).rstrip("/")
-    path = f"{base}/table-{uuid.uuid4()}"
+    path = written_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at `path`, in any store that Spark reads."""
+    where, store = _store(spark, path)
+    return store.exists(where)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete files of a step whose readers are all done."""
+    where, store = _store(spark, path)
+    store.delete(where, True)
 
 
 #: What this worker process keeps between tasks: kind -> (key, object).

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import ann, bpe, langid, licenses, mixing, pii, pq, quality_crf, secrets, simhash
+from glossweave.llm import ann, bpe, knn_join, langid, licenses, mixing, phrases, pii, pq, quality_crf, secrets, simhash
 from glossweave.llm.common import held_out, table
 from glossweave.llm.spans import count_of, listed
 
@@ -175,3 +175,70 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(table(spark, folder, "documents")))
+
+
+ORACLES["op11_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g
+  FROM worded, (VALUES (1), (2), (3), (4), (5)) AS lengths(k), unnest(range(1, len(w) - k + 2)) AS places(i)
+), counts AS (
+  SELECT lang, g, k, count(*) AS c FROM grams GROUP BY lang, g, k HAVING count(*) >= 100
+), cuts AS (
+  SELECT p.lang, p.g, p.k, p.c AS a, j, l.c AS l, r.c AS r, t.n,
+    (1000::HUGEINT * p.c * t.n) // (l.c::HUGEINT * r.c) AS score
+  FROM counts p, unnest(range(1, p.k)) AS places(j), counts l, counts r, totals t
+  WHERE l.lang = p.lang AND l.g = p.g[1:j] AND r.lang = p.lang AND r.g = p.g[j + 1:] AND t.lang = p.lang
+), least AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS place FROM cuts
+), open_ones AS (
+  SELECT s.* FROM least s
+  WHERE place = 1 AND NOT EXISTS (
+    SELECT 1 FROM counts b
+    WHERE b.lang = s.lang AND b.k = s.k + 1 AND 100 * b.c >= 100 * s.a AND (b.g[1:s.k] = s.g OR b.g[2:] = s.g))
+), ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase FROM open_ones
+), numbered AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+    phrase, a, l, r, n, score::BIGINT AS score
+  FROM ranked
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM numbered WHERE rank <= 2000
+"""
+
+
+@query
+def op12_knn_join(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = knn_join.top_products(vectors, vectors.where("vec_id % 100 = 0"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op12_knn_join"] = """
+WITH good AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+  FROM good q JOIN good d ON q.vec_id <> d.vec_id
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""

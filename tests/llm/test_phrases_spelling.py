@@ -32,7 +32,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("stretch, slots, shards", [(8 << 20, 1 << 22, 4), (16, 1 << 22, 1), (64, 4, 3)])
+@pytest.mark.parametrize("stretch, slots, shards", [(8 << 20, 1 << 22, 2), (16, 1 << 22, 1), (64, 4, 3)])
 def test_frequent_phrases(spark, make_docs, stretch, slots, shards):
     """All counts, whatever the stretches, the shards and the size of the filter."""
     rows = [(t, lang) for n, t in enumerate(TEXTS) for lang in ("en", None, "de")[: 1 + n % 3]]

@@ -97,6 +97,8 @@ def _verified(
     for begin in range(0, len(queries["id"]), SIDE):
         q, pq, own, best = (queries[n][begin : begin + SIDE] for n in ("x", "p", "id", "best"))
         base = (q**2).sum(axis=1) + index.largest**2
+        # Rounding of products and squares, whatever the size of the vectors.
+        slack = 1e-9 * base
         away = (pq**2).sum(axis=1)[:, None] + (px**2).sum(axis=1) - 2 * pq @ px.T
         away[own[:, None] == ids] = np.inf
         product = np.full(away.shape, -np.inf)
@@ -104,7 +106,7 @@ def _verified(
         inner = np.full(len(q), -np.inf)
         size = FIRST
         while True:
-            reach = stop * np.maximum(base - 2 * best, 0) + 1e-9
+            reach = stop * (np.maximum(base - 2 * best, 0) + slack)
             last = size >= away.shape[1]
             outer = np.full(len(q), np.inf) if last else np.partition(away, size - 1, axis=1)[:, size - 1]
             shell = (away > inner[:, None]) & (away <= np.minimum(outer, reach)[:, None]) & np.isfinite(away)
@@ -116,11 +118,11 @@ def _verified(
                     kth = np.partition(product, product.shape[1] - k, axis=1)[:, product.shape[1] - k]
                     best = np.maximum(best, kth)
             inner, size = outer, size * MORE
-            if last or (inner > stop * np.maximum(base - 2 * best, 0) + 1e-9).all():
+            if last or (inner > stop * (np.maximum(base - 2 * best, 0) + slack)).all():
                 break
         for n in range(len(q)):
             have = np.flatnonzero(product[n] > -np.inf)
-            have = have[product[n, have] >= best[n] - 1e-9]
+            have = have[product[n, have] >= best[n] - slack[n]]
             exact = (x[have] * q[n]).sum(axis=1)
             order = np.lexsort((ids[have], -exact))[:k]
             out.append((begin + n, have[order], exact[order]))
@@ -219,7 +221,8 @@ def _routed(queries: DataFrame, index: Index, stop: float) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         index, x = sent.value, matrix(batch.column(1))
         best = batch.column(2).to_numpy()
-        reach = stop * np.maximum((x**2).sum(axis=1) + index.largest**2 - 2 * best, 0) + 1e-9
+        base = (x**2).sum(axis=1) + index.largest**2
+        reach = stop * (np.maximum(base - 2 * best, 0) + 1e-9 * base)
         row, cell = np.nonzero(index.box_distances(index.project(x, True)) <= reach[:, None])
         return pa.RecordBatch.from_arrays(
             [*(c.take(pa.array(row)) for c in batch.columns), pa.array(cell, pa.int32())], ["id", "vector", "best", "cell"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.llm.common import cut, fresh, written
-from glossweave.llm.spans import SPAN, in_order, replaced, spans_of
+from glossweave.llm.spans import SPAN, beside, in_order, replaced, spans_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each gives the same matches as the plain pattern: a match can only begin where the run of
@@ -61,16 +61,11 @@ def base_spans(text: Column) -> Column:
     return in_order(F.concat(*found))
 
 
-def _near_terms(text: Column, span: Column, reach: int) -> Column:
-    """Lower-cased plain words among the `reach` words before and after a span."""
-    side = 24 * reach
-    before = F.substring(
-        text, F.greatest(span["start"] - side, F.lit(0)) + 1, F.least(span["start"], F.lit(side))
-    )
-    after = F.substring(text, span["end"] + 1, F.lit(side))
+def _near_terms(span: Column, reach: int) -> Column:
+    """Lower-cased plain words among the `reach` words before and after what beside() gives."""
     both = F.concat(
-        F.slice(F.reverse(F.regexp_extract_all(before, F.lit(TERM), F.lit(0))), 1, reach),
-        F.slice(F.regexp_extract_all(after, F.lit(TERM), F.lit(0)), 1, reach),
+        F.slice(F.reverse(F.regexp_extract_all(span["before"], F.lit(TERM), F.lit(0))), 1, reach),
+        F.slice(F.regexp_extract_all(span["after"], F.lit(TERM), F.lit(0)), 1, reach),
     )
     return F.array_distinct(F.transform(both, lambda w: F.lower(w)))
 
@@ -84,6 +79,8 @@ def disclosing_terms(
 ) -> DataFrame:
     """Columns text_key, term and removed: per text, its terms that give an entity of the corpus away.
 
+    Neighbours are looked for in the 24 * `reach` code points before and after an entity.
+
     `docs` has text (not null) and spans. An entity is the value of a base span. How much a
     term t reveals of an entity c is their pointwise mutual information over the information
     of the entity, log(p(c,t) / (p(c) p(t))) / -log p(c), which is 1 where t occurs only with
@@ -96,8 +93,9 @@ def disclosing_terms(
     """
     key = F.xxhash64("text").alias("text_key")
     held = cut(docs.where(F.size("spans") > 0).select(key, "text", "spans"))
-    near = held.select("text_key", "text", F.explode("spans").alias("span"))
-    terms = F.explode(_near_terms(F.col("text"), F.col("span"), reach)).alias("term")
+    # A match takes along what stands beside it, never the whole text.
+    near = held.select("text_key", F.explode(beside(F.col("text"), F.col("spans"), 24 * reach)).alias("span"))
+    terms = F.explode(_near_terms(F.col("span"), reach)).alias("term")
     pairs = cut(near.select(F.xxhash64("span.value").alias("entity"), "text_key", terms).distinct())
     texts = docs.select(F.xxhash64("text")).distinct().count()
     by_text = pairs.select("entity", "text_key").distinct()

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossweave.llm import ann, blockwise
 from glossweave.llm.queries import QUERIES
@@ -60,6 +61,15 @@ def test_search_with_a_deep_tree(spark):
     _check_search(found.collect(), _vectors([tuple(r) for r in df.collect()]), 0.95)
 
 
+@pytest.mark.parametrize("size", [1e7, 1e-6])
+def test_search_at_any_norm(spark, size):
+    """Every query gets all its rows, and their scores, whatever the norm of the vectors."""
+    df = spark.read.parquet(f"{FOLDER}/embeddings.parquet").selectExpr("vec_id", f"transform(embedding, x -> cast(x as double) * {size}) as embedding")
+    vectors = {r.vec_id: np.array(r.embedding) / size for r in df.collect()}
+    found = ann.nearest(df, df.where("vec_id % 20 = 0")).withColumn("score", F.col("score") / (size * size))
+    _check_search(found.withColumnRenamed("id", "vec_id").collect(), vectors, 0.95)
+
+
 def test_search_edges(spark, folder_of):
     odd = spark.createDataFrame(ODD[:-1], "vec_id long, embedding array<float>, label int")
     _check_search(QUERIES["op1_ann"](spark, folder_of(embeddings=odd)).collect(), _vectors(ODD), 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.functions import patterns as P
@@ -25,20 +25,26 @@ AS_OF = 1700000000.0 + 45 * 86400
 
 
 def _memory_json(v: Views) -> DataFrame:
-    """Each segment as a small memory file."""
+    """Each segment as a small memory file; some hold a second entry without an answer."""
     ts = F.lit(1700000000.0) + ((F.col("book_id") * 7 + F.col("pos")) % 60) * F.lit(86400.0)
-    entry = F.struct(
-        F.col("original").alias("source"),
-        F.when((F.col("book_id") * 7 + F.col("pos")) % 5 == 0, "").otherwise(F.col("translated")).alias("translated"),
-        ts.alias("timestamp"),
+
+    def entry(source: Column, translated: Column) -> Column:
+        return F.struct(source.alias("source"), translated.alias("translated"), ts.alias("timestamp"))
+
+    unanswered = F.concat(F.lit("Blank line "), F.col("pos").cast("string"))
+    cache = F.map_concat(
+        F.create_map(F.md5("original"), entry(F.col("original"), F.col("translated"))),
+        F.when((F.col("book_id") * 7 + F.col("pos")) % 5 == 0, F.create_map(F.md5(unanswered), entry(unanswered, F.lit(""))))
+        .otherwise(F.create_map().cast("map<string,struct<source:string,translated:string,timestamp:double>>")),
     )
-    file = F.to_json(F.struct(F.create_map(F.md5("original"), entry).alias("cache")))
+    file = F.to_json(F.struct(cache.alias("cache")))
     return memory_files.parse_memory_json(v.segments.select(file.alias("value")), "value")
 
 
 _ENTRIES = f"""e AS (SELECT md5(original) AS source_hash, original AS source_text,
-    CASE WHEN (book_id * 7 + pos) % 5 = 0 THEN '' ELSE translated END AS translated_text, {_TS} AS ts
-    FROM segments)"""
+    translated AS translated_text, {_TS} AS ts FROM segments
+    UNION ALL SELECT md5('Blank line ' || pos), 'Blank line ' || pos, '', {_TS} FROM segments
+    WHERE (book_id * 7 + pos) % 5 = 0)"""
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.functions import markdown, names, text
@@ -175,22 +175,22 @@ def template_fill(v: Views) -> DataFrame:
 @query(
     "ncx_labels",
     """SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY pos) - 1 AS nth,
-        replace(text, '<', '') AS label FROM nodes WHERE tag = 'h1'""",
+        replace(text, '<', '') AS label FROM paragraphs WHERE replace(text, '<', '') <> ''""",
 )
 def ncx_labels(v: Views) -> DataFrame:
-    """Navigation files are put together from the headings of each document (one cell per
+    """Navigation files are put together from the lines of each document (one cell per
     book), then their labels are read back."""
     lines = F.filter(
         F.transform(
             F.split("text", "\n"),
             lambda line, i: F.struct(i.alias("pos"), text.squeeze(line).alias("text")),
         ),
-        lambda p: (F.length(p.text) >= P.MIN_TEXT) & (p.pos % 11 == 0),
+        lambda p: F.length(p.text) >= P.MIN_TEXT,
     )
     label = F.transform(
         lines,
         lambda p: F.concat(
-            F.lit("<navLabel><text>"), F.replace(F.trim(F.left(p.text, F.lit(60))), F.lit("<"), F.lit("")),
+            F.lit("<navLabel><text>"), F.replace(p.text, F.lit("<"), F.lit("")),
             F.lit("</text></navLabel>"),
         ),
     )
@@ -202,11 +202,13 @@ def ncx_labels(v: Views) -> DataFrame:
 
 @query(
     "toc_body",
-    rf"""WITH l AS (SELECT p.book_id, p.pos, b.title, {s_strip('''CASE p.pos % 9
+    rf"""WITH entries AS (SELECT p.book_id, p.pos, b.title, p.text, CASE p.pos % 9
             WHEN 0 THEN 'Cover' WHEN 1 THEN 'Part IV ' WHEN 2 THEN 'xiv'
-            WHEN 3 THEN CAST(p.pos AS VARCHAR) WHEN 4 THEN b.title WHEN 5 THEN ' 目录'
-            ELSE substr(p.text, 1, 40) END''')} AS label
-        FROM paragraphs p JOIN books b USING (book_id))
+            WHEN 3 THEN CAST(p.pos AS VARCHAR) WHEN 4 THEN b.title WHEN 5 THEN ' 目录' END AS beside
+        FROM paragraphs p JOIN books b USING (book_id)),
+    l AS (SELECT book_id, pos * 2 AS pos, title, {s_strip('text')} AS label FROM entries
+        UNION ALL
+        SELECT book_id, pos * 2 + 1, title, {s_strip('beside')} FROM entries WHERE beside IS NOT NULL)
     SELECT book_id, pos, label FROM l
     WHERE label <> '' AND NOT regexp_matches(label, '{rx(P.TOC_SKIP)}')
         AND NOT regexp_matches(label, '{P.ROMAN}')
@@ -214,15 +216,19 @@ def ncx_labels(v: Views) -> DataFrame:
         AND ({s_strip('title')} = '' OR lower(label) <> lower({s_strip('title')}))""",
 )
 def toc_body(v: Views) -> DataFrame:
-    way = F.col("pos") % 9
-    label = (
+    """Every line is an entry; entries of other kinds stand beside some of them."""
+    way, pos = F.col("pos") % 9, F.col("pos")
+    beside = (
         F.when(way == 0, "Cover").when(way == 1, "Part IV ").when(way == 2, "xiv")
-        .when(way == 3, F.col("pos").cast("string")).when(way == 4, F.col("title"))
-        .when(way == 5, " 目录").otherwise(F.left("text", F.lit(40)))
+        .when(way == 3, pos.cast("string")).when(way == 4, F.col("title")).when(way == 5, " 目录")
     )
-    labelled = v.paragraphs.join(v.books.select("book_id", "title"), "book_id").select(
-        "book_id", "pos", "title", text.strip(label).alias("label")
+    entries = F.array(
+        F.struct((pos * 2).alias("pos"), F.col("text").alias("label")),
+        F.when(beside.isNotNull(), F.struct((pos * 2 + 1).alias("pos"), beside.alias("label"))),
     )
+    labelled = v.paragraphs.join(v.books.select("book_id", "title"), "book_id").select(
+        "book_id", "title", F.explode(F.array_compact(entries)).alias("e")
+    ).select("book_id", "e.pos", "title", text.strip(F.col("e.label")).alias("label"))
     return labelled.where(text.is_toc_body(F.col("label"), F.col("title"))).select(
         "book_id", "pos", "label"
     )
@@ -309,9 +315,11 @@ def md_blocks(v: Views) -> DataFrame:
 
 _GATE_ROWS = f"""
     WITH g AS (SELECT book_id, pos, original, {s_tier('original')} AS tier,
-        CASE WHEN (book_id * 7 + pos) % 5 = 0 THEN ' ' WHEN pos % 4 = 2 THEN 'short'
-            WHEN book_id % 3 = 0 THEN translated || '=== [段落'
-            ELSE translated || translated END AS translated FROM segments),
+        translated FROM (
+            SELECT book_id, pos, original, CASE WHEN book_id % 3 = 0 THEN translated || '=== [段落'
+                ELSE translated || translated END AS translated FROM segments
+            UNION ALL SELECT book_id, pos + 300000, original, ' ' FROM segments WHERE (book_id * 7 + pos) % 5 = 0
+            UNION ALL SELECT book_id, pos + 400000, original, 'short' FROM segments WHERE pos % 4 = 2) s),
     r AS (SELECT *, length(original) AS n, length(translated) AS m,
         {s_strip('translated')} = '' AS blank, length(translated) / length(original) AS ratio FROM g),
     c AS (SELECT *, NOT blank AND CASE WHEN n <= 30 THEN m < 3
@@ -331,13 +339,20 @@ _GATE_ROWS = f"""
 
 
 def gate_rows(v: Views) -> DataFrame:
-    t = F.col("translated")
-    return v.segments.select(
-        "book_id", "pos", "original", text.tier(F.col("original")).alias("tier"),
-        F.when((F.col("book_id") * 7 + F.col("pos")) % 5 == 0, " ").when(F.col("pos") % 4 == 2, F.lit("short"))
-        .when(F.col("book_id") % 3 == 0, F.concat(t, F.lit("=== [段落")))
-        .otherwise(F.concat(t, t)).alias("translated"),
+    """Every answer, and beside some of them a blank and a short one."""
+    t, pos = F.col("translated"), F.col("pos")
+
+    def answer(at: Column, translated: Column) -> Column:
+        return F.struct(at.alias("pos"), translated.alias("translated"))
+
+    answers = F.array(
+        answer(pos, F.when(F.col("book_id") % 3 == 0, F.concat(t, F.lit("=== [段落"))).otherwise(F.concat(t, t))),
+        F.when((F.col("book_id") * 7 + pos) % 5 == 0, answer(pos + 300000, F.lit(" "))),
+        F.when(pos % 4 == 2, answer(pos + 400000, F.lit("short"))),
     )
+    return v.segments.select(
+        "book_id", "original", text.tier(F.col("original")).alias("tier"), F.explode(F.array_compact(answers)).alias("a")
+    ).select("book_id", "a.pos", "original", "tier", "a.translated")
 
 
 @query("segment_gate", _GATE_ROWS)
@@ -349,13 +364,20 @@ def segment_gate(v: Views) -> DataFrame:
 
 @query(
     "all_empty_books",
-    f"""SELECT book_id, count(*) AS n_fresh FROM segments GROUP BY book_id
-        HAVING bool_and(book_id % 3 = 0)""",
+    f"""WITH fresh AS (SELECT book_id, translated FROM segments
+            UNION ALL SELECT -1 - book_id, ' ' || chr(10) FROM segments WHERE book_id % 3 = 0)
+        SELECT book_id, count(*) AS n_fresh FROM fresh GROUP BY book_id
+        HAVING bool_and({s_strip('translated')} = '')""",
 )
 def all_empty_books(v: Views) -> DataFrame:
-    fresh = v.segments.select(
-        "book_id", F.lit(False).alias("is_duplicate"),
-        F.when(F.col("book_id") % 3 == 0, " \n").otherwise(F.col("translated")).alias("translated"),
+    """Every book as it is, and beside each third one a book whose run gave only blanks."""
+    book = F.col("book_id")
+    rows = F.array(
+        F.struct("book_id", "translated"),
+        F.when(book % 3 == 0, F.struct((-1 - book).alias("book_id"), F.lit(" \n").alias("translated"))),
+    )
+    fresh = v.segments.select(F.explode(F.array_compact(rows)).alias("r")).select(
+        "r.book_id", F.lit(False).alias("is_duplicate"), "r.translated"
     )
     return gates.all_empty_books(fresh)
 

@@ -83,13 +83,14 @@ SQL_VIEWS: dict[str, str] = {
     "paragraphs": f"""
         SELECT book_id, pos, {s_squeeze('line')} AS text FROM text_lines
         WHERE length({s_squeeze('line')}) >= 5""",
+    # Every paragraph whole; headings and captions stand beside them in rows of their own.
     "nodes": """
-        SELECT book_id, pos,
-            CASE WHEN pos % 11 = 0 THEN 'h1' WHEN pos % 7 = 3 THEN 'figcaption'
-                WHEN pos % 5 = 2 THEN 'li' ELSE 'p' END AS tag,
-            CASE WHEN pos % 11 = 0 THEN trim(substr(text, 1, 60))
-                WHEN pos % 7 = 3 THEN 'Figure ' || (pos % 3 + 1) ELSE text END AS text
-        FROM paragraphs""",
+        SELECT book_id, pos * 3 + 1 AS pos, CASE WHEN pos % 5 = 2 THEN 'li' ELSE 'p' END AS tag, text
+        FROM paragraphs
+        UNION ALL
+        SELECT book_id, pos * 3, 'h1', 'Chapter ' || (pos // 11 + 1) FROM paragraphs WHERE pos % 11 = 0
+        UNION ALL
+        SELECT book_id, pos * 3 + 2, 'figcaption', 'Figure ' || (pos % 3 + 1) FROM paragraphs WHERE pos % 7 = 3""",
     "segments": """
         SELECT u.conv_id AS book_id, u.turn AS pos, u.text AS original, a.text AS translated
         FROM conversations u JOIN conversations a
@@ -118,14 +119,14 @@ SQL_VIEWS: dict[str, str] = {
         FROM events""",
     "content_items": r"""
         SELECT page_id, regexp_replace(url, '[/\\]', '_', 'g') AS item_id, html FROM pages""",
-    # What a book's translation memory holds: each sixth answer is missing, each fifth blank,
-    # every second book is in the target script; each book adds two glossary entries.
+    # What a book's translation memory holds: all its answers, every second book's in the target
+    # script; a blank answer for each extra line of `sources` that has one, and two glossary entries.
     "memory": f"""
         SELECT book_id, pos, original,
-            CASE WHEN (book_id * 7 + pos) % 5 = 0 THEN '  '
-                WHEN book_id % 2 = 0 THEN {s_stand_in('translated')}
-                ELSE translated END AS translated
-        FROM segments WHERE (book_id * 7 + pos) % 6 <> 5
+            CASE WHEN book_id % 2 = 0 THEN {s_stand_in('translated')} ELSE translated END AS translated
+        FROM segments
+        UNION ALL
+        SELECT book_id, pos + 300000, 'Blank line ' || pos, '  ' FROM segments WHERE (book_id * 7 + pos) % 5 = 0
         UNION ALL
         SELECT book_id, pos + 100000,
             CASE book_id % 4 WHEN 0 THEN 'API ' WHEN 1 THEN 'Database' WHEN 2 THEN 'Server'
@@ -140,18 +141,23 @@ SQL_VIEWS: dict[str, str] = {
     "sources": """
         SELECT book_id, pos, CASE WHEN pos % 6 = 2 THEN '- ' || original
             ELSE '  ' || original END AS text
-        FROM segments""",
+        FROM segments
+        UNION ALL
+        SELECT book_id, pos + 300000, 'Blank line ' || pos FROM segments WHERE (book_id * 7 + pos) % 5 = 0
+        UNION ALL
+        SELECT book_id, pos + 400000, 'Missing line ' || pos FROM segments WHERE (book_id * 7 + pos) % 6 = 5""",
     "targets": f"""
         SELECT book_id, pos,
-            CASE WHEN (book_id * 7 + pos) % 5 = 0 THEN '  '
-                WHEN book_id % 3 = 0 THEN '  1. ' || {s_stand_in('translated')} || ' 15 inches $'
+            CASE WHEN book_id % 3 = 0 THEN '  1. ' || {s_stand_in('translated')} || ' 15 inches $'
                 WHEN book_id % 3 = 1 THEN {s_stand_in('translated')} || ' 12/05/2024, http '
                 ELSE translated END AS translated
-        FROM segments""",
-    # Finished books feed the shared memory.
+        FROM segments
+        UNION ALL
+        SELECT book_id, pos + 300000, '  ' FROM segments WHERE (book_id * 7 + pos) % 5 = 0""",
+    # Finished books feed the shared memory; captions have a blank answer.
     "tm": f"""
         SELECT md5(text) AS source_hash, text AS source_text,
-            CASE WHEN length(text) < 40 THEN ' ' ELSE {s_stand_in('text')} END AS translated_text
+            CASE WHEN starts_with(text, 'Figure ') THEN ' ' ELSE {s_stand_in('text')} END AS translated_text
         FROM (SELECT DISTINCT text FROM nodes JOIN books USING (book_id)
               WHERE status IN ('completed', 'published'))""",
     # Translated paragraphs of a book as its generator gets them, and the texts it looks up.
@@ -186,11 +192,11 @@ SQL_VIEWS: dict[str, str] = {
                 WHEN pos % 13 = 2 THEN '## ' || line || ' '
                 WHEN pos % 13 = 4 THEN '- *item* ' || line
                 WHEN pos % 13 = 5 THEN '> ' || line
-                WHEN pos % 13 = 6 THEN '```'
-                WHEN pos % 13 = 7 THEN '|a|b|'
-                WHEN pos % 13 = 8 THEN '|---|:-:|'
+                WHEN pos % 13 = 6 THEN '```' || chr(10) || line
+                WHEN pos % 13 = 7 THEN line || chr(10) || '|a|b|'
+                WHEN pos % 13 = 8 THEN '|---|:-:|' || chr(10) || line
                 WHEN pos % 13 = 9 THEN '| **x** | ' || line || ' |'
-                WHEN pos % 13 = 10 THEN '---'
+                WHEN pos % 13 = 10 THEN '---' || chr(10) || line
                 WHEN pos % 13 = 11 THEN '**bold** and `code` <br/> ' || line
                 WHEN pos % 13 = 12 THEN '### 1 ' || line
                 ELSE line END, chr(10) ORDER BY pos) AS md
@@ -275,15 +281,15 @@ class Views:
     @cached_property
     def nodes(self) -> DataFrame:
         pos = F.col("pos")
-        caption = F.concat(F.lit("Figure "), (pos % 3 + 1).cast("string"))
-        return self.paragraphs.select(
-            "book_id",
-            "pos",
-            F.when(pos % 11 == 0, "h1").when(pos % 7 == 3, "figcaption")
-            .when(pos % 5 == 2, "li").otherwise("p").alias("tag"),
-            F.when(pos % 11 == 0, F.trim(F.left("text", F.lit(60)))).when(pos % 7 == 3, caption)
-            .otherwise(F.col("text")).alias("text"),
-        )
+
+        def node(place: int, tag: Column, text: Column) -> Column:
+            return F.struct((pos * 3 + place).alias("pos"), tag.alias("tag"), text.alias("text"))
+
+        heading = node(0, F.lit("h1"), F.concat(F.lit("Chapter "), F.expr("pos div 11 + 1").cast("string")))
+        whole = node(1, F.when(pos % 5 == 2, "li").otherwise("p"), F.col("text"))
+        caption = node(2, F.lit("figcaption"), F.concat(F.lit("Figure "), (pos % 3 + 1).cast("string")))
+        rows = F.array_compact(F.array(F.when(pos % 11 == 0, heading), whole, F.when(pos % 7 == 3, caption)))
+        return self.paragraphs.select("book_id", F.explode(rows).alias("n")).select("book_id", "n.*")
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -358,9 +364,9 @@ class Views:
 
         held = entry(
             pos, F.col("original"),
-            F.when((book * 7 + pos) % 5 == 0, "  ").when(book % 2 == 0, stand_in(F.col("translated")))
-            .otherwise(F.col("translated")),
+            F.when(book % 2 == 0, stand_in(F.col("translated"))).otherwise(F.col("translated")),
         )
+        blank = entry(pos + 300000, F.concat(F.lit("Blank line "), pos.cast("string")), F.lit("  "))
         first = entry(
             pos + 100000,
             F.when(quarter == 0, "API ").when(quarter == 1, "Database")
@@ -373,28 +379,37 @@ class Views:
             .when(quarter == 2, " server").otherwise("Widget"),
             F.lit("模块"),
         )
-        entries = F.array_compact(F.array(F.when((book * 7 + pos) % 6 != 5, held), first, second))
+        entries = F.array_compact(F.array(held, F.when((book * 7 + pos) % 5 == 0, blank), first, second))
         return self.segments.select("book_id", F.explode(entries).alias("e")).select(
             "book_id", "e.*"
         )
 
     @cached_property
     def sources(self) -> DataFrame:
-        return self.segments.select(
-            "book_id", "pos",
-            F.concat(F.when(F.col("pos") % 6 == 2, "- ").otherwise("  "), "original").alias("text"),
+        book, pos = F.col("book_id"), F.col("pos")
+
+        def line(at: Column, text: Column) -> Column:
+            return F.struct(at.alias("pos"), text.alias("text"))
+
+        number = pos.cast("string")
+        rows = F.array(
+            line(pos, F.concat(F.when(pos % 6 == 2, "- ").otherwise("  "), "original")),
+            F.when((book * 7 + pos) % 5 == 0, line(pos + 300000, F.concat(F.lit("Blank line "), number))),
+            F.when((book * 7 + pos) % 6 == 5, line(pos + 400000, F.concat(F.lit("Missing line "), number))),
         )
+        return self.segments.select("book_id", F.explode(F.array_compact(rows)).alias("r")).select("book_id", "r.*")
 
     @cached_property
     def targets(self) -> DataFrame:
         third, made = F.col("book_id") % 3, stand_in(F.col("translated"))
-        return self.segments.select(
-            "book_id", "pos",
-            F.when((F.col("book_id") * 7 + F.col("pos")) % 5 == 0, "  ")
-            .when(third == 0, F.concat(F.lit("  1. "), made, F.lit(" 15 inches $")))
-            .when(third == 1, F.concat(made, F.lit(" 12/05/2024, http ")))
-            .otherwise(F.col("translated")).alias("translated"),
+        text = (
+            F.when(third == 0, F.concat(F.lit("  1. "), made, F.lit(" 15 inches $")))
+            .when(third == 1, F.concat(made, F.lit(" 12/05/2024, http "))).otherwise(F.col("translated"))
         )
+        pos = F.col("pos")
+        blank = F.struct((pos + 300000).alias("pos"), F.lit("  ").alias("translated"))
+        rows = F.array(F.struct("pos", text.alias("translated")), F.when((F.col("book_id") * 7 + pos) % 5 == 0, blank))
+        return self.segments.select("book_id", F.explode(F.array_compact(rows)).alias("r")).select("book_id", "r.*")
 
     @cached_property
     def finished_nodes(self) -> DataFrame:
@@ -407,7 +422,7 @@ class Views:
 
         entries = self.finished_nodes.select(
             "book_id", "pos", F.col("text").alias("original"),
-            F.when(F.length("text") < 40, " ").otherwise(stand_in(F.col("text")))
+            F.when(F.startswith("text", F.lit("Figure ")), " ").otherwise(stand_in(F.col("text")))
             .alias("translated"),
         )
         return build_memory(entries, ["book_id", "pos"])
@@ -442,11 +457,11 @@ class Views:
                 .when(way == 2, F.concat(F.lit("## "), line, F.lit(" ")))
                 .when(way == 4, F.concat(F.lit("- *item* "), line))
                 .when(way == 5, F.concat(F.lit("> "), line))
-                .when(way == 6, F.lit("```"))
-                .when(way == 7, F.lit("|a|b|"))
-                .when(way == 8, F.lit("|---|:-:|"))
+                .when(way == 6, F.concat(F.lit("```\n"), line))
+                .when(way == 7, F.concat(line, F.lit("\n|a|b|")))
+                .when(way == 8, F.concat(F.lit("|---|:-:|\n"), line))
                 .when(way == 9, F.concat(F.lit("| **x** | "), line, F.lit(" |")))
-                .when(way == 10, F.lit("---"))
+                .when(way == 10, F.concat(F.lit("---\n"), line))
                 .when(way == 11, F.concat(F.lit("**bold** and `code` <br/> "), line))
                 .when(way == 12, F.concat(F.lit("### 1 "), line))
                 .otherwise(line)

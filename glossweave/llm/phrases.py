@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+from pandas.util import hash_array
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _hashes(values: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) for v in values], np.uint64)
+    return hash_array(np.array(values, object), categorize=False)
 
 
 def longer_by(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -77,8 +77,9 @@ class Words:
         )
         coded = values.dictionary_encode()
         self.words, self.code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        text = np.searchsorted(begins, at, side="right") - 1
-        self.language = languages[text]
+        held = np.diff(np.append(np.searchsorted(at, begins), self.size))
+        text = np.repeat(np.arange(len(begins)), held)
+        self.language = np.repeat(languages, held)
         breaks = np.cumsum(kind == BREAK, dtype=np.int32)[at]
         # beside[i]: words i and i + 1 stand in one piece of one text.
         self.beside = np.append((breaks[1:] == breaks[:-1]) & (text[1:] == text[:-1]), False)[: self.size]
@@ -110,26 +111,33 @@ def counted(
         )
 
     # Each language's words: their number, hash and whether they have reached the threshold.
-    key, number, count = np.unique(found.language * many + found.code, return_inverse=True, return_counts=True)
-    language, word = key // many, key % many
-    first = longer_by(_hashes(names)[language], word_hash[word])
+    key, size = found.language * many + found.code, len(names) * many
+    if size <= 8 * found.size:
+        total = np.bincount(key, minlength=size)
+        at = present = np.flatnonzero(total)
+        count = total[present]
+    else:
+        present, key, count = np.unique(key, return_inverse=True, return_counts=True)
+        at, size = np.arange(len(present)), len(present)
+    language, word = present // many, present % many
+    hash_of, bits_of = np.zeros(size, np.uint64), np.zeros(size, np.uint32)
+    hash_of[at] = longer_by(_hashes(names)[language], word_hash[word])
+    bits_of[at] = marked_in(reached, hash_of[at])
     if step < shards:
-        yield batch(language, found.words.take(pa.array(word)), 1, first, count)
+        yield batch(language, found.words.take(pa.array(word)), 1, hash_of[at], count)
         total = np.bincount(found.language, minlength=len(names))
         yield batch(np.flatnonzero(total), pa.array([""] * int((total > 0).sum())), 0, None, total[total > 0])
-    positions, hashes, bits = np.arange(found.size), first[number], marked_in(reached, first)[number]
+    bits, positions, hashes = bits_of[key], None, None
     for length in range(2, longest + 1):
-        # hashes and bits are those of the phrases one word shorter that begin at `positions`.
-        at = np.full(found.size + 1, -1)
-        at[positions] = np.arange(len(positions))
-        follows = at[positions + 1]
-        good = (bits != 0) & (follows >= 0) & found.beside[np.minimum(positions + length - 2, found.size - 1)]
-        good &= bits[follows] != 0
-        if not good.any():
+        # bits and hashes are those of the phrases one word shorter that begin at `positions`.
+        beside = found.beside[:-1] if positions is None else positions[1:] == positions[:-1] + 1
+        good = np.flatnonzero(beside & (bits[:-1] != 0) & (bits[1:] != 0))
+        if not len(good):
             return
-        either = (bits | bits[follows])[good]
-        positions = positions[good]
-        hashes = longer_by(hashes[good], word_hash[found.code[positions + length - 1]])
+        either = bits[good] | bits[good + 1]
+        shorter = hash_of[key[good]] if positions is None else hashes[good]
+        positions = good if positions is None else positions[good]
+        hashes = longer_by(shorter, word_hash[found.code[positions + length - 1]])
         eligible = (either >> last_open) != 0
         if eligible.any():
             values, count = np.unique(hashes[eligible], return_counts=True)

@@ -8,17 +8,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from glossweave.functions.names import link_words
-from glossweave.functions.similarity import CONTAINED
+from glossweave.functions.similarity import CONTAINED, matching_ratio
 from glossweave.functions.text import strip
+from glossweave.session import cut
 
 MIN_SCORE = 0.5
 #: Texts of at least so many letters are looked for by a part of that length.
 GRAM = 6
 SLICE_LINKS = 5_000
 SLICE_TITLES = 100_000
-_FOUND = "link_id long, score double, created_seq long, book_id long"
+#: Bands of titles: lengths grow by this factor from one to the next, and the shares of
+#: BAND_GROUPS groups of letters are told apart in steps of 1 / BAND_STEPS.
+BAND_GROWTH = 1.2
+BAND_GROUPS = 3
+BAND_STEPS = 8
+#: Letters are counted in so many groups, by code point.
+LETTER_GROUPS = 32
+_FOUND = "link_key string, score double, created_seq long, book_id long"
 
 
 class _Letters:
@@ -80,28 +90,26 @@ def _best_in(
     return (best, at) if at >= 0 and best >= floor else None
 
 
-def _match_cell(floor: float):
-    """Best title per link inside one cell of the grid."""
+def _match_cell(links: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
+    """Best title per link inside one cell, at least as good as the link's floor."""
+    keys = titles["title_key"].tolist()
+    ids, seqs = titles["book_id"].tolist(), titles["created_seq"].tolist()
+    ranks = [(-s, i) for s, i in zip(seqs, ids)]
+    letters = _Letters(keys)
+    wanted, floors = links["link_key"].tolist(), links["floor"].tolist()
+    link_letters = _Letters(wanted)
+    rows = []
+    for n, link in enumerate(wanted):
+        best = _best_in(link, link_letters.counts[n], keys, letters, floors[n], ranks)
+        if best:
+            rows.append((link, best[0], seqs[best[1]], ids[best[1]]))
+    return pd.DataFrame(rows, columns=["link_key", "score", "created_seq", "book_id"])
 
-    def match(links: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
-        keys = titles["title_key"].tolist()
-        ids, seqs = titles["book_id"].tolist(), titles["created_seq"].tolist()
-        ranks = [(-s, i) for s, i in zip(seqs, ids)]
-        letters = _Letters(keys)
-        wanted = links["link_key"].tolist()
-        link_letters = _Letters(wanted)
-        rows = []
-        for n, link_id in enumerate(links["link_id"].tolist()):
-            best = _best_in(wanted[n], link_letters.counts[n], keys, letters, floor, ranks)
-            if best:
-                rows.append((link_id, best[0], seqs[best[1]], ids[best[1]]))
-        return pd.DataFrame(rows, columns=["link_id", "score", "created_seq", "book_id"])
 
-    return match
-
-
-def _slice_count(rows: int, size: int, wanted: int) -> int:
-    return max(-(-rows // size), min(wanted, rows // 64 + 1), 1)
+@pandas_udf(ArrayType(IntegerType()))
+def _letter_counts(texts: pd.Series) -> pd.Series:
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    return pd.Series([np.bincount(c % LETTER_GROUPS, minlength=LETTER_GROUPS) for c in codes])
 
 
 def _parts(text: Column, size: Column | int) -> Column:
@@ -147,7 +155,7 @@ def _best(found: DataFrame, key: str) -> DataFrame:
 
 
 def keyed_matches(keyed: DataFrame, newest: DataFrame) -> DataFrame:
-    """Best equal or containing or contained title per link: `(link_id, score, …)`.
+    """Best equal or containing or contained title per key: `(link_key, score, …)`.
 
     Equal texts meet by key. A text of fewer than GRAM letters meets the small parts of the
     others; where many titles hold one small link, only the best of them is kept before the
@@ -178,31 +186,154 @@ def keyed_matches(keyed: DataFrame, newest: DataFrame) -> DataFrame:
         .select("link_key", *contained)
     )
     found = equal.unionByName(small_titles).unionByName(titles_in)
-    found = _best(found.unionByName(small_links).unionByName(links_in), "link_key")
-    return keyed.join(found, "link_key").select("link_id", "score", "created_seq", "book_id")
+    return _best(found.unionByName(small_links).unionByName(links_in), "link_key")
+
+
+def _seeds(wanted: DataFrame, newest: DataFrame) -> DataFrame:
+    """The score of one promising title per link: `(link_key, seed)`.
+
+    Each gram of the titles stands for two of them (by number, so that the aggregate holds no
+    text); of those that a link's grams name, the one named most often is scored. It is a real
+    score of a real title, so the best one can't be lower, whichever title was picked.
+    """
+
+    def grams(df: DataFrame, key: str, *more: str) -> DataFrame:
+        long = df.where(F.length(key) >= GRAM)
+        return long.select(*more, F.explode(F.array_distinct(_parts(F.col(key), GRAM))).alias("_gram"))
+
+    named = grams(newest, "title_key", "book_id").groupBy("_gram").agg(
+        F.min("book_id").alias("_lo"), F.max("book_id").alias("_hi")
+    )
+    picked = (
+        grams(wanted, "link_key", "link_key")
+        .join(named, "_gram")
+        .select("link_key", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("book_id"))
+        .groupBy("link_key", "book_id")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy("link_key")
+        .agg(F.max_by("book_id", F.struct("_n", "book_id")).alias("book_id"))
+    )
+    link, title = F.col("link_key"), F.col("title_key")
+    held = F.contains(link, title) | F.contains(title, link)
+    score = F.when(held, F.lit(CONTAINED)).otherwise(matching_ratio(link, title))
+    scored = picked.join(newest, "book_id").select("link_key", score.alias("seed"))
+    return scored.groupBy("link_key").agg(F.max("seed").alias("seed"))
+
+
+def _counted(df: DataFrame, key: str) -> DataFrame:
+    """Texts that have letters, with their length and counts of letters by group."""
+    return df.where(F.length(key) > 0).select(
+        "*", F.length(key).alias("_length"), _letter_counts(F.col(key)).alias("_counts")
+    )
+
+
+def _length_band(length: Column) -> Column:
+    return F.floor(F.log(length) / F.log(F.lit(BAND_GROWTH))).cast("int")
+
+
+def _banded(newest: DataFrame) -> DataFrame:
+    """Titles with their band: one whole number made of a length band and letter shares."""
+    titles = _counted(newest, "title_key")
+    band = _length_band(F.col("_length")).cast("long")
+    for group in range(BAND_GROUPS):
+        own = [F.element_at("_counts", g + 1) for g in range(group, LETTER_GROUPS, BAND_GROUPS)]
+        share = F.floor(sum(own[1:], own[0]) * BAND_STEPS / F.col("_length"))
+        band = band * (BAND_STEPS + 1) + share
+    return titles.withColumn("band", band).withColumn("_long", _length_band(F.col("_length")))
+
+
+def _bands(titles: DataFrame, slice_titles: int) -> DataFrame:
+    """A row per band: how many titles, their shortest, and the most of each letter group."""
+    most = [F.max(F.element_at("_counts", g + 1)) for g in range(LETTER_GROUPS)]
+    return titles.groupBy("_long", "band").agg(
+        F.count(F.lit(1)).alias("titles"),
+        F.min("_length").alias("_shortest"),
+        F.array(*most).alias("_most"),
+    ).withColumn("_cols", F.ceil(F.col("titles") / slice_titles).cast("int"))
+
+
+def reachable_bands(
+    wanted: DataFrame, titles: DataFrame, slice_titles: int = SLICE_TITLES
+) -> DataFrame:
+    """Bands that may hold a title as good as a link's floor: `(link_key, floor, band, …)`.
+
+    `wanted` holds `(link_key, floor)`, `titles` comes from `_banded`. Twice the letters that
+    link and band can share, over the least sum of lengths, is no less than any ratio in the
+    band. Lengths alone leave a range of length bands, which is the key of the join. The table
+    of bands is small whatever the data: no more than 118 lengths (strings end at 2^31) times
+    (BAND_STEPS + 1) ** BAND_GROUPS, some 86 000 rows at the very most, so it is sent to all.
+    """
+    links = _counted(wanted, "link_key")
+    floor, length = F.col("floor"), F.col("_length")
+    # Float rounding may put a border off by one; a band more on both sides is harmless.
+    first = F.greatest(_length_band(F.greatest(length * floor / (2 - floor), F.lit(1.0))) - 1, F.lit(0))
+    last = _length_band(length * (2 - floor) / floor) + 1
+    near = links.select("*", F.explode(F.sequence(first, last)).alias("_long"))
+    met = near.join(F.broadcast(_bands(titles, slice_titles)), "_long")
+    least = F.zip_with("_counts", "_most", lambda a, b: F.least(a, b))
+    shared = F.aggregate(least, F.lit(0), lambda total, n: total + n)
+    bound = F.lit(2.0) * shared / (length + F.col("_shortest"))
+    return met.withColumn("bound", bound).where(F.col("bound") >= floor).select(
+        "link_key", "floor", "band", "bound", "titles", "_cols"
+    )
 
 
 def _fuzzy_matches(
-    keyed: DataFrame, newest: DataFrame, floor: float, slice_links: int, slice_titles: int
+    wanted: DataFrame, newest: DataFrame, slice_links: int, slice_titles: int
 ) -> DataFrame:
-    """Best title of every cell of the grid of links and titles."""
-    tasks = keyed.sparkSession.sparkContext.defaultParallelism
-    n_links = _slice_count(keyed.count(), slice_links, 1)
-    n_titles = _slice_count(newest.count(), slice_titles, tasks)
-    left = keyed.select(
-        "*",
-        F.pmod(F.xxhash64("link_id"), F.lit(n_links)).alias("_row"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_titles - 1).cast("long"))).alias("_col"),
+    """Best title of every cell: a band's titles and the links that may find one there.
+
+    Bands with many titles or links are cut into slices of bounded size that all meet.
+    """
+    titles = _banded(newest)
+    met = cut(reachable_bands(wanted, titles, slice_titles))
+    # One row per band, which is bounded as in `reachable_bands`.
+    grid = met.groupBy("band").agg(
+        F.ceil(F.count(F.lit(1)) / slice_links).cast("int").alias("_rows"), F.max("_cols").alias("_cols")
     )
-    right = newest.select(
-        "*",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_links - 1).cast("long"))).alias("_row"),
-        F.pmod(F.xxhash64("title_key"), F.lit(n_titles)).alias("_col"),
+
+    def slice_of(key: str, slices: Column) -> Column:
+        return F.pmod(F.xxhash64(key), slices).cast("int")
+
+    def all_of(slices: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), slices - 1))
+
+    rows, cols = F.col("_rows"), F.col("_cols")
+    left = met.drop("_cols").join(F.broadcast(grid), "band").select(
+        "band", "link_key", "floor", slice_of("link_key", rows).alias("_row"), all_of(cols).alias("_col")
+    )
+    right = titles.select("band", "title_key", "book_id", "created_seq").join(F.broadcast(grid), "band").select(
+        "band", "title_key", "book_id", "created_seq",
+        slice_of("title_key", cols).alias("_col"), all_of(rows).alias("_row"),
     )
+    cell = ["band", "_row", "_col"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_match_cell, _FOUND)
+
+
+def _newest(books: DataFrame) -> DataFrame:
+    """Completed books by folded title, of equal titles the newest: `(title_key, book_id, …)`."""
+    titled = books.where(F.col("status") == "completed").select(
+        "book_id", "created_seq", F.lower(F.coalesce("title", F.lit(""))).alias("title_key")
+    ).withColumn("title_key", strip(F.col("title_key")))
+    return titled.groupBy("title_key").agg(
+        F.max_by("book_id", F.struct("created_seq", -F.col("book_id"))).alias("book_id"),
+        F.max("created_seq").alias("created_seq"),
+    )
+
+
+def _floors(keyed: DataFrame, newest: DataFrame, found: DataFrame, floor: float) -> DataFrame:
+    """What a fuzzy title must reach for each link without an equal one: `(link_key, floor)`.
+
+    That is the best score known without comparing all: of a keyed match or of a seed.
+    """
+    unequal = keyed.select("link_key").distinct().join(
+        newest, F.col("link_key") == F.col("title_key"), "left_anti"
+    )
+    known = found.select("link_key", F.col("score").alias("_keyed"))
     return (
-        left.groupBy("_row", "_col")
-        .cogroup(right.groupBy("_row", "_col"))
-        .applyInPandas(_match_cell(floor), _FOUND)
+        unequal.join(known, "link_key", "left")
+        .join(_seeds(unequal, newest), "link_key", "left")
+        .select("link_key", F.greatest(F.lit(floor), "_keyed", "seed").alias("floor"))
     )
 
 
@@ -212,31 +343,26 @@ def match_links(
 ) -> DataFrame:
     """Best completed book per link: `(links.*, score, book_id, title)`.
 
-    `links` holds `(link_id, filename)`. Equality and containment are found by keys (see
-    `keyed_matches`); `fuzzy=False` stops there. No key can rule out a fuzzy match, so every
-    link without an equal title has to meet every title, but no pair becomes a row: equal
-    titles are folded to their newest book, links and titles are hashed into slices of
-    bounded size, and a task compares one slice with one slice and gives back one winner per
-    link. Upper bounds from letter counts skip most ratio computations without changing the
-    result.
+    `links` holds `(link_id, filename)`; `floor` is above 0. Equality and containment are found
+    by keys (see `keyed_matches`); `fuzzy=False` stops there. For the rest equal links fold
+    into one, equal titles into their newest book. Titles are filed in bands by length and
+    letter shares; a link meets the bands whose upper bound reaches the best score it has
+    already, from a keyed match or from one promising title, and by an equi-join on the band.
+    Inside a cell of bounded size upper bounds skip most ratios. Nothing that could win is
+    left out. Links without a good title still meet many bands: their floor rules out little.
     """
-    titled = books.where(F.col("status") == "completed").select(
-        "book_id", "created_seq", F.lower(F.coalesce("title", F.lit(""))).alias("title_key")
-    ).withColumn("title_key", strip(F.col("title_key")))
-    newest = titled.groupBy("title_key").agg(
-        F.max_by("book_id", F.struct("created_seq", -F.col("book_id"))).alias("book_id"),
-        F.max("created_seq").alias("created_seq"),
-    )
+    newest = _newest(books)
     keyed = links.where(F.length(F.coalesce("filename", F.lit(""))) > 0).select(
         "link_id", link_words(F.col("filename")).alias("link_key")
     )
-    found = keyed_matches(keyed, newest).where(F.col("score") >= floor)
+    found = keyed_matches(keyed, newest)
     if fuzzy:
-        unequal = keyed.join(newest, F.col("link_key") == F.col("title_key"), "left_anti")
-        found = found.unionByName(
-            _fuzzy_matches(unequal, newest, floor, slice_links, slice_titles)
-        )
-    best = _best(found, "link_id").select("link_id", "book_id", "score")
+        # Read by the floors and by the choice at the end.
+        found = cut(found)
+        wanted = _floors(keyed, newest, found, floor)
+        found = found.unionByName(_fuzzy_matches(wanted, newest, slice_links, slice_titles))
+    best = _best(found.where(F.col("score") >= floor), "link_key")
+    best = keyed.join(best, "link_key").select("link_id", "book_id", "score")
     titles = books.select("book_id", "title")
     return links.join(best.join(titles, "book_id"), "link_id", "left")
 

@@ -1,8 +1,10 @@
 """Memory, alignment, catalog, ledger, gate, links and translation on small tables."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from glossweave.operators import align, catalog, chapters, gate, ledger, links, memory
@@ -241,6 +243,59 @@ def test_link_matching_is_exact(spark):
         assert at is None or abs(row.score - best) < 1e-12
 
 
+def test_link_bands_lose_nothing(spark):
+    """Against all pairs: any script, near misses, links with and without a good title."""
+    rng = random.Random(11)
+    letters = ["abcdefgh", "mnopqrstuv", "αβγδεζηθ", "书的数据分析指南", "xyz 0123456789"]
+    titles = [
+        "".join(rng.choices(rng.choice(letters) + " ", k=rng.choice([1, 3, 9, 14, 30, 80]))).strip()
+        for _ in range(150)
+    ]
+    titles += [titles[3], titles[7] + "!"]
+    names = []
+    for title in titles[::3]:
+        changed = list(title)
+        for _ in range(rng.randint(0, 4)):
+            if changed:
+                changed[rng.randrange(len(changed))] = rng.choice("abcβ书x")
+        names.append("".join(changed))
+    names += ["".join(rng.choices("".join(letters), k=20)) for _ in range(20)] + [None, "", "__", names[0]]
+    books = [(n, t, "completed", n % 40) for n, t in enumerate(titles)]
+    books += [(900, None, "pending", 1), (901, titles[5] + "x", "failed", 99)]
+    link_df = spark.createDataFrame(list(enumerate(names)), "link_id long, filename string")
+    book_df = spark.createDataFrame(books, "book_id long, title string, status string, created_seq long")
+    got = {r.link_id: r for r in links.match_links(link_df, book_df, slice_links=5, slice_titles=3).collect()}
+    assert sorted(got) == list(range(len(names)))
+    done = [(b, t.lower().strip(), seq) for b, t, status, seq in books if status == "completed"]
+    for link_id, name in enumerate(names):
+        key = re.sub(r"[_\-.]+", " ", (name or "").lower()).strip()
+        scores = [(_score(key, t), seq, -b) for b, t, seq in done] if name else []
+        best = max([s for s in scores if s[0] >= 0.5], default=None)
+        row = got[link_id]
+        assert (row.book_id, row.score) == ((-best[2], pytest.approx(best[0])) if best else (None, None)), row
+
+    newest = links._newest(book_df)
+    keyed = link_df.where(F.length("filename") > 0).select("link_id", F.lower("filename").alias("link_key"))
+    wanted = links._floors(keyed, newest, links.keyed_matches(keyed, newest), 0.5)
+    met = links.reachable_bands(wanted, links._banded(newest)).collect()
+    assert met and all(r.bound >= r.floor for r in met)
+    # Pairs that meet, of all pairs.
+    assert sum(r.titles for r in met) < 0.5 * wanted.count() * newest.count()
+
+
+@pytest.mark.parametrize("empty", ["links", "books"])
+def test_links_of_empty_tables(spark, empty):
+    link_df = spark.createDataFrame([(1, "deep_work.epub")], "link_id long, filename string")
+    book_df = spark.createDataFrame(
+        [(1, "deep work", "completed", 1)], "book_id long, title string, status string, created_seq long"
+    )
+    if empty == "links":
+        assert links.match_links(link_df.limit(0), book_df).collect() == []
+    else:
+        (row,) = links.match_links(link_df, book_df.limit(0)).collect()
+        assert (row.book_id, row.score) == (None, None)
+
+
 def test_cover_order(spark):
     rows = [("a", "x.jpg", 5, 0, "i1", None, "i1"), ("a", "y.jpg", 9, 1, "i2", "cover-image", "i1"),
             ("b", "x.jpg", 5, 0, "i1", None, None), ("b", "y.png", 5, 1, "i2", "svg cover-image", None),

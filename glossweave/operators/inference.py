@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave import schemas
@@ -19,11 +19,22 @@ from glossweave.session import cut
 Model = Callable[[str], str]
 
 
+_ANSWERS = "prompt_hash string, answer string, error string"
+
+
+def _ask(model: Model, prompt: str) -> tuple[str | None, str | None]:
+    """The reply and the error of one call; one of them is null, or both if nothing came."""
+    try:
+        return model(prompt), None
+    except Exception as failure:
+        return None, f"{type(failure).__name__}: {failure}"
+
+
 def call_model(
     rows: DataFrame, keys: list[str], model: Model, prompt: str, reply: str = "reply",
-    tasks: int | None = None,
+    tasks: int | None = None, error: str = "error",
 ) -> DataFrame:
-    """Send each row's prompt to the model; a call that fails gives a null reply.
+    """Send each row's prompt to the model; a call that fails gives a null reply and its error.
 
     Calls are slow and rows are small, so rows are spread by their whole key over a fixed
     number of tasks (the shuffle partitions unless given); left to the size rule, many
@@ -34,29 +45,76 @@ def call_model(
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            replies = []
-            for text in frame[prompt]:
-                try:
-                    replies.append(model(text))
-                except Exception:
-                    replies.append(None)
+            made = [_ask(model, text) for text in frame[prompt]]
             out = frame.copy()
-            out[reply] = pd.Series(replies, index=frame.index, dtype=object)
+            out[reply] = pd.Series([m[0] for m in made], index=frame.index, dtype=object)
+            out[error] = pd.Series([m[1] for m in made], index=frame.index, dtype=object)
             yield out
 
-    return rows.repartition(tasks, *keys).mapInPandas(call, f"{schema}, `{reply}` string")
+    return rows.repartition(tasks, *keys).mapInPandas(call, f"{schema}, `{reply}` string, `{error}` string")
+
+
+def call_model_once(
+    rows: DataFrame, model: Model, prompt: str, answers: str, step: str, reply: str = "reply",
+    tasks: int | None = None, rounds: int = 4, error: str = "error",
+) -> DataFrame:
+    """As `call_model`, with every answer written to the table `answers` before it is used.
+
+    `answers` is a Parquet folder all executors share, for one model; it is made when missing
+    and only ever added to. Its key is the hash of `step` and prompt: a prompt answered there
+    is not sent again, whichever run or attempt sent it, and equal prompts of one step are sent
+    once. A later step may ask the same again. Different prompts go in `rounds` slices of their
+    hashes, each a job of its own whose answers stay when a later one fails; of the slice
+    that fails, all calls are repeated. Calls that failed or gave nothing are stored with
+    their error for the record and sent again by the next run. Rows without a prompt (null)
+    are not sent.
+    """
+    spark = rows.sparkSession
+    spark.createDataFrame([], _ANSWERS).write.mode("append").parquet(answers)
+    hashed = rows.withColumn("_hash", F.sha2(F.concat(F.lit(step + "\n"), prompt), 256))
+    asked = cut(
+        hashed.where(F.col(prompt).isNotNull())
+        .groupBy(F.col("_hash").alias("prompt_hash")).agg(F.first(prompt).alias("_prompt"))
+        .join(_stored(spark, answers).where(F.col("answer").isNotNull()), "prompt_hash", "left_anti")
+    )
+    for n in range(rounds):
+        part = asked.where(F.pmod(F.xxhash64("prompt_hash"), F.lit(rounds)) == n)
+        made = call_model(part, ["prompt_hash"], model, "_prompt", "answer", tasks)
+        made.select("prompt_hash", "answer", "error").write.mode("append").parquet(answers)
+    # Read here and now: files that later steps add to the folder don't change this result.
+    own = hashed.select(F.col("_hash").alias("prompt_hash")).distinct()
+    got = cut(_stored(spark, answers).join(own, "prompt_hash", "left_semi"))
+    got = got.select(
+        F.col("prompt_hash").alias("_hash"), F.col("answer").alias(reply),
+        F.when(F.col("answer").isNull(), F.col("error")).alias(error),
+    )
+    return hashed.join(got, "_hash", "left").drop("_hash")
+
+
+def _stored(spark: SparkSession, answers: str) -> DataFrame:
+    """A row per prompt of the table; runs side by side may have stored two answers."""
+    rows = spark.read.schema(_ANSWERS).parquet(answers)
+    return rows.groupBy("prompt_hash").agg(F.min("answer").alias("answer"), F.max("error").alias("error"))
 
 
 def translate_fresh(
     paragraphs: DataFrame, model: Model, instruction: str = "{content}",
-    limit: int = P.BATCH_CHARS,
+    limit: int = P.BATCH_CHARS, answers: str | None = None,
 ) -> DataFrame:
     """Translate `(book_id, pos, text, tier)` rows that are no duplicates.
 
     Short and normal paragraphs go in numbered batches, long ones alone. A batch without a
     readable reply is sent again one by one. Results are cut off from their lineage after
-    every round of calls, so no call is made twice.
+    every round of calls, so that no later step repeats them; a task that is retried does.
+    With the folder `answers` a rerun sends only what is not answered there (see
+    `call_model_once`). `error` is what the last call of a row without an answer gave.
     """
+
+    def call(rows: DataFrame, by: list[str], prompt: str, reply: str, step: str) -> DataFrame:
+        if answers is None:
+            return cut(call_model(rows, by, model, prompt, reply))
+        return call_model_once(rows, model, prompt, answers, step, reply)
+
     keys = ["book_id", "tier", "batch_no"]
     grouped = paragraphs.where(F.col("tier") != schemas.TIER_LONG)
     numbers = char_batches(
@@ -69,7 +127,7 @@ def translate_fresh(
     prompts = compose(numbered, keys, "pos").withColumn(
         "prompt", F.replace(F.lit(instruction), F.lit("{content}"), F.col("prompt"))
     )
-    replies = cut(call_model(prompts.select(*keys, "prompt"), keys, model, "prompt"))
+    replies = call(prompts.select(*keys, "prompt"), keys, "prompt", "reply", "batch")
     answered = replies.where(F.coalesce("reply", F.lit("")).rlike(rf"\[{P.DIGIT}+\]"))
     parsed = parse_replies(answered, keys)
     # The first item of a batch stands for its call, so calls add up over any grouping.
@@ -79,7 +137,7 @@ def translate_fresh(
         .join(parsed, [*keys, "item_no"], "left")
         .select(
             "book_id", "pos", "text", "tier", F.coalesce("translated", F.lit("")).alias("translated"),
-            opens.alias("calls"),
+            opens.alias("calls"), F.lit(None).cast("string").alias("error"),
         )
     )
     unanswered = numbered.join(answered.select(*keys), keys, "left_anti").select(
@@ -88,25 +146,17 @@ def translate_fresh(
     alone = paragraphs.where(F.col("tier") == schemas.TIER_LONG).select(
         "book_id", "pos", "text", "tier", F.lit(1).alias("calls")
     )
-    single = cut(
-        call_model(
-            alone.unionByName(unanswered), ["book_id", "pos"], model, "text", "translated"
-        )
-    )
+    single = call(alone.unionByName(unanswered), ["book_id", "pos"], "text", "translated", "single")
     checked = gate(
         done.unionByName(single).withColumnRenamed("text", "original")
     )
-    return retry(checked, model)
+    back = checked.where(F.col("action") == "retry").select("book_id", "pos", "original")
+    again = call(back, ["book_id", "pos"], "original", "again", "retry")
+    return retried(checked, again.withColumnRenamed("error", "_again_error"))
 
 
-def retry(checked: DataFrame, model: Model) -> DataFrame:
-    """One more call for the rows the gate sends back; see `accept_retry`."""
-    again = cut(
-        call_model(
-            checked.where(F.col("action") == "retry").select("book_id", "pos", "original"),
-            ["book_id", "pos"], model, "original", "again",
-        )
-    )
+def retried(checked: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows with what one more call gave for those the gate sent back; see `accept_retry`."""
     new = F.col("again")
     accepted = accept_retry(F.col("translated"), new)
     return checked.join(again.drop("original"), ["book_id", "pos"], "left").select(
@@ -119,4 +169,5 @@ def retry(checked: DataFrame, model: Model) -> DataFrame:
             | ((F.col("action") == "retry") & ~accepted)
         ).alias("failed"),
         (F.col("calls") + (F.col("action") == "retry").cast("int")).alias("calls"),
+        F.coalesce("_again_error", "error").alias("error"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossweave import schemas
+from glossweave.functions.text import is_blank
 from glossweave.operators.gate import all_empty_books
 from glossweave.operators.inference import Model, translate_fresh
 from glossweave.operators.memory import lookup, upsert
@@ -17,18 +18,21 @@ from glossweave.session import cut
 
 @dataclass
 class TranslationRun:
-    segments: DataFrame  # every paragraph with its translation and where it came from
+    segments: DataFrame  # every paragraph of the other books with its translation and origin
     memory: DataFrame  # new memory snapshot
-    failed_books: DataFrame  # books that came back all blank
+    failed_books: DataFrame  # books that came back all blank: no segments, nothing learned
 
 
 def translate_books(
     paragraphs: DataFrame, memory: DataFrame, model: Model, use_memory: bool = True,
+    answers: str | None = None,
 ) -> TranslationRun:
     """Tier and fold repeats, look up the memory, translate the rest, spread to repeats.
 
     `paragraphs` holds `(book_id, pos, text)`. Repeats of a short text follow their first
-    occurrence, whether that came from the memory or from the model.
+    occurrence, whether that came from the memory or from the model. A book whose new
+    translations are all blank is stopped: it is in `failed_books`, gives no segments and
+    teaches nothing. With the folder `answers` a rerun repeats no answered call.
     """
     marked = mark_repeats(paragraphs, "book_id", "pos")
     originals = marked.where(~F.col("is_duplicate"))
@@ -40,13 +44,14 @@ def translate_books(
         )
     # Everything below reads this table, some of it several times.
     known = cut(known)
+    no_error = F.lit(None).cast("string").alias("error")
     cached = known.where("hit").select(
         "book_id", "pos", F.col("text").alias("original"), "translated", "tier",
         F.lit("memory").alias("origin"), F.lit(False).alias("failed"),
-        F.lit("ok").alias("action"), F.lit(0).alias("calls"),
+        F.lit("ok").alias("action"), F.lit(0).alias("calls"), no_error,
     )
     fresh = translate_fresh(
-        known.where(~F.col("hit")).select("book_id", "pos", "text", "tier"), model
+        known.where(~F.col("hit")).select("book_id", "pos", "text", "tier"), model, answers=answers
     ).withColumn("origin", F.lit("model"))
     empty = all_empty_books(
         fresh.select(
@@ -66,11 +71,12 @@ def translate_books(
     ).select(
         "book_id", "pos", F.col("text").alias("original"), "translated", "tier",
         F.lit("repeat").alias("origin"), "failed", F.lit("ok").alias("action"),
-        F.lit(0).alias("calls"),
+        F.lit(0).alias("calls"), no_error,
     )
-    segments = done.unionByName(copied)
+    segments = done.unionByName(copied).join(empty, "book_id", "left_anti")
     # The model's word goes to the memory, not the original kept in its place.
-    learned = fresh.where(F.col("action") != "keep_original").select(
+    given = (F.col("action") != "keep_original") & ~is_blank(F.col("translated"))
+    learned = fresh.where(given).join(empty, "book_id", "left_anti").select(
         F.col("original").alias("source_text"), F.col("translated").alias("translated_text"),
         F.struct("book_id", "pos").alias("place"),
     )

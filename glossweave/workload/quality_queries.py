@@ -217,6 +217,43 @@ def translate_books(v: Views) -> DataFrame:
     )
 
 
+@query(
+    "translate_memory",
+    f"""WITH {_RUN},
+        new AS (SELECT DISTINCT text FROM looked WHERE NOT hit AND NOT is_duplicate)
+        SELECT coalesce(t.source_hash, md5(n.text)) AS source_hash,
+            coalesce(t.source_text, n.text) AS source_text,
+            CASE WHEN n.text IS NULL THEN t.translated_text ELSE '译：' || n.text END AS translated_text,
+            CASE WHEN n.text IS NULL THEN 'kept' WHEN t.source_hash IS NULL THEN 'inserted' ELSE 'updated' END AS change
+        FROM tm t FULL JOIN new n ON n.text = t.source_text""",
+)
+def translate_memory(v: Views) -> DataFrame:
+    """The memory after a run: what was held, with what the model was asked for."""
+    return translate(v.nodes.select("book_id", "pos", "text"), v.tm, stub_model).memory
+
+
+def faulty_model(prompt: str) -> str:
+    """As `stub_model`, but a prompt with this letter fails; a batch then goes one by one."""
+    if "W" in prompt:
+        raise ValueError("refused")
+    return stub_model(prompt)
+
+
+@query(
+    "translate_failed",
+    f"""WITH {_RUN} SELECT l.book_id, l.pos, l.text AS original, o.text AS translated,
+            CASE WHEN NOT l.is_duplicate THEN 'ValueError: refused' END AS error
+        FROM looked l JOIN looked o ON o.book_id = l.book_id AND o.pos = l.first_pos
+        WHERE NOT o.hit AND contains(o.text, 'W')
+            AND EXISTS (SELECT 1 FROM looked f WHERE f.book_id = l.book_id AND NOT f.hit
+                AND NOT f.is_duplicate AND NOT contains(f.text, 'W'))""",
+)
+def translate_failed(v: Views) -> DataFrame:
+    """Paragraphs that kept their original because every call for them failed."""
+    run = translate(v.nodes.select("book_id", "pos", "text"), v.tm, faulty_model)
+    return run.segments.where("failed").select("book_id", "pos", "original", "translated", "error")
+
+
 @query(
     "translation_stats",
     f"""WITH RECURSIVE {_RUN},

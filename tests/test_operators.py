@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glossweave.operators import align, catalog, chapters, gate, ledger, links, memory
 from glossweave.operators.covers import choose
+from glossweave.operators.inference import call_model_once
 from glossweave.operators.paragraphs import mark_repeats, number_elements
 from glossweave.plans.translate import run_stats, translate_books, with_token_rate
 
@@ -196,6 +197,68 @@ def test_all_blank_run(spark):
     empty = spark.createDataFrame([], "source_hash string, source_text string, translated_text string")
     run = translate_books(paragraphs, empty, lambda p: "")
     assert [r.book_id for r in run.failed_books.collect()] == ["b"]
+    assert run.segments.count() == 0 and run.memory.count() == 0
+
+
+def test_blank_book_beside_a_good_one(spark):
+    rows = [("bad", 0, "mute one"), ("bad", 1, "held"), ("good", 0, "a word"), ("good", 1, "mute but alone")]
+    paragraphs = spark.createDataFrame(rows, "book_id string, pos int, text string")
+    held = memory.build_memory(
+        spark.createDataFrame([("held", "H", 0)], "original string, translated string, pos int"), ["pos"])
+    run = translate_books(paragraphs, held, lambda p: "" if "mute" in p else "T " + p)
+    assert [(r.book_id, r.n_fresh) for r in run.failed_books.collect()] == [("bad", 1)]
+    assert {r.book_id for r in run.segments.collect()} == {"good"}
+    assert {r.source_text for r in run.memory.collect()} == {"held", "a word"}
+
+
+def test_rerun_sends_only_what_is_open(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def make(broken):
+        def model(prompt):
+            calls.add(1)
+            if broken and "second" in prompt:
+                raise ValueError("no line")
+            return prompt.replace("] ", "] T ") if prompt.startswith("[1] ") else "T " + prompt
+        return model
+
+    texts = ["first words here", "second words here", "first words here " * 40, "second " * 90, "first words here " * 40]
+    rows = [(b, n, t) for b in ("a", "b") for n, t in enumerate(texts)]
+    paragraphs = spark.createDataFrame(rows, "book_id string, pos int, text string")
+    empty = spark.createDataFrame([], "source_hash string, source_text string, translated_text string")
+    folder = str(tmp_path / "answers")
+    run = translate_books(paragraphs, empty, make(True), answers=folder)
+    got = {(r.book_id, r.pos): r for r in run.segments.collect()}
+    assert all(bool(r.error) == ("second" in r.original) for r in got.values())
+    assert got["a", 1].error == "ValueError: no line" and got["a", 1].translated == texts[1] and got["a", 1].failed
+    first = calls.value
+    stored = spark.read.parquet(folder).collect()
+    assert first == len(stored) and any(r.error for r in stored)
+    # What failed is sent again, nothing else; equal long texts were one call.
+    again = translate_books(paragraphs, empty, make(False), answers=folder)
+    got = {(r.book_id, r.pos): r for r in again.segments.collect()}
+    assert all(r.error is None and r.translated == "T " + r.original for r in got.values())
+    second = calls.value - first
+    assert 0 < second < first
+    once_more = translate_books(paragraphs, empty, make(True), answers=folder)
+    assert once_more.segments.count() == len(rows) and calls.value == first + second
+
+
+def test_answers_table_edges(spark, tmp_path):
+    folder = str(tmp_path / "answers")
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, "")], "id int, prompt string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(prompt):
+        calls.add(1)
+        return prompt.upper() + "!"
+
+    for _ in range(2):
+        got = {r.id: (r.reply, r.error) for r in call_model_once(rows, model, "prompt", folder, "s").collect()}
+        assert got == {1: ("X!", None), 2: ("X!", None), 3: (None, None), 4: ("!", None)}
+        assert calls.value == 2
+    assert call_model_once(rows.limit(0), model, "prompt", folder, "s").count() == 0
+    assert call_model_once(rows, model, "prompt", folder, "other step").count() == 4 and calls.value == 4
 
 
 def test_retry_is_accepted_when_long_enough(spark):

@@ -20,6 +20,8 @@ from glossweave.llm.common import fresh, kept, over_batches
 #: Pieces whose ids a worker remembers in each of two generations, and states it keeps.
 REMEMBERED = 1 << 17
 STATES = 1 << 15
+#: Pairs of tokens whose border is remembered; an entry takes some 80 bytes.
+PAIRS = 1 << 18
 MADE_AT = 6
 #: Texts longer than this are matched piece by piece instead of into one list.
 LONG_TEXT = 1 << 20
@@ -71,12 +73,14 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        #: 1 for a token, 2 for what a longer token begins with, 3 for both.
+        #: Bit 0: a token, bit 1: what a longer token begins with; above them the token's rank.
         self.kind = dict.fromkeys((t[:k] for t in ranks for k in range(1, len(t))), 2)
-        for token in ranks:
-            self.kind[token] = self.kind.get(token, 0) + 1
+        for token, rank in ranks.items():
+            self.kind[token] = self.kind.get(token, 0) + 1 + 4 * rank
+        self.span = max(ranks.values(), default=0) + 1
         self.bytes = [bytes((b,)) for b in range(256)]
-        self.fits: dict[tuple[bytes | None, bytes], bool] = {}
+        #: By the ranks of two neighbours: left * span + right, -1 for no left one.
+        self.fits: dict[int, bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.states: dict[tuple[bytes | None, bytes], State] = {}
         self.emptied = False
@@ -94,11 +98,12 @@ class Transducer:
         return self.halves[token]
 
     def _fit(self, left: bytes | None, right: bytes) -> bool:
-        known = self.fits.get((left, right))
+        pair = (-1 if left is None else self.ranks[left]) * self.span + self.ranks[right]
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) >= STATES:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
-            known = self.fits[left, right] = self._stays(left, right)
+            known = self.fits[pair] = self._stays(left, right)
         return known
 
     def _stays(self, left: bytes | None, right: bytes) -> bool:
@@ -209,26 +214,32 @@ class Transducer:
     def _simulated(self, state: State, rest: bytes) -> list[int]:
         """The output of what follows `state`, found without making states or arcs."""
         tail, sizes, live = state.tail + rest, list(state.sizes), state.live
-        kind, fits, root = self.kind, self.fits, state.root
+        kind, fits, root, span = self.kind.get, self.fits.get, state.root, self.span
+        # last[k]: rank of the last token of the encoding of tail[:k], times span.
+        last = [(-1 if root is None else self.ranks[root]) * span]
+        last += [self.ranks[tail[k - sizes[k] : k]] * span if sizes[k] else 0 for k in range(1, len(sizes))]
         for end in range(len(sizes), len(tail) + 1):
             size, now = 0, []
             for k in (*live, end - 1):
-                last = tail[k:end]
-                found = kind.get(last)
+                found = kind(tail[k:end])
                 if found is None:
                     continue
                 if found & 1 and not size:
-                    before = tail[k - sizes[k] : k] if k else root
-                    fit = fits.get((before, last))
-                    if fit or (fit is None and self._fit(before, last)):
-                        size = end - k
+                    fit = fits(last[k] + (found >> 2))
+                    if fit or (fit is None and self._fit(tail[k - sizes[k] : k] if k else root, tail[k:end])):
+                        size, token = end - k, found >> 2
                 if found & 2:
                     now.append(k)
             if not size:
                 raise ValueError(f"no token ends after {tail[:end]!r}: the vocabulary lacks a byte")
             sizes.append(size)
+            last.append(token * span)
             live = now
-        return [self.ranks[t] for t in self._back(tail, sizes, 0, len(tail))]
+        out, at = [], len(tail)
+        while at:
+            out.append(last[at] // span)
+            at -= sizes[at]
+        return out[::-1]
 
 
 class Encoder:

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from glossweave.llm.common import fresh, kept, over_batches
 
-#: Pieces whose ids a worker remembers in each of two generations, and states it keeps.
-REMEMBERED = 1 << 17
+#: Bytes of pieces with their ids that a worker remembers in each of two generations; what an
+#: entry takes besides its piece and ids; and states it keeps.
+REMEMBERED = 24 << 20
+ENTRY = 160
 STATES = 1 << 15
 #: Pairs of tokens whose border is remembered; an entry takes some 80 bytes.
 PAIRS = 1 << 18
@@ -245,13 +247,14 @@ class Transducer:
 class Encoder:
     """Splits texts by a pattern and encodes each match; repeated pieces are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = REMEMBERED):
         # States are many small objects that stay; looking for cycles among them often is wasted.
         gc.set_threshold(200_000, 20, 100)
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.memory, self.held = memory, 0
 
     def _packed(self, piece: str) -> bytes:
         packed = self.older.get(piece)
@@ -262,8 +265,9 @@ class Encoder:
                 # The old states point at each other; only the collector frees them.
                 self.transducer.emptied = False
                 gc.collect()
-        if len(self.known) >= REMEMBERED:
-            self.known, self.older = {}, self.known
+        self.held += ENTRY + len(piece) + len(packed)
+        if self.held > self.memory:
+            self.known, self.older, self.held = {}, self.known, 0
         self.known[piece] = packed
         return packed
 
@@ -356,7 +360,7 @@ class Decoder:
 
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", decoded: bool = False,
-    keep_text: bool = True,
+    keep_text: bool = True, memory: int = REMEMBERED,
 ) -> DataFrame:
     """`docs` with the columns ids (binary, little-endian unsigned 32-bit) and n_tokens.
 
@@ -366,15 +370,15 @@ def encode(
     Each match of `pattern` in a whole text is encoded separately, without special tokens; a
     match that is itself a token stays whole. Null and empty texts give no ids. All other
     columns are kept (the text itself only with `keep_text`); a column that is called ids or
-    n_tokens is replaced. The vocabulary is broadcast (its size does not depend on the data); rows need no shuffle.
+    n_tokens is replaced. A worker remembers pieces of up to twice `memory` bytes; ids don't depend on it. The vocabulary is broadcast (its size does not depend on the data); rows need no shuffle.
     """
     adds = {"ids": "binary", "n_tokens": "long"} | ({"decoded": "string"} if decoded else {})
-    return _mapped(docs, ranks, text_col, adds, _encoder(pattern, decoded), () if keep_text else (text_col,))
+    return _mapped(docs, ranks, text_col, adds, _encoder(pattern, decoded, memory), () if keep_text else (text_col,))
 
 
-def _encoder(pattern: str, decoded: bool):
+def _encoder(pattern: str, decoded: bool, memory: int):
     def work(ranks, key, texts):
-        encoder = kept("encoder", (pattern, key), lambda: Encoder(ranks(), pattern))
+        encoder = kept("encoder", (pattern, memory, key), lambda: Encoder(ranks(), pattern, memory))
         packed = [encoder.encode(t or "") for t in texts]
         made = [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
         return made + (_decoded(ranks, key, packed) if decoded else [])

@@ -24,10 +24,12 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
-def tokens(docs: DataFrame) -> DataFrame:
+def tokens(docs: DataFrame, memory: int = bpe.REMEMBERED) -> DataFrame:
     """Encoded and decoded texts as digests, one row per document."""
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
-    made = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded=True, keep_text=False)
+    made = bpe.encode(
+        docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded=True, keep_text=False, memory=memory
+    )
     return made.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
@@ -43,7 +45,7 @@ def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens(table(spark, folder, "documents"))
+    return tokens(table(spark, folder, "documents"), 3 * bpe.REMEMBERED)
 
 
 @query

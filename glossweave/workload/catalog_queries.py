@@ -43,7 +43,7 @@ def resolve_prefix(v: Views) -> DataFrame:
 def title_search(v: Views) -> DataFrame:
     docs = v.documents
     with_summary = docs.select(
-        F.col("doc_id").alias("book_id"), F.left("text", F.lit(40)).alias("title"),
+        F.col("doc_id").alias("book_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
         F.col("text").alias("summary_text"),
     )
     return catalog.title_search(with_summary, "THE").select("book_id", "title", "is_ambiguous")
@@ -376,10 +376,15 @@ def token_summary_by_book(v: Views) -> DataFrame:
 # ---- links ----------------------------------------------------------------------------
 
 
+def _shelf(v: Views) -> DataFrame:
+    """Books by the short names that go into names of shared files: 40 characters of the title."""
+    return v.books.withColumn("title", F.left("title", F.lit(40)))
+
+
 def _links(v: Views) -> DataFrame:
     """A sheet with one shared file per book; names carry separators and an edition mark."""
     name = F.regexp_replace("title", r"[ \n]+", "_")
-    return v.books.select(
+    return _shelf(v).select(
         F.col("book_id").alias("link_id"),
         F.concat(name, F.lit("-bilingual.epub")).alias("filename"),
         F.when(F.col("language") != "de", F.concat(F.lit("https://share/"), "filename"))
@@ -388,13 +393,14 @@ def _links(v: Views) -> DataFrame:
     )
 
 
-_CONTAINED = r"""l AS (SELECT book_id AS link_id, regexp_replace(title, '[ \n]+', '_', 'g')
+_CONTAINED = r"""shelf AS (SELECT * REPLACE (substr(title, 1, 40) AS title) FROM books),
+        l AS (SELECT book_id AS link_id, regexp_replace(title, '[ \n]+', '_', 'g')
             || '-bilingual.epub' AS filename,
             CASE WHEN language <> 'de' THEN 'https://share/' || filename END AS share_url,
-            substr(filename, 1, 6) AS extract_code FROM books),
+            substr(filename, 1, 6) AS extract_code FROM shelf),
         k AS (SELECT *, trim(regexp_replace(lower(filename), '[_\-.]+', ' ', 'g')) AS key FROM l),
         b AS (SELECT book_id, created_seq, title, trim(lower(title), chr(10) || ' ') AS key
-            FROM books WHERE status = 'completed'),
+            FROM shelf WHERE status = 'completed'),
         m AS (SELECT link_id, b.book_id, b.title, CASE WHEN k.key = b.key THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score,
             row_number() OVER (PARTITION BY link_id ORDER BY k.key = b.key DESC, created_seq DESC, b.book_id) AS rn
             FROM k JOIN b ON contains(k.key, b.key) OR contains(b.key, k.key)),
@@ -407,13 +413,13 @@ _CONTAINED = r"""l AS (SELECT book_id AS link_id, regexp_replace(title, '[ \n]+'
     f"WITH {_CONTAINED} SELECT link_id, filename, book_id, title, score FROM matched",
 )
 def link_match_containment(v: Views) -> DataFrame:
-    found = links.match_links(_links(v), v.books, fuzzy=False)
+    found = links.match_links(_links(v), _shelf(v), fuzzy=False)
     return found.select("link_id", "filename", "book_id", "title", "score")
 
 
 @query("link_match")
 def link_match(v: Views) -> DataFrame:
-    found = links.match_links(_links(v), v.books)
+    found = links.match_links(_links(v), _shelf(v))
     return found.select("link_id", "filename", "book_id", "title", F.round("score", 6).alias("score"))
 
 
@@ -423,7 +429,7 @@ def link_match(v: Views) -> DataFrame:
         count(*) - count(book_id) AS unmatched FROM matched""",
 )
 def link_report(v: Views) -> DataFrame:
-    return links.link_report(links.match_links(_links(v), v.books, fuzzy=False))
+    return links.link_report(links.match_links(_links(v), _shelf(v), fuzzy=False))
 
 
 @query(
@@ -437,7 +443,7 @@ def link_report(v: Views) -> DataFrame:
 def link_apply(v: Views) -> DataFrame:
     columns = ["pan_link_sku1", "pan_link_sku2", "pan_code"]
     empty = v.books.select("book_id", *[F.lit(None).cast("string").alias(c) for c in columns])
-    found = links.match_links(_links(v), v.books, fuzzy=False)
+    found = links.match_links(_links(v), _shelf(v), fuzzy=False)
     return catalog.upsert_outputs(empty, links.link_changes(found), columns)
 
 

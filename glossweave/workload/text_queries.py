@@ -128,12 +128,12 @@ def book_type(v: Views) -> DataFrame:
 
 @query(
     "summary_text",
-    """SELECT doc_id, '书名：' || substr(text, 1, 40) || chr(10) || '作者：' || source || chr(10)
+    """SELECT doc_id, '书名：' || string_split(text, chr(10))[1] || chr(10) || '作者：' || source || chr(10)
         || '类型：通用' || chr(10) || '' || chr(10) || text AS summary FROM documents""",
 )
 def summary_text(v: Views) -> DataFrame:
     docs = v.documents
-    title = F.left("text", F.lit(40))
+    title = F.get(F.split("text", "\n"), F.lit(0))
     return docs.select(
         "doc_id",
         text.summary_text(title, F.col("source"), F.lit("通用"), F.col("text")).alias("summary"),

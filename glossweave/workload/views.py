@@ -71,7 +71,7 @@ def s_count(x: str, pattern: str) -> str:
 SQL_VIEWS: dict[str, str] = {
     "books": """
         SELECT doc_id AS book_id, 'Book_' || doc_id || '--' || source || '.epub' AS filename,
-            substr(text, 1, 40) AS title, source AS author, lang AS language,
+            string_split(text, chr(10))[1] AS title, source AS author, lang AS language,
             CASE doc_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'translating'
                 WHEN 2 THEN 'completed' WHEN 3 THEN 'published' ELSE 'failed' END AS status,
             doc_id AS created_seq
@@ -265,7 +265,7 @@ class Views:
             F.col("doc_id").alias("book_id"),
             F.concat(F.lit("Book_"), F.col("doc_id").cast("string"), F.lit("--"), F.col("source"),
                      F.lit(".epub")).alias("filename"),
-            F.left("text", F.lit(40)).alias("title"),
+            F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
             F.col("source").alias("author"),
             F.col("lang").alias("language"),
             F.when(kind == 0, "pending").when(kind == 1, "translating")

@@ -71,6 +71,14 @@ def test_page_reading():
     assert read_elements(None) == []
 
 
+def test_references_without_their_semicolon():
+    page = '<title>a &amp; b&amp</title><p id="x&amp">c &ampx; &quot;d&quot; &#233; &#23 e&lt; \ue000</p>'
+    title, p = read_elements(page)
+    assert title["title"] == "a & b&amp"
+    assert p["text"] == 'c &ampx; "d" é &#23 e< \ue000'
+    assert p["elem_id"] == "x&amp"
+
+
 def test_excluded_marks(spark):
     page = "<p class='nav'>navigation text</p><p id='page-header'>header text</p><p class='indexed'>kept text</p><nav><p>inside nav</p></nav>"
     items = with_elements(spark.createDataFrame([(1, "i", page)], "page_id int, item_id string, html string"))

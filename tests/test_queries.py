@@ -25,3 +25,18 @@ def test_gives_rows(spark, name):
 
 def test_entry(spark):
     assert entry(spark).count() == 4
+
+
+def test_import_takes_every_new_entry(spark):
+    turns = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+    said = turns.where("role = 'assistant' and text <> ''").selectExpr("conv_id", "turn - 1 as turn")
+    asked = turns.where("role = 'user'").join(said, ["conv_id", "turn"]).select("text").distinct().count()
+    # No document of these tables holds such a text, so all of them are new.
+    assert queries()["tm_import"](spark, FOLDER).count() == asked > 0
+
+
+def test_contents_labels_are_whole_lines(spark):
+    lines = queries()["align_cascade"](spark, FOLDER).select("book_id").count()
+    labels = queries()["toc_translate"](spark, FOLDER)
+    assert labels.count() > lines
+    assert labels.where("target_label not like 'Chapter %'").count() == lines

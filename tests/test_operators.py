@@ -346,6 +346,18 @@ def test_link_bands_lose_nothing(spark):
     assert sum(r.titles for r in met) < 0.5 * wanted.count() * newest.count()
 
 
+def test_titles_inside_links_are_spread(spark):
+    """No task makes the parts of all texts, however small the tables are."""
+    titles = spark.range(40).selectExpr("concat('a longer title ', id) as title_key").coalesce(1)
+    names = spark.range(40).selectExpr("concat('x a longer title ', id, ' y') as link_key").coalesce(1)
+    found = links._inside(titles, "title_key", names, "link_key")
+    pairs = {(r.title_key, r.link_key) for r in found.collect()}
+    want = {(f"a longer title {n}", f"x a longer title {m} y") for n in range(40) for m in range(40) if str(m).startswith(str(n))}
+    assert pairs == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= 4
+
+
 @pytest.mark.parametrize("empty", ["links", "books"])
 def test_links_of_empty_tables(spark, empty):
     link_df = spark.createDataFrame([(1, "deep_work.epub")], "link_id long, filename string")

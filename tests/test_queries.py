@@ -40,3 +40,10 @@ def test_contents_labels_are_whole_lines(spark):
     labels = queries()["toc_translate"](spark, FOLDER)
     assert labels.count() > lines
     assert labels.where("target_label not like 'Chapter %'").count() == lines
+
+
+def test_link_match_searches_every_hundredth_link(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    asked = {r.doc_id for r in docs.where("doc_id % 100 = 0").collect()}
+    got = queries()["link_match"](spark, FOLDER).collect()
+    assert sorted(r.link_id for r in got) == sorted(asked)

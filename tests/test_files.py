@@ -4,12 +4,13 @@ import hashlib
 import json
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glossweave.operators.covers import choose
 from glossweave.operators.paragraphs import page_paragraphs
 from glossweave.sources import containers, memory_files, sinks
-from glossweave.sources.pages import read_elements, with_elements
+from glossweave.sources.pages import _stretches, read_elements, with_elements
 from glossweave.streaming import ingest, memory, status
 
 OPF = """<?xml version="1.0"?><package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>
@@ -79,6 +80,12 @@ def test_references_without_their_semicolon():
     assert p["elem_id"] == "x&amp"
 
 
+def test_elements_come_in_bounded_stretches():
+    pages = pa.array(["x" * 600_000, "x" * 600_000, None, "x" * 3_000_000, "x", "y"])
+    assert list(_stretches(pages)) == [(0, 1), (1, 2), (3, 1), (4, 2)]
+    assert list(_stretches(pages.slice(0, 0))) == []
+
+
 def test_excluded_marks(spark):
     page = "<p class='nav'>navigation text</p><p id='page-header'>header text</p><p class='indexed'>kept text</p><nav><p>inside nav</p></nav>"
     items = with_elements(spark.createDataFrame([(1, "i", page)], "page_id int, item_id string, html string"))

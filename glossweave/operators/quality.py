@@ -524,8 +524,11 @@ def overall(
     cannot-assess report. A book has at most eight dimension rows, so its lists are short.
     """
     rank = F.array_position(F.array(*[F.lit(d) for d in DIMENSIONS]), F.col("dimension"))
+    # Scores have four decimals at most. Their exact sum is the same in any order; a sum of
+    # doubles falls to either side of a mean that ends in 5.
+    total = F.sum(F.col("score").cast("decimal(20,4)"))
     per_book = rows.groupBy("book_id").agg(
-        F.round(F.avg("score"), 1).alias("overall_score"),
+        F.round(total / F.count(F.lit(1)), 1).cast("double").alias("overall_score"),
         F.count(F.lit(1)).alias("n_dimensions"),
         F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "issues"))).alias("_d"),
     )

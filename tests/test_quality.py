@@ -159,3 +159,14 @@ def test_grades(spark):
     df = spark.createDataFrame([(95.0,), (90.0,), (80.0,), (60.0,), (59.9,)], "s double")
     got = [r.g for r in df.select(quality.grade(F.col("s")).alias("g")).collect()]
     assert got == ["优秀", "优秀", "良好", "合格", "需改进"]
+
+
+def test_mean_of_scores_is_exact(spark):
+    """The mean ends in 5 at the second decimal, which a sum of doubles misses."""
+    scores = [87.3, 89.7, 60.5, 76.9, 86.9, 62.7, 74.2, 53.4]
+    rows = spark.createDataFrame(
+        [(1, d, s, []) for d, s in zip(quality.DIMENSIONS, scores)],
+        "book_id long, dimension string, score double, issues array<string>",
+    ).coalesce(1)
+    books = spark.createDataFrame([(1, "a")], "book_id long, title string")
+    assert quality.overall(books, rows).first().overall_score == 74.0

@@ -33,7 +33,7 @@ def gate(segments: DataFrame, limits: dict = P.GATE) -> DataFrame:
     for mark in P.RESIDUE:
         found = F.contains(translated, F.lit(mark))
         left_over = found if left_over is None else left_over | found
-    residue = checked & ~original.rlike(P.CODE_MARK) & left_over
+    residue = checked & left_over & ~original.rlike(P.CODE_MARK)
     issues = F.array_compact(
         F.array(
             F.when(blank, "空翻译"),

@@ -12,9 +12,9 @@ from glossweave import schemas
 from glossweave.functions import patterns as P
 from glossweave.operators.batching import char_batches
 from glossweave.operators.gate import accept_retry, gate
-from glossweave.operators.replies import compose, parse_replies
+from glossweave.operators.replies import compose, item_text, reply_items
 from glossweave.plans.scan import row_numbers
-from glossweave.session import cut
+from glossweave.session import cut, written
 
 Model = Callable[[str], str]
 
@@ -117,42 +117,56 @@ def translate_fresh(
 
     keys = ["book_id", "tier", "batch_no"]
     grouped = paragraphs.where(F.col("tier") != schemas.TIER_LONG)
-    numbers = char_batches(
+    # Batches and places in them are settled on narrow rows; texts join them once.
+    numbers = cut(char_batches(
         grouped.select("book_id", "tier", "pos", F.length("text").alias("chars")),
         ["book_id", "tier"], "pos", "chars", limit,
-    )
-    batched = grouped.join(numbers, ["book_id", "tier", "pos"])
-    numbered = cut(row_numbers(batched, keys, "pos", "item_no"))
+    ))
+    places = row_numbers(numbers, keys, "pos", "item_no")
+    numbered = written(grouped.join(places, ["book_id", "tier", "pos"]))
 
     prompts = compose(numbered, keys, "pos").withColumn(
         "prompt", F.replace(F.lit(instruction), F.lit("{content}"), F.col("prompt"))
     )
     replies = call(prompts.select(*keys, "prompt"), keys, "prompt", "reply", "batch")
     answered = replies.where(F.coalesce("reply", F.lit("")).rlike(rf"\[{P.DIGIT}+\]"))
-    parsed = parse_replies(answered, keys)
     # The first item of a batch stands for its call, so calls add up over any grouping.
     opens = (F.col("item_no") == 1).cast("int")
-    done = (
-        numbered.join(answered.select(*keys), keys, "left_semi")
-        .join(parsed, [*keys, "item_no"], "left")
-        .select(
-            "book_id", "pos", "text", "tier", F.coalesce("translated", F.lit("")).alias("translated"),
-            opens.alias("calls"), F.lit(None).cast("string").alias("error"),
+    placed = written(
+        numbered.join(answered.select(*keys, reply_items(F.col("reply")).alias("items")), keys, "left").select(
+            "book_id", "pos", "text", "tier", opens.alias("calls"), F.col("items").isNotNull().alias("answered"),
+            F.coalesce(item_text(F.col("items"), F.col("item_no")), F.lit("")).alias("translated"),
         )
     )
-    unanswered = numbered.join(answered.select(*keys), keys, "left_anti").select(
-        "book_id", "pos", "text", "tier", (opens + 1).alias("calls")
+    done = placed.where("answered").select(
+        "book_id", "pos", "text", "tier", "translated", "calls", F.lit(None).cast("string").alias("error")
+    )
+    unanswered = placed.where(~F.col("answered")).select(
+        "book_id", "pos", "text", "tier", (F.col("calls") + 1).alias("calls")
     )
     alone = paragraphs.where(F.col("tier") == schemas.TIER_LONG).select(
         "book_id", "pos", "text", "tier", F.lit(1).alias("calls")
     )
     single = call(alone.unionByName(unanswered), ["book_id", "pos"], "text", "translated", "single")
-    checked = gate(
-        done.unionByName(single).withColumnRenamed("text", "original")
+    gated = gate(done.unionByName(single).withColumnRenamed("text", "original"))
+    # Everything below, and the caller, reads this table; its final texts follow from the rest.
+    checked = written(gated.drop("final_text", "length_ratio")).withColumn(
+        "final_text", F.when(F.col("action") == "keep_original", F.col("original")).otherwise(F.col("translated"))
+    )
+    back = checked.where(F.col("action") == "retry")
+    again = call(
+        back.select("book_id", "pos", "original"), ["book_id", "pos"], "original", "again", "retry"
+    ).withColumnRenamed("error", "_again_error")
+    # Only what was sent back is joined with its second answer.
+    return retried(back, again).unionByName(accepted(checked.where(F.col("action") != "retry")))
+
+
+def accepted(checked: DataFrame) -> DataFrame:
+    """Rows that the gate did not send back, as `retried` gives them."""
+    return checked.select(
+        "book_id", "pos", "original", "tier", "issues", "action", F.col("final_text").alias("translated"),
+        F.col("action").isin("keep_original", "keep").alias("failed"), "calls", "error",
     )
-    back = checked.where(F.col("action") == "retry").select("book_id", "pos", "original")
-    again = call(back, ["book_id", "pos"], "original", "again", "retry")
-    return retried(checked, again.withColumnRenamed("error", "_again_error"))
 
 
 def retried(checked: DataFrame, again: DataFrame) -> DataFrame:

@@ -33,6 +33,19 @@ def compose(batches: DataFrame, keys: list[str], order: str, text: str = "text")
     )
 
 
+def reply_items(reply: Column) -> Column:
+    """Array of (n, t): the numbers of a reply's marks and the texts behind them, in order."""
+    numbers = F.regexp_extract_all(reply, F.lit(_MARK), 1)
+    texts = F.slice(F.split(reply, _MARK), F.lit(2), F.size(numbers))
+    return F.arrays_zip(numbers.alias("n"), texts.alias("t"))
+
+
+def item_text(items: Column, item_no: Column) -> Column:
+    """The text of one item, of equal numbers the last one; null where no mark names it."""
+    same = F.filter(items, lambda p: p.n.try_cast("int") == item_no)
+    return strip(F.get(same, F.size(same) - 1).getField("t"))
+
+
 def parse_replies(replies: DataFrame, keys: list[str]) -> DataFrame:
     """`(keys, item_no, translated)` from `(keys, reply)`; replies without marks give none.
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossweave import schemas
-from glossweave.functions.text import is_blank
+from glossweave.functions.text import is_blank, tier
 from glossweave.operators.gate import all_empty_books
 from glossweave.operators.inference import Model, translate_fresh
 from glossweave.operators.memory import lookup, upsert
 from glossweave.operators.paragraphs import mark_repeats
-from glossweave.session import cut
+from glossweave.session import written
 
 
 @dataclass
@@ -34,7 +34,9 @@ def translate_books(
     translations are all blank is stopped: it is in `failed_books`, gives no segments and
     teaches nothing. With the folder `answers` a rerun repeats no answered call.
     """
-    marked = mark_repeats(paragraphs, "book_id", "pos")
+    # Everything below reads these tables, some of it several times.
+    tiered = written(paragraphs.withColumn("tier", tier(F.col("text"))))
+    marked = mark_repeats(tiered, "book_id", "pos", tiered=True)
     originals = marked.where(~F.col("is_duplicate"))
     if use_memory:
         known = lookup(originals, memory)
@@ -42,8 +44,7 @@ def translate_books(
         known = originals.withColumn("translated", F.lit(None).cast("string")).withColumn(
             "hit", F.lit(False)
         )
-    # Everything below reads this table, some of it several times.
-    known = cut(known)
+    known = written(known)
     no_error = F.lit(None).cast("string").alias("error")
     cached = known.where("hit").select(
         "book_id", "pos", F.col("text").alias("original"), "translated", "tier",
@@ -53,13 +54,13 @@ def translate_books(
     fresh = translate_fresh(
         known.where(~F.col("hit")).select("book_id", "pos", "text", "tier"), model, answers=answers
     ).withColumn("origin", F.lit("model"))
-    empty = all_empty_books(
+    empty = written(all_empty_books(
         fresh.select(
             "book_id", F.lit(False).alias("is_duplicate"),
             F.when(F.col("action") == "keep_original", "").otherwise(F.col("translated"))
             .alias("translated"),
         )
-    )
+    ))
     done = cached.unionByName(fresh.drop("issues"))
     repeats = marked.where("is_duplicate").select(
         "book_id", "pos", F.col("first_pos"), "text", "tier"

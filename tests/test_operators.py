@@ -380,3 +380,24 @@ def test_cover_order(spark):
     got = {r.book_id: (r.member, r.chosen_by) for r in choose(df).collect()}
     assert got == {"a": ("x.jpg", "package"), "b": ("y.png", "property"), "c": ("OEBPS/c.jpg", "known place"),
                    "d": ("a.jpg", "largest")}
+
+
+def test_run_and_alignment_compute_their_paragraphs_once(spark):
+    """The model run and the alignment's segments: a row that is costly to make is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    rows = [("b", n, f"Line number {n} of this small book") for n in range(20)] + [("b", 20, "Chapter 1"), ("b", 21, "Chapter 1")]
+    plain = spark.createDataFrame(rows, "book_id string, pos int, text string")
+    costly = plain.mapInPandas(count, plain.schema)
+    memory = spark.createDataFrame([], "source_hash string, source_text string, translated_text string")
+    run = translate_books(costly, memory, lambda prompt: prompt.replace("] ", "] T "))
+    assert run.segments.count() == 22 and run.failed_books.count() == 0
+    assert made.value == 22
+    segments = costly.select("book_id", "pos", F.col("text").alias("original"), F.col("text").alias("translated"))
+    aligned = align.cascade(plain, segments).collect()
+    assert {r.align_method for r in aligned} == {"exact"} and made.value == 44

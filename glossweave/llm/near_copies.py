@@ -1,9 +1,10 @@
-"""Near copies by shingle similarity: SimHash fingerprints of parts of a text as pigeonholes.
+"""Near copies by SimHash: blocks of fingerprints, Hamming distance, and an exact check of shingle similarity.
 
-A 64-bit fingerprint tells texts of similarity 0.8 by some ten differing bits, too many for blocks of one
-fingerprint. So here the pigeonholes are parts of the shingle set: shingles are dealt to parts by their hash,
-texts that share most shingles have parts in common, and those share a block. In a block
-the fingerprints' Hamming distance is verified, and what is left is checked exactly.
+As in op3, a text's 64-bit fingerprint is cut into blocks, texts meet under each choice of blocks, and
+their Hamming distance is verified. That finds all pairs within four bits; texts of similarity 0.8 differ in
+some ten. For those, parts of the shingle set are further pigeonholes: shingles are dealt to parts by their hash,
+texts that share most shingles have parts in common, and those meet too. What either
+way finds is checked exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from glossweave.llm.common import cut, over_batches, written
 from glossweave.llm.components import connected_components
 from glossweave.llm.pairing import sliced, spanning_links
-from glossweave.llm.simhash import fold_bits, shingle_hashes
+from glossweave.llm.simhash import fingerprint_links, fold_bits, shingle_hashes
 
 #: Parts of a text that are filed, of all the parts that its shingles are dealt to.
 PARTS = 16
@@ -109,7 +110,7 @@ def near_copy_groups(
 
     Two texts are near copies if the Jaccard similarity of their sets of `words`-word shingles
     is at least `similarity`; groups are connected components. Equal sets fold into one row
-    first. Blocks give candidate groups, whose shingle sets are then compared exactly in
+    first. Blocks of fingerprints and of parts give candidate groups, whose shingle sets are then compared exactly in
     slices of bounded size. Texts without words and rows with a null id have no near copy; a
     table without near copies gives an empty result; extra columns are not read.
     """
@@ -118,7 +119,8 @@ def near_copy_groups(
     first = marks.join(folded.select("id"), "id", "left_semi")
     rows = first.select("id", "n", "fp", "fp2", F.explode("keys").alias("key")).distinct()
     filed = sliced(rows, "key", "id", 4 * slice_rows).drop("key")
-    candidates = connected_components(spanning_links(filed, _hopeful(similarity)), "a", "b")
+    close = fingerprint_links(folded.select("id", "fp")).unionByName(spanning_links(filed, _hopeful(similarity)))
+    candidates = connected_components(written(close.distinct()), "a", "b")
     candidates = written(candidates.withColumnsRenamed({"node": "id", "component": "key"}))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -61,3 +61,13 @@ def test_stages_on_odd_rows(spark, make_docs):
         for name, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, FOLDER) if name != "tokens" else d
         assert corpus_pipeline.tokens(spark, d, FOLDER).count() == d.count()
+
+
+def test_near_copies_meet_in_fingerprint_blocks(make_docs, monkeypatch):
+    pick = random.Random(2)
+    text = " ".join(pick.choices([f"w{k}" for k in range(5000)], k=4000))
+    docs = make_docs([(1, text, "en", "a"), (2, text + " end", "en", "a"), (3, text[: len(text) // 2], "en", "a")])
+    # Without parts to meet in, blocks of fingerprints alone bring the pair together.
+    parts = near_copies.part_keys
+    monkeypatch.setattr(near_copies, "part_keys", lambda shingles, similarity: parts(shingles, similarity)[:0])
+    assert [(r.id, r.component) for r in near_copies.near_copy_groups(docs).collect()] == [(2, 1)]

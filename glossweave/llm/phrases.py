@@ -18,6 +18,8 @@ from glossweave.llm.common import drop_kept, present, removed, ship, texts, writ
 STRETCH_BYTES = 8 << 20
 #: Slots of the filter; a phrase sets three of them.
 FILTER_SLOTS = 1 << 22
+#: Words of a text that is put together from runs of words.
+RUN_WORDS = 1024
 UNKNOWN = "und"
 
 WORD, SPACE, BREAK = 0, 1, 2
@@ -41,6 +43,19 @@ def _hashes(values: list[str]) -> np.ndarray:
     return hash_array(np.array(values, object), categorize=False)
 
 
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """Hashes of words, none of them empty, all at once: polynomials of their bytes."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    values = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].astype(np.uint64) + np.uint64(1)
+    begins, sizes = bounds[:-1] - bounds[0], np.diff(bounds)
+    powers = np.cumprod(np.full(sizes.max(), MULTIPLIER))
+    values *= powers[np.arange(len(values), dtype=np.int32) - np.repeat(begins, sizes)]
+    return _mixed(np.add.reduceat(values, begins))
+
+
 def longer_by(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Hashes of phrases with one more word; those of no words are the hashes of their languages."""
     return _mixed(hashes * MULTIPLIER ^ words)
@@ -85,6 +100,38 @@ class Words:
         self.beside = np.append((breaks[1:] == breaks[:-1]) & (text[1:] == text[:-1]), False)[: self.size]
 
 
+def _known(
+    found: Words, names: list[str], reached: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each language's words: the word, language and count of each, its hash and bits in `reached`, and
+    which of them stands at each place; and the hashes of words alone."""
+    many = len(found.words)
+    word_hash = word_hashes(found.words)
+    key, size = found.language * many + found.code, len(names) * many
+    if size <= 8 * found.size:
+        total = np.bincount(key, minlength=size)
+        at = present = np.flatnonzero(total)
+        count = total[present]
+    else:
+        present, key, count = np.unique(key, return_inverse=True, return_counts=True)
+        at, size = np.arange(len(present)), len(present)
+    language, word = present // many, present % many
+    made = longer_by(_hashes(names)[language], word_hash[word])
+    hash_of, bits_of = np.zeros(size, np.uint64), np.zeros(size, np.uint32)
+    hash_of[at], bits_of[at] = made, marked_in(reached, made)
+    return word, language, count, hash_of[at], hash_of[key], bits_of[key], word_hash
+
+
+def _longer(
+    found: Words, positions: np.ndarray | None, bits: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases with one more word both of whose subphrases have bits: their places among those given, where they
+    begin, and their bits. `positions` are the places of the phrases of `bits` (None: each word)."""
+    beside = found.beside[:-1] if positions is None else positions[1:] == positions[:-1] + 1
+    good = np.flatnonzero(beside & (bits[:-1] != 0) & (bits[1:] != 0))
+    return good, good if positions is None else positions[good], bits[good] | bits[good + 1]
+
+
 def counted(
     found: Words, names: list[str], longest: int, step: int, shards: int, reached: np.ndarray, active: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
@@ -96,8 +143,7 @@ def counted(
     """
     if not found.size:
         return
-    many = len(found.words)
-    word_hash, name_array = _hashes(found.words.to_pylist()), pa.array(names, pa.string())
+    name_array = pa.array(names, pa.string())
     last_open = np.uint32(max(0, step - shards))
 
     def batch(language, phrase, length: int, hashes, count) -> pa.RecordBatch:
@@ -110,34 +156,18 @@ def counted(
             ["lang", "phrase", "len", "h", "c"],
         )
 
-    # Each language's words: their number, hash and whether they have reached the threshold.
-    key, size = found.language * many + found.code, len(names) * many
-    if size <= 8 * found.size:
-        total = np.bincount(key, minlength=size)
-        at = present = np.flatnonzero(total)
-        count = total[present]
-    else:
-        present, key, count = np.unique(key, return_inverse=True, return_counts=True)
-        at, size = np.arange(len(present)), len(present)
-    language, word = present // many, present % many
-    hash_of, bits_of = np.zeros(size, np.uint64), np.zeros(size, np.uint32)
-    hash_of[at] = longer_by(_hashes(names)[language], word_hash[word])
-    bits_of[at] = marked_in(reached, hash_of[at])
+    word, language, count, own_hash, hashes, bits, word_hash = _known(found, names, reached)
     if step < shards:
-        yield batch(language, found.words.take(pa.array(word)), 1, hash_of[at], count)
+        yield batch(language, found.words.take(pa.array(word)), 1, own_hash, count)
         total = np.bincount(found.language, minlength=len(names))
         yield batch(np.flatnonzero(total), pa.array([""] * int((total > 0).sum())), 0, None, total[total > 0])
-    bits, positions, hashes = bits_of[key], None, None
+    positions = None
     for length in range(2, longest + 1):
         # bits and hashes are those of the phrases one word shorter that begin at `positions`.
-        beside = found.beside[:-1] if positions is None else positions[1:] == positions[:-1] + 1
-        good = np.flatnonzero(beside & (bits[:-1] != 0) & (bits[1:] != 0))
+        good, positions, either = _longer(found, positions, bits)
         if not len(good):
             return
-        either = bits[good] | bits[good + 1]
-        shorter = hash_of[key[good]] if positions is None else hashes[good]
-        positions = good if positions is None else positions[good]
-        hashes = longer_by(shorter, word_hash[found.code[positions + length - 1]])
+        hashes = longer_by(hashes[good], word_hash[found.code[positions + length - 1]])
         eligible = (either >> last_open) != 0
         if eligible.any():
             values, count = np.unique(hashes[eligible], return_counts=True)
@@ -154,6 +184,46 @@ def counted(
             bits = marked_in(reached, hashes)
 
 
+def frequent_runs(
+    found: Words, names: list[str], settled: int, reached: np.ndarray, most: int = RUN_WORDS
+) -> Iterator[pa.RecordBatch]:
+    """Rows lang, text with all that phrases of more than `settled` words can still be made of.
+
+    Once all phrases of up to `settled` words are counted, a longer one can reach the threshold only where all
+    its phrases of `settled` words have. Runs of words in which they have, as far as the filter can tell,
+    are kept whole and in order, and stand in pieces of their own; runs of one language share texts of about `most` words.
+    """
+    if not found.size:
+        return
+    *_, hashes, bits, word_hash = _known(found, names, reached)
+    positions = None
+    for length in range(2, settled + 2):
+        good, positions, _ = _longer(found, positions, bits)
+        if not len(good):
+            return
+        if length <= settled:
+            hashes = longer_by(hashes[good], word_hash[found.code[positions + length - 1]])
+            bits = marked_in(reached, hashes)
+    kept = np.zeros(found.size, bool)
+    for k in range(settled + 1):
+        kept[positions + k] = True
+    at = np.flatnonzero(kept)
+    at = at[np.argsort(found.language[at], kind="stable")]
+    goes_on = found.beside[at] & (np.append(at[1:], -1) == at + 1)
+    joined = pc.binary_join_element_wise(
+        found.words.take(pa.array(found.code[at])), pa.array(["\n", " "]).take(pa.array(goes_on.astype(np.int8))), ""
+    )
+    ends = np.flatnonzero(~goes_on)
+    language, number = found.language[at[ends]], ends // most
+    last = ends[np.append((language[1:] != language[:-1]) | (number[1:] != number[:-1]), True)]
+    _, offsets, data = joined.buffers()
+    begins = np.frombuffer(offsets, np.int32)[np.append(0, last + 1)]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.string()).take(pa.array(found.language[at[last]])),
+         pa.StringArray.from_buffers(len(last), pa.py_buffer(begins), data)], ["lang", "text"],
+    )
+
+
 def _stretches(batches: Iterator[pa.RecordBatch], most: int = STRETCH_BYTES) -> Iterator[tuple[Words, list[str]]]:
     """Words of about `most` bytes of text; a longer text is cut where a piece ends."""
     held: list[tuple[np.ndarray, str]] = []
@@ -194,6 +264,15 @@ def _scanned(shard: DataFrame, sent: Broadcast, stretch: int, *how: int) -> Data
     return shard.select("lang", "text").mapInArrow(run, COUNTS)
 
 
+def _trimmed(shard: DataFrame, sent: Broadcast, stretch: int, settled: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
+        for found, names in _stretches(batches, stretch):
+            yield from frequent_runs(found, names, settled, sent.value[0])
+
+    return shard.select("lang", "text").mapInArrow(run, "lang string, text string")
+
+
 def frequent_phrases(
     docs: DataFrame,
     text_col: str = "text",
@@ -218,7 +297,8 @@ def frequent_phrases(
     may be activated, and both are counted in full, by their texts. What tasks know of phrases that
     have reached `least` or are active are two filters of `filter_slots` numbers, whatever their number; a
     wrong yes adds to the work or is dropped by a join with the activated hashes, so counts are
-    exact. Each step writes its open and finished phrases and goes on from those files; the
+    exact. Once all phrases of two words are counted, and again after those of three and so on, the shards are written
+    anew with only the runs of words that longer phrases can still be made of. Each step writes its open and finished phrases and goes on from those files; the
     files of a step that is done with are removed.
 
     Texts are lower-cased (A-Z only) and split at [.,;:!?\\x0A-\\x0D]; words are `[^\\x20\\x09]+`.
@@ -235,7 +315,8 @@ def frequent_phrases(
     dealt = source.withColumn("shard", F.pmod(F.xxhash64("lang", "text"), F.lit(shards)).cast("int"))
     base = written_path(spark)
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(f"{base}/shards")
-    whole = spark.read.schema("lang string, text string, shard int").parquet(f"{base}/shards")
+    in_use, dealt_as = f"{base}/shards", "lang string, text string, shard int"
+    whole = spark.read.schema(dealt_as).parquet(in_use)
 
     reached, active = np.zeros(filter_slots, np.uint32), np.zeros(filter_slots, np.uint32)
     started = spark.createDataFrame([], "h long, since int")
@@ -243,6 +324,16 @@ def frequent_phrases(
     open_path, step, last_step = None, 0, shards - 1
     while step <= last_step:
         sent = spark.sparkContext.broadcast((reached, active))
+        # The phrases of a length are all counted two cycles after those one word shorter.
+        cycles, begun = divmod(step, shards)
+        settled = (cycles + 1) // 2
+        if not begun and cycles % 2 and 2 <= settled <= longest - 2:
+            before, in_use = in_use, f"{base}/runs{settled}"
+            for n in range(shards):
+                runs = _trimmed(whole.where(F.col("shard") == n), sent, stretch_bytes, settled)
+                runs.write.option("compression", "zstd").parquet(f"{in_use}/shard={n}")
+            whole = spark.read.schema(dealt_as).parquet(in_use)
+            removed(spark, before)
         scan = _scanned(whole.where(F.col("shard") == step % shards), sent, stretch_bytes, longest, step, shards)
         enough = F.col("phrase").isNotNull() | (F.col("c") * shards >= least)
         counted_path = f"{base}/counts{step}"
@@ -278,7 +369,7 @@ def frequent_phrases(
         left = f"{path}/done=false"
         open_path = left if present(spark, left) else None
         step += 1
-    removed(spark, f"{base}/shards")
+    removed(spark, in_use)
     return finished
 
 

@@ -52,6 +52,56 @@ def test_stretches_cut_long_texts():
     assert words == [w for t in texts for w in re.findall(r"[^ .,]+", t)]
 
 
+def test_later_steps_read_runs_only(spark, make_docs, monkeypatch):
+    """Steps for longer phrases read only what these can still be made of; counts stay whole."""
+    words = [f"w{n}" for n in range(400)]
+    rows = [(" ".join([*words[k::7], "a b c d e", "a b x b c, a", "q r", *words[k::5]]), "en") for k in range(5)] * 2
+    read, scanned = {}, phrases._scanned
+
+    def seen(shard, sent, stretch, longest, step, shards):
+        read[step] = shard.selectExpr("coalesce(sum(octet_length(text)), 0)").head()[0]
+        return scanned(shard, sent, stretch, longest, step, shards)
+
+    monkeypatch.setattr(phrases, "_scanned", seen)
+    docs = make_docs([(n, t, lang, "s") for n, (t, lang) in enumerate(rows)])
+    found = phrases.frequent_phrases(docs, least=10, shards=1).collect()
+    assert {(r.lang, r.phrase): r.c for r in found if r.len} == _frequent(rows, 5, 10)[0]
+    assert max(len(r.phrase.split()) for r in found) == 5
+    assert [read[step] for step in (0, 2)] == [sum(len(t) for t, _ in rows)] * 2
+    assert read[3] == read[4] == 10 * len("a b c d e a b x b c\na q r\n")
+    assert read[5] == read[8] == 10 * len("a b c d e a b x b c\n")
+
+
+@pytest.mark.parametrize("most, joined", [(1024, [("de", "a b c d\n"), ("en", "a b c\nb c d\n")]), (1, None)])
+def test_frequent_runs(most, joined):
+    """Runs keep their order and pieces; a text ends only where a run does."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de", "en"]), pa.array(["x A b c, b c d", "a b c d x a b", "b c"])], ["lang", "text"])
+    (found, names), = phrases._stretches(iter([batch]))
+    table = np.zeros(1 << 16, np.uint32)
+    word = dict(zip(found.words.to_pylist(), phrases.word_hashes(found.words), strict=True))
+    for name, own in zip(names, phrases._hashes(names), strict=True):
+        for phrase in ["a", "b", "c", "d", "a b", "b c", "c d"]:
+            h = np.array([own])
+            for w in phrase.split():
+                h = phrases.longer_by(h, np.array([word[w]]))
+            table[phrases.slots(h, len(table))] = 1
+    rows = [r for b in phrases.frequent_runs(found, names, 2, table, most) for r in b.to_pylist()]
+    if joined:
+        assert [(r["lang"], r["text"]) for r in rows] == joined
+    assert "".join(r["text"] for r in rows) == "a b c d\na b c\nb c d\n"
+    assert all(r["text"].endswith("\n") for r in rows)
+    assert list(phrases.frequent_runs(found, names, 2, np.zeros(8, np.uint32))) == []
+
+
+def test_word_hashes():
+    """Equal words have equal hashes, wherever they stand in an array, and others don't."""
+    words = ["a", "b", "ab", "ba", "x" * 5000, "x" * 5001, "é", "\x00", "\x00\x00"]
+    hashes = phrases.word_hashes(pa.array(words))
+    assert len(set(hashes.tolist())) == len(words)
+    assert (phrases.word_hashes(pa.array(["zz", *words[3:]])[1:]) == hashes[3:]).all()
+    assert len(phrases.word_hashes(pa.array([], pa.string()))) == 0
+
+
 @pytest.mark.parametrize("name", ["op11_phrases", "op12_knn_join"])
 def test_against_sql(spark, name):
     wrong = differences(QUERIES[name](spark, FOLDER), connect(FOLDER), ORACLES[name])

@@ -4,9 +4,12 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from glossweave.functions.ratios import Pairs
 from glossweave.operators import align, catalog, chapters, gate, ledger, links, memory
 from glossweave.operators.covers import choose
 from glossweave.operators.inference import call_model_once
@@ -346,6 +349,42 @@ def test_link_bands_lose_nothing(spark):
     assert sum(r.titles for r in met) < 0.5 * wanted.count() * newest.count()
 
 
+def test_ratios_side_by_side_equal_those_one_by_one():
+    rng = random.Random(3)
+    firsts = ["".join(rng.choices("abc d", k=k)) for k in (0, 1, 9, 40, 63, 64)]
+    seconds = ["".join(rng.choices("abcé😀q", k=k)) for k in (1, 2, 30, 64, 65, 199)] + firsts[1:]
+    pairs = Pairs(firsts, seconds)
+    at, to = (places.ravel() for places in np.indices((len(firsts), len(seconds))))
+    want = [SequenceMatcher(None, firsts[a], seconds[b]).ratio() for a, b in zip(at, to)]
+    assert pairs.ratios(at, to).tolist() == want
+    for floor in (0.2, 0.5, 0.9):
+        a, b, bound = pairs.reaching(np.full(len(firsts), floor))
+        met = dict(zip(zip(a.tolist(), b.tolist()), bound.tolist()))
+        assert all(met[a, b] >= r for a, b, r in zip(at.tolist(), to.tolist(), want) if r >= floor)
+
+
+def test_short_links_are_not_compared_one_by_one(monkeypatch):
+    """A cell of short texts calls no matcher per pair; longer texts still do."""
+    rng = random.Random(8)
+    titles = ["".join(rng.choices("abcdef ", k=rng.randint(1, 50))) for _ in range(40)] + ["x" * 250]
+    names = ["".join(rng.choices("abcdef ", k=rng.randint(1, 60))) for _ in range(20)] + ["x" * 240 + "yz", titles[3] + "zz"]
+    floors = [rng.choice([0.5, 0.6, 0.7]) for _ in names]
+    title_rows = pd.DataFrame({"title_key": titles, "book_id": range(41), "created_seq": [n // 2 for n in range(41)]})
+    link_rows = pd.DataFrame({"link_key": names, "floor": floors})
+    want = []
+    for name, floor in zip(names, floors):
+        scores = [(SequenceMatcher(None, name, t).ratio(), n // 2, -n) for n, t in enumerate(titles)
+                  if t not in name and name not in t]
+        best = max([s for s in scores if s[0] >= floor], default=None)
+        if best:
+            want.append((name, best[0], best[1], -best[2]))
+    asked = []
+    monkeypatch.setattr(links, "SequenceMatcher", lambda _, a, b: asked.append((a, b)) or SequenceMatcher(None, a, b))
+    got = links._match_cell(link_rows, title_rows)
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want) and len(want) > 3
+    assert all(len(a) > 64 or len(b) >= 200 for a, b in asked)
+
+
 def test_titles_inside_links_are_spread(spark):
     """No task makes the parts of all texts, however small the tables are."""
     titles = spark.range(40).selectExpr("concat('a longer title ', id) as title_key").coalesce(1)

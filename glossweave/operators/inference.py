@@ -14,7 +14,7 @@ from glossweave.operators.batching import char_batches
 from glossweave.operators.gate import accept_retry, gate
 from glossweave.operators.replies import compose, item_text, reply_items
 from glossweave.plans.scan import row_numbers
-from glossweave.session import cut, written
+from glossweave.session import cut, stored
 
 Model = Callable[[str], str]
 
@@ -104,44 +104,49 @@ def translate_fresh(
     """Translate `(book_id, pos, text, tier)` rows that are no duplicates.
 
     Short and normal paragraphs go in numbered batches, long ones alone. A batch without a
-    readable reply is sent again one by one. Results are cut off from their lineage after
-    every round of calls, so that no later step repeats them; a task that is retried does.
+    readable reply is sent again one by one. Results are written in the job that makes the calls,
+    so that no later step repeats them; a task that is retried does. Tables between the calls are
+    deleted after their last use.
     With the folder `answers` a rerun sends only what is not answered there (see
     `call_model_once`). `error` is what the last call of a row without an answer gave.
     """
 
     def call(rows: DataFrame, by: list[str], prompt: str, reply: str, step: str) -> DataFrame:
+        """The caller writes the rows at once, in one job."""
         if answers is None:
-            return cut(call_model(rows, by, model, prompt, reply))
+            return call_model(rows, by, model, prompt, reply)
         return call_model_once(rows, model, prompt, answers, step, reply)
 
     keys = ["book_id", "tier", "batch_no"]
     grouped = paragraphs.where(F.col("tier") != schemas.TIER_LONG)
     # Batches and places in them are settled on narrow rows; texts join them once.
-    numbers = cut(char_batches(
+    numbers = stored(char_batches(
         grouped.select("book_id", "tier", "pos", F.length("text").alias("chars")),
         ["book_id", "tier"], "pos", "chars", limit,
     ))
-    places = row_numbers(numbers, keys, "pos", "item_no")
-    numbered = written(grouped.join(places, ["book_id", "tier", "pos"]))
+    places = row_numbers(numbers.table, keys, "pos", "item_no")
+    numbered = stored(grouped.join(places, ["book_id", "tier", "pos"]))
+    numbers.drop()
 
-    prompts = compose(numbered, keys, "pos").withColumn(
+    prompts = compose(numbered.table, keys, "pos").withColumn(
         "prompt", F.replace(F.lit(instruction), F.lit("{content}"), F.col("prompt"))
     )
-    replies = call(prompts.select(*keys, "prompt"), keys, "prompt", "reply", "batch")
-    answered = replies.where(F.coalesce("reply", F.lit("")).rlike(rf"\[{P.DIGIT}+\]"))
+    replies = stored(call(prompts.select(*keys, "prompt"), keys, "prompt", "reply", "batch").drop("prompt"))
+    answered = replies.table.where(F.coalesce("reply", F.lit("")).rlike(rf"\[{P.DIGIT}+\]"))
     # The first item of a batch stands for its call, so calls add up over any grouping.
     opens = (F.col("item_no") == 1).cast("int")
-    placed = written(
-        numbered.join(answered.select(*keys, reply_items(F.col("reply")).alias("items")), keys, "left").select(
+    placed = stored(
+        numbered.table.join(answered.select(*keys, reply_items(F.col("reply")).alias("items")), keys, "left").select(
             "book_id", "pos", "text", "tier", opens.alias("calls"), F.col("items").isNotNull().alias("answered"),
             F.coalesce(item_text(F.col("items"), F.col("item_no")), F.lit("")).alias("translated"),
         )
     )
-    done = placed.where("answered").select(
+    numbered.drop()
+    replies.drop()
+    done = placed.table.where("answered").select(
         "book_id", "pos", "text", "tier", "translated", "calls", F.lit(None).cast("string").alias("error")
     )
-    unanswered = placed.where(~F.col("answered")).select(
+    unanswered = placed.table.where(~F.col("answered")).select(
         "book_id", "pos", "text", "tier", (F.col("calls") + 1).alias("calls")
     )
     alone = paragraphs.where(F.col("tier") == schemas.TIER_LONG).select(
@@ -150,13 +155,14 @@ def translate_fresh(
     single = call(alone.unionByName(unanswered), ["book_id", "pos"], "text", "translated", "single")
     gated = gate(done.unionByName(single).withColumnRenamed("text", "original"))
     # Everything below, and the caller, reads this table; its final texts follow from the rest.
-    checked = written(gated.drop("final_text", "length_ratio")).withColumn(
+    checked = stored(gated.drop("final_text", "length_ratio")).table.withColumn(
         "final_text", F.when(F.col("action") == "keep_original", F.col("original")).otherwise(F.col("translated"))
     )
+    placed.drop()
     back = checked.where(F.col("action") == "retry")
-    again = call(
+    again = stored(call(
         back.select("book_id", "pos", "original"), ["book_id", "pos"], "original", "again", "retry"
-    ).withColumnRenamed("error", "_again_error")
+    )).table.withColumnRenamed("error", "_again_error")
     # Only what was sent back is joined with its second answer.
     return retried(back, again).unionByName(accepted(checked.where(F.col("action") != "retry")))
 

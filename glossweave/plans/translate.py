@@ -11,9 +11,9 @@ from glossweave import schemas
 from glossweave.functions.text import is_blank, tier
 from glossweave.operators.gate import all_empty_books
 from glossweave.operators.inference import Model, translate_fresh
-from glossweave.operators.memory import lookup, upsert
+from glossweave.operators.memory import lookup, marks, upsert, with_hits
 from glossweave.operators.paragraphs import mark_repeats
-from glossweave.session import written
+from glossweave.session import stored
 
 
 @dataclass
@@ -34,39 +34,50 @@ def translate_books(
     translations are all blank is stopped: it is in `failed_books`, gives no segments and
     teaches nothing. With the folder `answers` a rerun repeats no answered call.
     """
-    # Everything below reads these tables, some of it several times.
-    tiered = written(paragraphs.withColumn("tier", tier(F.col("text"))))
-    marked = mark_repeats(tiered, "book_id", "pos", tiered=True)
-    originals = marked.where(~F.col("is_duplicate"))
+    # Paragraphs are made once and shipped once, with the hashes of the memory's texts. What was hit
+    # lies apart from the rest, which goes when its answers are written.
+    tiered = paragraphs.withColumn("tier", tier(F.col("text")))
     if use_memory:
-        known = lookup(originals, memory)
+        known = stored(marks(memory))
+        looked = stored(with_hits(tiered, known.table), "hit")
+        known.drop()
     else:
-        known = originals.withColumn("translated", F.lit(None).cast("string")).withColumn(
-            "hit", F.lit(False)
-        )
-    known = written(known)
+        looked = stored(tiered.withColumn("hit", F.lit(False)), "hit")
+    is_short = F.col("tier") == schemas.TIER_SHORT
+    shorts = stored(mark_repeats(looked.table.where(is_short), "book_id", "pos", tiered=True))
+    columns = ["book_id", "pos", "text", "tier", "hit"]
+    originals = shorts.table.where(~F.col("is_duplicate")).select(*columns).unionByName(
+        looked.table.where(~is_short).select(*columns)
+    )
     no_error = F.lit(None).cast("string").alias("error")
-    cached = known.where("hit").select(
+    cached = lookup(originals.where("hit").drop("hit"), memory).select(
         "book_id", "pos", F.col("text").alias("original"), "translated", "tier",
         F.lit("memory").alias("origin"), F.lit(False).alias("failed"),
         F.lit("ok").alias("action"), F.lit(0).alias("calls"), no_error,
     )
     fresh = translate_fresh(
-        known.where(~F.col("hit")).select("book_id", "pos", "text", "tier"), model, answers=answers
+        originals.where(~F.col("hit")).select("book_id", "pos", "text", "tier"), model, answers=answers
     ).withColumn("origin", F.lit("model"))
-    empty = written(all_empty_books(
+    empty = stored(all_empty_books(
         fresh.select(
             "book_id", F.lit(False).alias("is_duplicate"),
             F.when(F.col("action") == "keep_original", "").otherwise(F.col("translated"))
             .alias("translated"),
         )
-    ))
-    done = cached.unionByName(fresh.drop("issues"))
-    repeats = marked.where("is_duplicate").select(
+    )).table
+    repeats = shorts.table.where("is_duplicate").select(
         "book_id", "pos", F.col("first_pos"), "text", "tier"
     )
+    # Where first occurrences are: of short texts, and of longer ones only if they share a place with one.
+    firsts = repeats.select("book_id", F.col("first_pos").alias("pos")).distinct()
+    shared = stored(
+        looked.table.where(~is_short).select("book_id", "pos").distinct().join(firsts, ["book_id", "pos"], "left_semi")
+    ).table
+    looked.drop("hit=false")
+    done = cached.unionByName(fresh.drop("issues"))
+    asked = done.where(is_short).unionByName(done.where(~is_short).join(shared, ["book_id", "pos"], "left_semi"))
     copied = repeats.join(
-        done.select("book_id", F.col("pos").alias("first_pos"), "translated", "failed"),
+        asked.select("book_id", F.col("pos").alias("first_pos"), "translated", "failed"),
         ["book_id", "first_pos"],
         "left",
     ).select(

@@ -284,6 +284,41 @@ def _score(name, title):
     return SequenceMatcher(None, name, title).ratio()
 
 
+def test_run_keeps_little_on_disk(spark, tmp_path):
+    """Between the steps whole texts lie once: what was hit, what was answered, and no shuffle files."""
+    rng = random.Random(4)
+    rows = [("b", n, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=400))) for n in range(3000)]
+    paragraphs = spark.createDataFrame(rows, "book_id string, pos int, text string")
+    held = memory.build_memory(
+        spark.createDataFrame([(t, "T " + t, p) for _, p, t in rows[::3]], "original string, translated string, pos int"), ["pos"])
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        run = translate_books(paragraphs, held, lambda prompt: "T " + prompt)
+        assert run.segments.where("translated = 'T ' || original").count() == 3000
+        assert run.segments.where("origin = 'memory'").count() == 1000
+        kept = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    finally:
+        if before:
+            spark.sparkContext.setCheckpointDir(before)
+    # A third of the texts as they are, the others with their answers: 5 / 3 of them, pressed.
+    assert kept < 5 / 3 * sum(len(t) for _, _, t in rows)
+
+
+def test_hits_are_those_of_lookup(spark):
+    """Also where entries repeat, have a blank answer, or the hash of another text."""
+    texts = ["a", "b", "c", "d", None, "a", "e"]
+    paragraphs = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    entries = [("a", "A"), ("a", "A2"), ("b", " "), ("c", None), ("e", "E")]
+    held = spark.createDataFrame(entries, "source_text string, translated_text string").withColumn("source_hash", F.md5("source_text"))
+    held = held.unionByName(spark.createDataFrame([("x", "D")], "source_text string, translated_text string").withColumn("source_hash", F.md5(F.lit("d"))))
+    held = held.unionByName(spark.createDataFrame([(None, "N")], "source_text string, translated_text string").withColumn("source_hash", F.lit(None).cast("string")))
+    looked = memory.lookup(paragraphs, held)
+    assert sorted((r.n, r.translated) for r in looked.where("hit").collect()) == [(0, "A"), (0, "A2"), (5, "A"), (5, "A2"), (6, "E")]
+    hits = memory.with_hits(paragraphs, memory.marks(held)).collect()
+    assert len(hits) == len(texts) and {r.n for r in hits if r.hit} == {r.n for r in looked.where("hit").collect()}
+
+
 def test_link_matching_is_exact(spark):
     rng = random.Random(5)
     words = ["deep", "work", "rust", "data", "mind", "set", "go", "art", "of", "war", "sea"]

@@ -305,6 +305,20 @@ def test_run_keeps_little_on_disk(spark, tmp_path):
     assert kept < 5 / 3 * sum(len(t) for _, _, t in rows)
 
 
+def test_lookup_ships_a_built_memory_once(spark):
+    entries = spark.range(50).selectExpr("id as pos", "concat('t', id % 40) as original", "'T' as translated")
+    asked = spark.range(60).selectExpr("id", "concat('t', id) as text")
+    found = memory.lookup(asked, memory.build_memory(entries, ["pos"]))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert found.where("hit").count() == 40 and found.count() == 60
+
+
 def test_hits_are_those_of_lookup(spark):
     """Also where entries repeat, have a blank answer, or the hash of another text."""
     texts = ["a", "b", "c", "d", None, "a", "e"]

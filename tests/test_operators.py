@@ -489,3 +489,31 @@ def test_run_and_alignment_compute_their_paragraphs_once(spark):
     segments = costly.select("book_id", "pos", F.col("text").alias("original"), F.col("text").alias("translated"))
     aligned = align.cascade(plain, segments).collect()
     assert {r.align_method for r in aligned} == {"exact"} and made.value == 44
+
+
+@pytest.mark.parametrize("long_keys", [True])
+def test_alignment_goes_in_turns(spark, tmp_path, monkeypatch, long_keys):
+    """As in one go, but shuffle files of some books only; what was read is deleted."""
+    rng = random.Random(9)
+    lines = ["".join(rng.choices("abcdefghij ", k=rng.choice([3, 20, 70]))) for _ in range(40)] + ["tip", "n o t e"]
+    rows = [(b, n, rng.choice(lines)) for b in [*range(30), None] for n in range(12)]
+    segments = spark.createDataFrame(
+        [(b, n, "Part 3. " + t if n % 5 == 4 else t, f"{b} {n}") for b, n, t in rows if b != 7],
+        "book_id long, pos int, original string, translated string")
+    asked = spark.createDataFrame(
+        [(b, n, t.replace(" ", "") if n % 3 == 1 else t + " and more" if n % 3 == 2 else t) for b, n, t in rows],
+        "book_id long, pos int, text string")
+    got = []
+    folder = spark.sparkContext.getCheckpointDir()
+    for turns in (1, 5):
+        monkeypatch.setattr(align, "slices_of", lambda *_: turns)
+        spark.sparkContext.setCheckpointDir(str(tmp_path / str(turns)))
+        try:
+            got.append(sorted(map(str, align.cascade(asked, segments, long_keys=long_keys).collect())))
+        finally:
+            if folder:
+                spark.sparkContext.setCheckpointDir(folder)
+        tables = [d for d in (tmp_path / str(turns)).rglob("table-*") if any(d.rglob("*.parquet"))]
+        assert len(tables) == 1  # the result
+    assert got[0] == got[1] and len(got[0]) > 300
+    assert {m for row in got[0] for m in ("exact", "none") if m in row} == {"exact", "none"}

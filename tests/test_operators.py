@@ -491,7 +491,7 @@ def test_run_and_alignment_compute_their_paragraphs_once(spark):
     assert {r.align_method for r in aligned} == {"exact"} and made.value == 44
 
 
-@pytest.mark.parametrize("long_keys", [True])
+@pytest.mark.parametrize("long_keys", [True, False])
 def test_alignment_goes_in_turns(spark, tmp_path, monkeypatch, long_keys):
     """As in one go, but shuffle files of some books only; what was read is deleted."""
     rng = random.Random(9)
@@ -517,3 +517,12 @@ def test_alignment_goes_in_turns(spark, tmp_path, monkeypatch, long_keys):
         assert len(tables) == 1  # the result
     assert got[0] == got[1] and len(got[0]) > 300
     assert {m for row in got[0] for m in ("exact", "none") if m in row} == {"exact", "none"}
+
+
+def test_labels_make_no_long_keys(spark):
+    rows = [(1, 0, "a long line of text " * 6, "x")]
+    segments = spark.createDataFrame(rows, "book_id long, pos int, original string, translated string")
+    (key,) = align.keyed_segments(segments, long_keys=False).collect()
+    assert key.k1 and key.k4 and key.k2 is None and key.k3 is None
+    (key,) = align.keyed_segments(segments).collect()
+    assert key.k2 and key.k3
